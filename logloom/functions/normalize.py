@@ -11,6 +11,8 @@ from logloom import fixed_values as fv
 _SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
     map(chr, range(0x2000, 0x200B))
 )
+# The same as a regex: Java's \\s is ASCII only.
+SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 _ZONE = r"(?:[Zz]|[+-]\d{2}:?\d{2})"
 _ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[T\s]\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}}(?:[.,]\d{{1,9}})?)?{_ZONE}?)?$"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logloom import fixed_values as fv
-from logloom.functions.normalize import strip
+from logloom.functions.normalize import SPACES, strip
 
 
 def mask(message: Column) -> Column:
@@ -19,7 +19,7 @@ def mask(message: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Words between white space; an empty text has none."""
-    words = F.split(strip(text), r"\s+")
+    words = F.split(strip(text), SPACES)
     return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(words)
 
 
@@ -28,7 +28,7 @@ def signature(message: Column) -> Column:
 
     A word that looks like a wildcard is renamed, so that it is a plain word.
     """
-    text = F.regexp_replace(strip(mask(message)), r"\s+", " ")
+    text = F.regexp_replace(strip(mask(message)), SPACES, " ")
     literal = F.regexp_replace(text, r"(?<=^|\s)<\*>(?=\s|$)", "<LIT>")
     return F.when(F.contains(text, F.lit(fv.WILDCARD)), literal).otherwise(text)
 
