@@ -1,6 +1,6 @@
 """All queries."""
 
-from checks import parsing  # noqa: F401
+from checks import live, mining, parsing, tables  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

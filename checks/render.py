@@ -26,6 +26,9 @@ MESSAGE = """CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'Failed pa
 RARE_MESSAGE = f"""({MESSAGE}) || CASE WHEN event_type = 'error' AND event_id % 997 = 3
       THEN ' build b' || CAST(event_id AS STRING) || 'x' ELSE '' END"""
 
+# Two words that no mask removes, so that templates get wildcards.
+NAMED_MESSAGE = f"""({MESSAGE}) || ' by ' || chr(CAST(97 + user_id % 26 AS INT)) || 'q on ' || chr(CAST(97 + event_id % 26 AS INT))"""
+
 LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END"
 
 # Errors of two days only, so that they stand out as a burst.

@@ -136,11 +136,18 @@ def http_clients(logs: DataFrame) -> DataFrame:
     return logs.where(refused).groupBy("status_code", "client_ip").agg(F.count("*").alias("n"))
 
 
+def tells_auth_failure() -> Column:
+    return F.coalesce(F.lower("message").rlike("|".join(fv.AUTH_PHRASES)), F.lit(False))
+
+
+def auth_origin() -> Column:
+    """Where a login came from: client, else host."""
+    return F.coalesce(text_or_null(F.col("client_ip")), text_or_null(F.col("host")), F.lit("unknown_source"))
+
+
 def auth_failures(logs: DataFrame) -> DataFrame:
     """Rows that tell of a failed login, with the source they came from."""
-    told = F.lower("message").rlike("|".join(fv.AUTH_PHRASES))
-    origin = F.coalesce(text_or_null(F.col("client_ip")), text_or_null(F.col("host")), F.lit("unknown_source"))
-    return logs.where(told).withColumn("auth_source", origin)
+    return logs.where(tells_auth_failure()).withColumn("auth_source", auth_origin())
 
 
 def _auth_severity() -> Column:

@@ -137,3 +137,17 @@ def test_tokens_and_similarity(spark):
     assert [tuple(r) for r in got] == [(["a", "b", "c"], 2 / 3), ([], 1.0), (["a"], 0.0)]
     sig = df.select(tf.signature(F.col("m")).alias("s")).select(tf.tokens_of(F.col("s")), tf.n_tokens(F.col("s")))
     assert [tuple(r) for r in sig.collect()] == [(["a", "b", "c"], 3), ([], 0), (["a"], 1)]
+
+
+def test_mining_of_the_events_table(spark):
+    from checks import render as r
+
+    logs = r.log_table(spark, "/root/testdata/sf0.01", message=r.NAMED_MESSAGE)
+    logs = logs.withColumn("message", F.translate("message", "0123456789", "#" * 10))
+    logs = logs.withColumn("message", F.translate("message", "/#.:", "xyzw"))  # nothing left to mask
+    rows = logs.orderBy("line_number").select("line_number", "message").collect()
+    ids, texts, _ = greedy([row.message.split() for row in rows])
+    mined = tm.mine_templates(logs)
+    assert {row.template_id: row.template for row in mined.latest().collect()} == dict(enumerate(texts, 1))
+    got = {row.line_number: row.template_id for row in tm.assign_templates(logs, mined).collect()}
+    assert got == {row.line_number: i for row, i in zip(rows, ids)}
