@@ -10,6 +10,7 @@ from checks.registry import query
 from logloom.functions import templates as tf
 from logloom.operators import anomalies as an
 from logloom.operators import templates as tm
+from logloom.sources.workspace import stored
 
 LOGS = r.logs_sql()
 RARE = r.logs_sql(message=r.RARE_MESSAGE)
@@ -153,21 +154,22 @@ def _(spark, sf):
 @query("assign_templates")
 def _(spark, sf):
     logs = r.log_table(spark, sf, message=r.NAMED_MESSAGE)
-    return tm.assign_templates(logs, tm.mine_templates(logs)).select("line_number", "template_id")
+    return tm.assign_templates(logs, tm.mine_templates(logs), same_logs=True).select("line_number", "template_id")
 
 
 @query("sample_params")
 def _(spark, sf):
     logs = r.log_table(spark, sf, message=r.NAMED_MESSAGE)
     mined = tm.mine_templates(logs)
-    return tm.sample_params(tm.assign_templates(logs, mined), mined)
+    return tm.sample_params(tm.assign_templates(logs, mined, same_logs=True), mined)
 
 
-def _by_signature(spark, sf, **options) -> DataFrame:
+def _by_signature(spark, sf, **options) -> tuple[DataFrame, DataFrame]:
     """Template summary with each signature as a template of its own."""
-    rows = tm.with_signature(r.log_table(spark, sf, **options))
+    logs = r.log_table(spark, sf, **options)
+    rows = stored(tm.with_signature(logs).drop("message", "raw"), "signed")
     templates = rows.select("signature", F.col("signature").alias("template")).distinct()
-    return rows, tm.template_summary(rows, templates, "signature")
+    return rows, tm.template_summary(rows, templates, "signature", logs=logs)
 
 
 _ISO = """strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END || '+00:00'"""

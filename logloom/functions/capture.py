@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SEP = "\x01"
+# Control bytes; a text that holds one is escaped first.
+_SEP, _ESC = "\x01", "\x02"
 
 
 def capture(text: Column, pattern: str, groups: int) -> Column:
@@ -13,16 +14,19 @@ def capture(text: Column, pattern: str, groups: int) -> Column:
 
     Gives ``['', g1, .., gn]`` on a match and one element otherwise; a group
     that took no part is ''. One ``regexp_extract`` per group would run the
-    regex n times. Lines that hold the separator byte take that slow way, so
-    the result is exact for any text.
+    regex n times. Read the groups with :func:`group`.
     """
     template = "".join(f"{_SEP}${i}" for i in range(1, groups + 1))
-    fast = F.split(F.regexp_replace(text, pattern, template), _SEP)
-    slow = F.when(
-        text.rlike(pattern),
-        F.array(F.lit(""), *[F.regexp_extract(text, pattern, i) for i in range(1, groups + 1)]),
-    ).otherwise(F.array(text))
-    return F.when(F.contains(text, F.lit(_SEP)), slow).otherwise(fast)
+    escaped = F.replace(F.replace(text, F.lit(_ESC), F.lit(_ESC + "b")), F.lit(_SEP), F.lit(_ESC + "a"))
+    plain = F.when(F.contains(text, F.lit(_SEP)) | F.contains(text, F.lit(_ESC)), escaped).otherwise(text)
+    return F.split(F.regexp_replace(plain, pattern, template), _SEP)
+
+
+def group(groups: Column, i: int) -> Column:
+    """Group ``i`` of a captured pattern."""
+    g = F.get(groups, F.lit(i))
+    restored = F.replace(F.replace(g, F.lit(_ESC + "a"), F.lit(_SEP)), F.lit(_ESC + "b"), F.lit(_ESC))
+    return F.when(F.contains(g, F.lit(_ESC)), restored).otherwise(g)
 
 
 def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -17,8 +17,9 @@ SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 _ZONE = r"(?:[Zz]|[+-]\d{2}:?\d{2})"
 _ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[T\s]\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}}(?:[.,]\d{{1,9}})?)?{_ZONE}?)?$"
 _COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})((?:[.,]\d{{1,9}})?{_ZONE}?)$"
-_CLF = r"^\d{1,2}/[A-Za-z]{3}/\d{4}:\d{1,2}:\d{1,2}:\d{1,2} [+-]\d{4}$"
-_SYSLOG = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"
+_CLF = r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
+_SYSLOG = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}$"
+_MONTHS = {name: f"{i:02d}" for i, name in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
 
 def strip(c: Column) -> Column:
@@ -30,16 +31,21 @@ def text_or_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _lookup(c: Column, values: dict[str, str]) -> Column:
+    """Constant map lookup; ``c`` is computed once, unlike in a chain of tests."""
+    pairs = ", ".join(f"'{text}'" for kv in values.items() for text in kv)
+    return F.try_element_at(F.expr(f"map({pairs})"), c)
+
+
 def normalize_level(c: Column, numeric: bool = False) -> Column:
     """Map level spellings to ERROR, WARN, INFO, DEBUG or TRACE; unknown is INFO.
 
     ``numeric=True`` also reads the numeric levels 10..60 of JSON loggers.
     """
-    word = F.upper(strip(c))
-    rules = [F.when(word.isin(words), level) for level, words in fv.LEVEL_WORDS.items()]
+    levels = {word: level for level, words in fv.LEVEL_WORDS.items() for word in words}
     if numeric:
-        rules += [F.when(word == number, level) for number, level in fv.NUMERIC_LEVELS.items()]
-    return F.coalesce(*rules, F.lit("INFO"))
+        levels |= fv.NUMERIC_LEVELS
+    return F.coalesce(_lookup(F.upper(strip(c)), levels), F.lit("INFO"))
 
 
 def is_level_word(c: Column) -> Column:
@@ -80,18 +86,54 @@ def short_logger(c: Column) -> Column:
 
 def _iso_timestamp(s: Column) -> Column:
     t = F.translate(s, ", tz\t", ".TTZT")
-    has_time = F.instr(t, ":") > 0
-    zoned = t.rlike(f"{_ZONE}$")
-    full = F.when(~has_time, F.concat(t, F.lit("T00:00:00Z"))).when(zoned, t).otherwise(F.concat(t, F.lit("Z")))
-    return full.try_cast("timestamp")
+    sign = F.substring(t, -6, 1).isin("+", "-") | F.substring(t, -5, 1).isin("+", "-")
+    zone = F.when(F.instr(t, ":") == 0, "T00:00:00Z").when(F.endswith(t, F.lit("Z")) | sign, "").otherwise("Z")
+    return F.concat(t, zone).try_cast("timestamp")
+
+
+def _month(name: Column) -> Column:
+    return _lookup(F.lower(name), _MONTHS)
+
+
+def _clf_timestamp(s: Column) -> Column:
+    """dd/MMM/yyyy:HH:mm:ss +zzzz"""
+    sub = lambda at, n: F.substring(s, at, n)
+    dash = F.lit("-")
+    iso = F.concat(sub(8, 4), dash, _month(sub(4, 3)), dash, sub(1, 2), F.lit("T"), sub(13, 8), sub(22, 5))
+    return iso.try_cast("timestamp")
+
+
+def _syslog_timestamp(s: Column, year: Column | int | None) -> Column:
+    """MMM d HH:mm:ss"""
+    y = F.year(F.current_date()) if year is None else F.lit(year)
+    day = strip(F.substring(s, F.lit(4), F.length(s) - 11))
+    dash = F.lit("-")
+    month, time = _month(F.substring(s, 1, 3)), F.substring(s, -8, 8)
+    return F.concat(y.cast("string"), dash, month, dash, day, F.lit("T"), time, F.lit("Z")).try_cast("timestamp")
 
 
 def parse_syslog_timestamp(c: Column, year: Column | int | None = None) -> Column:
     """Timestamp of a year-less syslog date; ``year`` defaults to the current one."""
-    y = F.year(F.current_date()) if year is None else F.lit(year)
-    text = F.initcap(F.regexp_replace(strip(c), r"\s+", " "))
-    return F.try_to_timestamp(
-        F.concat(y.cast("string"), F.lit(" "), text, F.lit(" +0000")), F.lit("yyyy MMM d H:m:s Z")
+    s = strip(c)
+    return F.when(s.rlike(_SYSLOG), _syslog_timestamp(s, year))
+
+
+def time_text(c: Column) -> Column:
+    """A time text without brackets and white space around; null when empty."""
+    return text_or_null(F.btrim(c, F.lit(_SPACE + "[]()")))
+
+
+def read_time(s: Column, year: Column | int | None = None) -> Column:
+    """Timestamp of a text from :func:`time_text`, or null."""
+    # The commonest form needs no regex: yyyy-MM-ddT..Z.
+    dashes = (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-") & (F.substring(s, 11, 1) == "T")
+    common = F.when(dashes & F.endswith(s, F.lit("Z")) & (F.instr(s, ":") == 14), s.try_cast("timestamp"))
+    return F.coalesce(
+        common,
+        F.when(s.rlike(_ISO), _iso_timestamp(s))
+        .when(s.rlike(_CLF), _clf_timestamp(s))
+        .when(s.rlike(_SYSLOG), _syslog_timestamp(s, year))
+        .when(s.rlike(_COMPACT), _iso_timestamp(F.regexp_replace(s, _COMPACT, "$1-$2-$3T$4:$5:$6$7"))),
     )
 
 
@@ -102,13 +144,8 @@ def parse_timestamp(c: Column, year: Column | int | None = None) -> Column:
     around. A text without zone is UTC. ``ts_raw`` keeps a text that is no
     time; then ``ts`` and ``epoch`` are null.
     """
-    s = text_or_null(F.btrim(strip(c), F.lit("[]()")))
-    ts = (
-        F.when(s.rlike(_ISO), _iso_timestamp(s))
-        .when(s.rlike(_CLF), F.try_to_timestamp(s, F.lit("d/MMM/yyyy:H:m:s Z")))
-        .when(s.rlike(_SYSLOG), parse_syslog_timestamp(s, year))
-        .when(s.rlike(_COMPACT), _iso_timestamp(F.regexp_replace(s, _COMPACT, "$1-$2-$3T$4:$5:$6$7")))
-    )
+    s = time_text(c)
+    ts = read_time(s, year)
     return F.struct(ts.alias("ts"), epoch_of(ts).alias("epoch"), F.when(ts.isNull(), s).alias("ts_raw"))
 
 
@@ -124,10 +161,9 @@ def timestamp_text(ts: Column, ts_raw: Column) -> Column:
     return F.coalesce(F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00")), ts_raw)
 
 
-def first_present(m: Column, keys: list[str], allow_empty: bool = False) -> Column:
-    """Value of the first key that is there (and not empty, unless allowed)."""
-    values = [F.try_element_at(m, F.lit(k)) for k in keys]
-    return F.coalesce(*(values if allow_empty else [text_or_null(v) for v in values]))
+def first_present(m: Column, keys: list[str]) -> Column:
+    """Value of the first key that has one."""
+    return F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in keys])
 
 
 def residual_metadata(m: Column, reserved: list[str]) -> Column:

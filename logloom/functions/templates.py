@@ -28,9 +28,9 @@ def signature(message: Column) -> Column:
 
     A word that looks like a wildcard is renamed, so that it is a plain word.
     """
-    text = F.regexp_replace(strip(mask(message)), SPACES, " ")
-    literal = F.regexp_replace(text, r"(?<=^|\s)<\*>(?=\s|$)", "<LIT>")
-    return F.when(F.contains(text, F.lit(fv.WILDCARD)), literal).otherwise(text)
+    literal = F.regexp_replace(message, r"(?<=^|\s)<\*>(?=\s|$)", "<LIT>")
+    plain = F.when(F.contains(message, F.lit(fv.WILDCARD)), literal).otherwise(message)
+    return F.regexp_replace(mask(plain), SPACES, " ")
 
 
 def n_tokens(sig: Column) -> Column:

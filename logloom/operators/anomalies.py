@@ -190,10 +190,10 @@ def all_anomalies(logs: DataFrame, templates: DataFrame | None = None) -> DataFr
         return df.select(*[c[name].alias(name) for name in ANOMALY_COLUMNS])
 
     services = burst_services(logs).groupBy("bucket").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "service")))["service"].alias("services")
+        F.sort_array(F.collect_list(F.struct("rank", "service")))["service"].alias("services")
     )
     messages = burst_messages(logs).groupBy("bucket").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "message")))["message"].alias("messages")
+        F.sort_array(F.collect_list(F.struct("rank", "message")))["message"].alias("messages")
     )
     # Both hold three values per bucket, some 36 rows in all.
     bursts = error_bursts(logs).join(F.broadcast(services), "bucket", "left").join(F.broadcast(messages), "bucket", "left")

@@ -102,7 +102,7 @@ def executive_summary(logs: DataFrame, issues: DataFrame | None = None) -> DataF
     issues = diagnosed_issues(logs) if issues is None else issues
     primary = issues.where(F.col("rank") == 1).select(F.struct("title", "root_cause")).scalar()
     services = affected_services(logs)
-    named = services.orderBy("service").limit(4).agg(F.array_join(F.array_sort(F.collect_list("service")), ", "))
+    named = services.orderBy("service").limit(4).agg(F.array_join(F.sort_array(F.collect_list("service")), ", "))
     facts = error_rate(logs).withColumns(
         {"primary": primary, "named": named.scalar(), "n_services": services.agg(F.count("*")).scalar()}
     )

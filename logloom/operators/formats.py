@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from logloom import fixed_values as fv
 from logloom.functions import normalize as nz
-from logloom.functions.capture import capture
+from logloom.functions.capture import capture, group
 
 _FIELDS = "array<string>"
 _PAIRS = "map<string,string>"
+_OBJECTS = f"array<{_PAIRS}>"
 
 
-def _parts(fields: Column | None = None, pairs: Column | None = None) -> Column:
+def _parts(fields: Column | None = None, objects: Column | None = None) -> Column:
     return F.struct(
         (F.lit(None).cast(_FIELDS) if fields is None else fields).alias("f"),
-        (F.lit(None).cast(_PAIRS) if pairs is None else pairs).alias("m"),
+        (F.lit(None).cast(_OBJECTS) if objects is None else objects).alias("m"),
     )
 
 
@@ -36,18 +37,34 @@ def _metadata(**values: Column) -> Column:
 
 @dataclass(frozen=True)
 class Format:
-    """Columns of one format over ``line``, ``p`` (its parts) and ``m`` (its map)."""
+    """Columns of one format.
+
+    ``fill`` works on the line, its parts, and for formats of key-value
+    pairs the map of all pairs and the map of those that hold a value. It
+    gives a ``level``, or as ``stated`` the level word of the line.
+    """
 
     name: str
     extract: Callable[[Column], Column]
     accept: Callable[[Column], Column]
     detect: Callable[[Column], Column]
-    pairs: Callable[[Column], Column]
-    fill: Callable[[Column, Column, Column], dict[str, Column]]
+    fill: Callable[[Column, Column, Column, Column], dict[str, Column]]
+    keys: Callable[[Column], Column] | None = None
+    values: Callable[[Column], Column] | None = None
+    # The map when no key occurs twice.
+    plain: Callable[[Column, Column, Column], Column] = lambda p, k, v: F.map_from_arrays(k, v)
+    usable: Callable[[Column, Column], Column] = lambda line, m: m
+
 
+def last_wins(keys: Column, values: Column) -> Column:
+    """Map of the pairs; the last of equal keys stays."""
+    later = lambda i: F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0)))
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.array_contains(later(i), e["k"])))
 
-def _no_pairs(p: Column) -> Column:
-    return F.lit(None).cast(_PAIRS)
+
+def has_twins(keys: Column) -> Column:
+    return F.size(F.array_distinct(keys)) < F.size(keys)
 
 
 def _matched(groups: int) -> Callable[[Column], Column]:
@@ -55,7 +72,7 @@ def _matched(groups: int) -> Callable[[Column], Column]:
 
 
 def _field(p: Column, i: int) -> Column:
-    return nz.text_or_null(F.get(p["f"], F.lit(i)))
+    return nz.text_or_null(group(p["f"], i))
 
 
 # --- JSON ---------------------------------------------------------------------
@@ -64,46 +81,36 @@ _FALSY_TEXTS = ["0", "-0", "0.0", "-0.0", "false", "[]", "{}"]
 _JSON_RESERVED = fv.JSON_TIME_KEYS + fv.JSON_LEVEL_KEYS + fv.JSON_MESSAGE_KEYS + fv.JSON_SERVICE_KEYS
 
 
-def _json_map(line: Column) -> Column:
+def _json_objects(line: Column) -> Column:
     # Inside an array with a sentinel, so that text after the object is refused.
     wrapped = F.concat(F.lit("["), line, F.lit(",{}]"))
-    parsed = F.from_json(wrapped, "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    return F.when(F.startswith(line, F.lit("{")) & (F.size(parsed) == 2), F.get(parsed, F.lit(0)))
-
+    parsed = F.from_json(wrapped, _OBJECTS, {"allowSingleQuotes": "false"})
+    return F.when(F.startswith(line, F.lit("{")), parsed)
 
-def _last_wins(keys: Column, values: Column) -> Column:
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    later = lambda i: F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0)))
-    kept = F.filter(pairs, lambda e, i: ~F.array_contains(later(i), e["k"]))
-    return F.map_from_entries(kept)
 
-
-def _json_pairs(p: Column) -> Column:
-    keys = F.map_keys(p["m"])
-    twice = F.size(F.array_distinct(keys)) < F.size(keys)
-    return F.when(twice, _last_wins(keys, F.map_values(p["m"]))).otherwise(p["m"])
+def _is_object(p: Column) -> Column:
+    return F.coalesce(F.size(p["m"]) == 2, F.lit(False))
 
 
 def _json_truthy(line: Column, m: Column) -> Column:
-    """The map without values such as 0, false or []; strings stay.
+    """The map without empty texts and values such as 0, false or [].
 
     The JSON type only matters, and is only read, where such a text occurs.
     """
     typed = F.from_json(line, "map<string,variant>")
-    doubtful = F.arrays_overlap(F.map_values(m), F.array(*[F.lit(t) for t in _FALSY_TEXTS]))
+    doubtful = F.arrays_overlap(F.map_values(m), F.array(*[F.lit(t) for t in ["", *_FALSY_TEXTS]]))
     is_text = lambda k: F.schema_of_variant(F.try_element_at(typed, k)) == "STRING"
-    checked = F.map_filter(m, lambda k, v: v.isNotNull() & (~v.isin(_FALSY_TEXTS) | is_text(k)))
+    checked = F.map_filter(m, lambda k, v: (v != "") & (~v.isin(_FALSY_TEXTS) | is_text(k)))
     return F.when(doubtful, checked).otherwise(m)
 
 
-def _json_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    truthy = _json_truthy(line, m)
-    stated = nz.normalize_level(nz.first_present(truthy, fv.JSON_LEVEL_KEYS))
+def _json_fill(line: Column, p: Column, m: Column, truthy: Column) -> dict[str, Column]:
     failed = F.arrays_overlap(F.map_keys(m), F.array(*[F.lit(k) for k in fv.JSON_ERROR_KEYS]))
-    message = nz.first_present(m, fv.JSON_MESSAGE_KEYS, allow_empty=True)
+    message = nz.first_present(m, fv.JSON_MESSAGE_KEYS)
     return {
         "time": nz.first_present(truthy, fv.JSON_TIME_KEYS),
-        "level": F.when(failed, "ERROR").otherwise(stated),
+        "level": F.when(failed, "ERROR"),
+        "stated": nz.first_present(truthy, fv.JSON_LEVEL_KEYS),
         "service": nz.first_present(truthy, fv.JSON_SERVICE_KEYS),
         "message": F.coalesce(nz.text_or_null(message), line),
         "metadata": nz.residual_metadata(m, _JSON_RESERVED),
@@ -112,11 +119,14 @@ def _json_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
 
 JSON = Format(
     "json",
-    extract=lambda line: _parts(pairs=_json_map(line)),
-    accept=lambda p: p["m"].isNotNull(),
-    detect=lambda p: p["m"].isNotNull(),
-    pairs=_json_pairs,
+    extract=lambda line: _parts(objects=_json_objects(line)),
+    accept=_is_object,
+    detect=_is_object,
     fill=_json_fill,
+    keys=lambda p: F.map_keys(F.get(p["m"], F.lit(0))),
+    values=lambda p: F.map_values(F.get(p["m"], F.lit(0))),
+    plain=lambda p, k, v: F.get(p["m"], F.lit(0)),
+    usable=_json_truthy,
 )
 
 # --- logfmt -------------------------------------------------------------------
@@ -129,19 +139,20 @@ def _unquoted(v: Column) -> Column:
     return F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
 
-def _logfmt_pairs(p: Column) -> Column:
-    cut = lambda x: F.instr(x, "=")
-    keys = F.transform(p["f"], lambda x: F.lower(F.substring(x, F.lit(1), cut(x) - 1)))
-    values = F.transform(p["f"], lambda x: _unquoted(F.substring(x, cut(x) + 1, F.length(x))))
-    return _last_wins(keys, values)
+def _logfmt_keys(p: Column) -> Column:
+    return F.transform(p["f"], lambda x: F.lower(F.substring_index(x, "=", 1)))
+
 
+def _logfmt_values(p: Column) -> Column:
+    return F.transform(p["f"], lambda x: _unquoted(F.substring(x, F.instr(x, "=") + 1, F.length(x))))
 
-def _logfmt_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    message = nz.first_present(m, fv.LOGFMT_MESSAGE_KEYS, allow_empty=True)
+
+def _logfmt_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    message = nz.first_present(m, fv.LOGFMT_MESSAGE_KEYS)
     return {
-        "time": nz.first_present(m, fv.LOGFMT_TIME_KEYS, allow_empty=True),
-        "level": nz.normalize_level(nz.first_present(m, fv.LOGFMT_LEVEL_KEYS, allow_empty=True)),
-        "service": nz.first_present(m, fv.LOGFMT_SERVICE_KEYS, allow_empty=True),
+        "time": nz.first_present(m, fv.LOGFMT_TIME_KEYS),
+        "stated": nz.first_present(m, fv.LOGFMT_LEVEL_KEYS),
+        "service": nz.first_present(m, fv.LOGFMT_SERVICE_KEYS),
         "message": F.coalesce(nz.text_or_null(message), line),
         "metadata": nz.residual_metadata(m, _LOGFMT_RESERVED),
     }
@@ -152,15 +163,16 @@ LOGFMT = Format(
     extract=lambda line: _parts(F.regexp_extract_all(line, F.lit(fv.LOGFMT_PAIR_PATTERN), 0)),
     accept=lambda p: F.size(p["f"]) >= fv.LOGFMT_PARSE_PAIRS,
     detect=lambda p: F.size(p["f"]) >= fv.LOGFMT_DETECT_PAIRS,
-    pairs=_logfmt_pairs,
     fill=_logfmt_fill,
+    keys=_logfmt_keys,
+    values=_logfmt_values,
 )
 
 # --- access log ---------------------------------------------------------------
 
 
-def _access_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    ip, user, time, method, path, status, sent = (F.get(p["f"], F.lit(i)) for i in (1, 3, 4, 5, 6, 7, 8))
+def _access_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    ip, user, time, method, path, status, sent = (group(p["f"], i) for i in (1, 3, 4, 5, 6, 7, 8))
     given = lambda i: F.nullif(_field(p, i), F.lit("-"))
     return {
         "time": time,
@@ -185,38 +197,37 @@ ACCESS_LOG = Format(
     extract=lambda line: _parts(capture(line, fv.ACCESS_LOG_PATTERN, 10)),
     accept=_matched(10),
     detect=_matched(10),
-    pairs=_no_pairs,
     fill=_access_fill,
 )
 
 # --- syslog -------------------------------------------------------------------
 
 
-def _syslog_5424_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    pri = F.get(p["f"], F.lit(1)).try_cast("bigint")
-    host, app = F.get(p["f"], F.lit(4)), F.get(p["f"], F.lit(5))
+def _syslog_5424_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    pri = group(p["f"], 1).try_cast("bigint")
+    host, app = group(p["f"], 4), group(p["f"], 5)
     return {
-        "time": F.get(p["f"], F.lit(3)),
+        "time": group(p["f"], 3),
         "level": nz.level_from_severity(pri),
         "service": F.when(app == "-", host).otherwise(app),
-        "message": F.get(p["f"], F.lit(9)),
+        "message": group(p["f"], 9),
         "metadata": _metadata(
             host=host,
-            proc_id=F.get(p["f"], F.lit(6)),
-            msg_id=F.get(p["f"], F.lit(7)),
+            proc_id=group(p["f"], 6),
+            msg_id=group(p["f"], 7),
             facility=nz.facility_of(pri).cast("string"),
         ),
     }
 
 
-def _syslog_3164_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    message = F.get(p["f"], F.lit(5))
+def _syslog_3164_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    message = group(p["f"], 5)
     return {
-        "time": F.get(p["f"], F.lit(1)),
+        "time": group(p["f"], 1),
         "level": nz.level_from_keywords(message),
-        "service": F.get(p["f"], F.lit(3)),
+        "service": group(p["f"], 3),
         "message": message,
-        "metadata": _metadata(host=F.get(p["f"], F.lit(2)), pid=_field(p, 4)),
+        "metadata": _metadata(host=group(p["f"], 2), pid=_field(p, 4)),
     }
 
 
@@ -225,7 +236,6 @@ SYSLOG_5424 = Format(
     extract=lambda line: _parts(capture(line, fv.SYSLOG_5424_PATTERN, 9)),
     accept=_matched(9),
     detect=_matched(9),
-    pairs=_no_pairs,
     fill=_syslog_5424_fill,
 )
 SYSLOG_3164 = Format(
@@ -233,7 +243,6 @@ SYSLOG_3164 = Format(
     extract=lambda line: _parts(capture(line, fv.SYSLOG_3164_PATTERN, 5)),
     accept=_matched(5),
     detect=_matched(5),
-    pairs=_no_pairs,
     fill=_syslog_3164_fill,
 )
 
@@ -242,8 +251,8 @@ def _either(new: Callable[..., Column], old: Callable[..., Column]) -> Callable[
     return lambda line: F.when(F.startswith(line, F.lit("<")), new(line)).otherwise(old(line))
 
 
-def _syslog_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    new, old = _syslog_5424_fill(line, p, m), _syslog_3164_fill(line, p, m)
+def _syslog_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    new, old = _syslog_5424_fill(line, p, m, u), _syslog_3164_fill(line, p, m, u)
     return {k: F.when(SYSLOG_5424.accept(p), new[k]).otherwise(old[k]) for k in new}
 
 
@@ -253,21 +262,20 @@ SYSLOG = Format(
     extract=_either(SYSLOG_5424.extract, SYSLOG_3164.extract),
     accept=lambda p: F.size(p["f"]).isin(6, 10),
     detect=lambda p: F.size(p["f"]).isin(6, 10),
-    pairs=_no_pairs,
     fill=_syslog_fill,
 )
 
 # --- Spring Boot --------------------------------------------------------------
 
 
-def _spring_fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
-    logger = F.get(p["f"], F.lit(5))
+def _spring_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    logger = group(p["f"], 5)
     return {
-        "time": F.get(p["f"], F.lit(1)),
-        "level": nz.normalize_level(F.get(p["f"], F.lit(2))),
+        "time": group(p["f"], 1),
+        "stated": group(p["f"], 2),
         "service": nz.short_logger(logger),
-        "message": F.get(p["f"], F.lit(6)),
-        "metadata": _metadata(pid=F.get(p["f"], F.lit(3)), thread=F.get(p["f"], F.lit(4)), logger=logger),
+        "message": group(p["f"], 6),
+        "metadata": _metadata(pid=group(p["f"], 3), thread=group(p["f"], 4), logger=logger),
     }
 
 
@@ -276,23 +284,38 @@ SPRING = Format(
     extract=lambda line: _parts(capture(line, fv.SPRING_HEADER_PATTERN, 6)),
     accept=_matched(6),
     detect=_matched(6),
-    pairs=_no_pairs,
     fill=_spring_fill,
 )
 
+def _folded_fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
+    header = SPRING.accept(p)
+    filled = _spring_fill(line, p, m, u)
+    none = {"message": line, "metadata": F.create_map().cast(_PAIRS)}
+    return {k: F.when(header, v).otherwise(none.get(k, F.lit(None))) for k, v in filled.items()}
+
+
+# Folded lines; a first line that is no header is an entry without a level.
+SPRING_FOLDED = Format(
+    "springboot",
+    extract=SPRING.extract,
+    accept=lambda p: F.lit(True),
+    detect=SPRING.detect,
+    fill=_folded_fill,
+)
+
 # --- generic ------------------------------------------------------------------
 
 
 def _generic_fill(compat: bool) -> Callable[..., dict[str, Column]]:
-    def fill(line: Column, p: Column, m: Column) -> dict[str, Column]:
+    def fill(line: Column, p: Column, m: Column, u: Column) -> dict[str, Column]:
         tag1, level, tag2 = _field(p, 2), _field(p, 3), _field(p, 4)
         # A lone first tag states the level. ``compat`` reads any word as one.
         states = level.isNull() & tag1.isNotNull() & (F.lit(True) if compat else nz.is_level_word(tag1))
         return {
-            "time": F.get(p["f"], F.lit(1)),
-            "level": nz.normalize_level(F.when(states, tag1).otherwise(level)),
+            "time": group(p["f"], 1),
+            "stated": F.when(states, tag1).otherwise(level),
             "service": F.coalesce(F.when(~states, tag1), tag2),
-            "message": nz.strip(F.get(p["f"], F.lit(5))),
+            "message": nz.strip(group(p["f"], 5)),
             "metadata": F.create_map().cast(_PAIRS),
         }
 
@@ -305,8 +328,7 @@ def generic(compat: bool = False) -> Format:
         extract=lambda line: _parts(capture(line, fv.GENERIC_PATTERN, 5)),
         accept=_matched(5),
         detect=_matched(5),
-        pairs=_no_pairs,
-        fill=_generic_fill(compat),
+            fill=_generic_fill(compat),
     )
 
 

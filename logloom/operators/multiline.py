@@ -13,8 +13,8 @@ from logloom.functions.capture import evaluate_once
 def fold_lines(lines: DataFrame, header_regex: str, lines_per_chunk: int = 100_000) -> DataFrame:
     """One row per header with the lines that follow it, in order.
 
-    Gives (source, line_number, line, is_header, _lines). A line before any
-    header of its source is a row with ``is_header`` false.
+    Gives (source, line_number, line, _lines). A line before any header of
+    its source is a row of its own.
 
     Sources are cut into chunks of lines, so that a huge one is no single
     task: a small table holds the first and last header of each chunk, lines
@@ -47,14 +47,12 @@ def fold_lines(lines: DataFrame, header_regex: str, lines_per_chunk: int = 100_0
     # Same keys as the window, so the lines are not shuffled again. The header
     # is the first of each list; a trace is one value of one row in any case.
     folded = owned.groupBy("source", "chunk", "owner").agg(
-        F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("l"),
-        F.bool_or("is_header").alias("is_header"),
+        F.sort_array(F.collect_list(F.struct("line_number", "line"))).alias("l"),
     )
-    texts = F.transform("l", lambda x: x["line"])
+    texts = F.col("l")["line"]
     return folded.select(
         "source",
         F.col("owner").alias("line_number"),
-        F.get(F.col("l")["line"], F.lit(0)).alias("line"),
-        "is_header",
+        F.get(texts, F.lit(0)).alias("line"),
         F.slice(texts, F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))).alias("_lines"),
     )

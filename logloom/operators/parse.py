@@ -15,30 +15,47 @@ from logloom.schema import LOG_COLUMNS, row_id
 from logloom.sources.workspace import broadcast_if_small, settle
 
 
-def _choose(formats: list[Format], value) -> Column:
-    """One column per format, or the choice among several by ``parser``."""
+def _choose(formats: list[Format], value, otherwise: str | None = None) -> Column:
+    """The column of the only format, or the choice among several by ``parser``.
+
+    Formats for which ``value`` is None have a null of type ``otherwise``.
+    """
+    values = [(f.name, value(f)) for f in formats]
+    values = [(name, F.lit(None).cast(otherwise) if v is None else v) for name, v in values]
     if len(formats) == 1:
-        return value(formats[0])
-    parser = F.col("parser")
-    first, *rest = formats
-    out = F.when(parser == first.name, value(first))
-    for f in rest:
-        out = out.when(parser == f.name, value(f))
-    return out
+        return values[0][1]
+    return F.coalesce(*[F.when(F.col("parser") == name, v) for name, v in values])
 
 
 def _parse(lines: DataFrame, formats: list[Format], year: int | None) -> DataFrame:
-    """Parse lines by one scan. A line that its format refuses gives no row."""
-    body, parts, pairs = F.col("_body"), F.col("_parts"), F.col("_pairs")
-    cut = lines.withColumn("_body", nz.strip(F.col("line"))).where(F.col("_body") != "")
+    """Parse lines by one scan. A line that its format refuses gives no row.
+
+    Each step is a projection of its own that later ones only refer to, so
+    that no step is computed more than once.
+    """
+    body, parts, pairs, usable = (F.col(c) for c in ("_body", "_parts", "_pairs", "_usable"))
+    cut = evaluate_once(lines, "_body", nz.strip(F.col("line"))).where(body != "")
     cut = evaluate_once(cut, "_parts", _choose(formats, lambda f: f.extract(body)))
     cut = cut.where(_choose(formats, lambda f: f.accept(parts)))
-    cut = cut.withColumn("_pairs", _choose(formats, lambda f: f.pairs(parts)))
-    filled = {f.name: f.fill(body, parts, pairs) for f in formats}
-    names = filled[formats[0].name].keys()
+    if any(f.keys for f in formats):
+        sides = {"_keys": lambda f: f.keys, "_values": lambda f: f.values}
+        for name, side in sides.items():
+            of = _choose(formats, lambda f: side(f)(parts) if side(f) else None, "array<string>")
+            cut = cut.withColumn(name, of)
+        keys, values = F.col("_keys"), F.col("_values")
+        plain = _choose(formats, lambda f: f.plain(parts, keys, values) if f.keys else None, "map<string,string>")
+        cut = cut.withColumn("_pairs", F.when(fm.has_twins(keys), fm.last_wins(keys, values)).otherwise(plain))
+        used = _choose(formats, lambda f: f.usable(body, pairs) if f.keys else None, "map<string,string>")
+        cut = cut.withColumn("_usable", used)
+    filled = {f.name: f.fill(body, parts, pairs, usable) for f in formats}
     kept = [c for c in ("source", "line_number", "parser", "line", "_lines") if c in cut.columns]
-    cut = cut.select(*kept, *[_choose(formats, lambda f: filled[f.name][k]).alias(k) for k in names])
-    return evaluate_once(cut, "_time", nz.parse_timestamp(F.col("time"), year))
+    texts = ("time", "level", "stated", "service", "message")
+    columns = {c: _choose(formats, lambda f: filled[f.name].get(c), "string") for c in texts}
+    columns["metadata"] = _choose(formats, lambda f: filled[f.name]["metadata"])
+    columns["_time"] = nz.time_text(columns.pop("time"))
+    cut = cut.select(*kept, *[v.alias(c) for c, v in columns.items()])
+    level = F.coalesce("level", nz.normalize_level(F.col("stated")))
+    return cut.withColumns({"level": level, "ts": nz.read_time(F.col("_time"), year)}).drop("stated")
 
 
 def _finish(cut: DataFrame) -> DataFrame:
@@ -54,9 +71,8 @@ def _finish(cut: DataFrame) -> DataFrame:
         raw = F.when(traced, F.concat_ws("\n", raw, trace)).otherwise(raw)
     values = {
         "id": row_id(),
-        "ts": F.col("_time.ts"),
-        "epoch": F.col("_time.epoch"),
-        "ts_raw": F.col("_time.ts_raw"),
+        "epoch": nz.epoch_of(F.col("ts")),
+        "ts_raw": F.when(F.col("ts").isNull(), F.col("_time")),
         "message": message,
         "raw": raw,
         "stack_trace": F.when(traced, stripped),
@@ -112,20 +128,7 @@ def group_multiline(
     Lines before the first header of a source become INFO rows of their own.
     """
     folded = fold_lines(lines, header_regex, lines_per_chunk)
-    entries = _parse(folded.where("is_header"), [fm.SPRING], None)
-    alone = folded.where("not is_header").select(
-        "source",
-        "line_number",
-        "line",
-        F.lit(None).cast("array<string>").alias("_lines"),
-        F.lit(None).cast("string").alias("time"),
-        F.lit("INFO").alias("level"),
-        F.lit(None).cast("string").alias("service"),
-        nz.strip(F.col("line")).alias("message"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
-        nz.parse_timestamp(F.lit(None).cast("string")).alias("_time"),
-    )
-    return _finish(entries.unionByName(alone).withColumn("parser", F.lit(fm.SPRING.name)))
+    return _finish(_parse(folded, [fm.SPRING_FOLDED], None).withColumn("parser", F.lit(fm.SPRING.name)))
 
 
 # --- detection ------------------------------------------------------------------

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from logloom import fixed_values as fv
 from logloom.functions import templates as tf
+from logloom.functions.capture import evaluate_once
 from logloom.functions.normalize import is_error, text_or_null, timestamp_text
 from logloom.schema import ORDER
 from logloom.sources.workspace import broadcast_if_small, settle, stored
@@ -48,7 +49,7 @@ BATCH_ROWS = 1_000
 
 
 def with_signature(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("signature", tf.signature(F.col("message")))
+    return evaluate_once(logs, "signature", tf.signature(F.col("message")))
 
 
 def signature_counts(logs: DataFrame) -> DataFrame:
@@ -111,10 +112,12 @@ def match_templates(signatures: DataFrame, templates: DataFrame) -> DataFrame:
 @dataclass
 class MinedTemplates:
     """``versions``: every state of every template, with the place it came up.
-    ``clusters``: the number of each template."""
+    ``clusters``: the number of each template. ``signatures``: the distinct
+    masked messages of the last run."""
 
     versions: DataFrame
     clusters: DataFrame
+    signatures: DataFrame | None = None
     order: tuple[str, ...] = field(default=ORDER)
 
     def numbered(self) -> DataFrame:
@@ -263,14 +266,22 @@ def mine_templates(
         base = clusters.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("m")).first().m
         born = born.join(clusters, ["n_tokens", "cluster"], "left_anti")
     ranked = rank_by_order(born, order, "template_id", base).select("n_tokens", "cluster", "template_id")
-    return MinedTemplates(versions, ranked if clusters is None else clusters.unionByName(ranked), order)
+    clusters = ranked if clusters is None else clusters.unionByName(ranked)
+    return MinedTemplates(versions, clusters, signatures, order)
 
 
-def assign_templates(logs: DataFrame, mined: MinedTemplates) -> DataFrame:
-    """Give each row the earliest template that covers it at its place in the order."""
+def assign_templates(logs: DataFrame, mined: MinedTemplates, same_logs: bool = False) -> DataFrame:
+    """Give each row the earliest template that covers it at its place in the order.
+
+    ``same_logs`` says that ``logs`` are the ones just mined, whose distinct
+    messages are at hand.
+    """
     order = mined.order
     rows = with_signature(logs)
-    signatures = _distinct_signatures(rows.select("signature", *order), order)
+    if same_logs:
+        signatures = mined.signatures
+    else:
+        signatures = _distinct_signatures(rows.select("signature", *order), order)
     numbered = mined.numbered().select("n_tokens", "tokens", "template_id", F.struct(*order).alias("since"))
     pairs = match_templates(signatures.select("sig_id", "n_tokens", "tokens"), numbered)
     per_template = pairs.groupBy("sig_id", "template_id").agg(F.min("since").alias("since"))
@@ -278,7 +289,7 @@ def assign_templates(logs: DataFrame, mined: MinedTemplates) -> DataFrame:
     sooner = W.partitionBy("sig_id").orderBy("since", "template_id").rowsBetween(W.unboundedPreceding, -1)
     lower = F.min("template_id").over(sooner)
     steps = per_template.withColumn("lower", lower).where("lower is null or template_id < lower")
-    steps = steps.groupBy("sig_id").agg(F.array_sort(F.collect_list(F.struct("since", "template_id"))).alias("steps"))
+    steps = steps.groupBy("sig_id").agg(F.sort_array(F.collect_list(F.struct("since", "template_id"))).alias("steps"))
     table = stored(
         signatures.join(steps, "sig_id").select(F.array_join("tokens", " ").alias("signature"), "steps"), "assignments"
     )
@@ -297,7 +308,7 @@ def template_text(rows: DataFrame, key: str = "template_id") -> DataFrame:
     words = distinct.select(key, F.posexplode("tokens").alias("pos", "token")).distinct()
     per_position = words.groupBy(key, "pos").agg(F.count("*").alias("n"), F.any_value("token").alias("token"))
     word = F.when(F.col("n") > 1, fv.WILDCARD).otherwise(F.col("token"))
-    listed = per_position.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("w"))
+    listed = per_position.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", word.alias("word")))).alias("w"))
     return listed.select(key, F.array_join(F.col("w")["word"], " ").alias("template"))
 
 
@@ -327,7 +338,7 @@ def sample_params(assigned: DataFrame, mined: MinedTemplates, n: int = 5) -> Dat
     numbered = mined.numbered().where(F.exists("tokens", lambda t: t == fv.WILDCARD))
     at = F.struct(F.struct(*order).alias("since"), F.col("tokens").alias("tokens"))
     history = numbered.groupBy("template_id").agg(
-        F.array_sort(F.collect_list(at)).alias("history"), F.min(F.struct(*order)).alias("from")
+        F.sort_array(F.collect_list(at)).alias("history"), F.min(F.struct(*order)).alias("from")
     )
     history = settle(history)
     since = broadcast_if_small(history.select("template_id", "from"))
@@ -342,14 +353,22 @@ def sample_params(assigned: DataFrame, mined: MinedTemplates, n: int = 5) -> Dat
 
 
 
-def template_summary(assigned: DataFrame, templates: DataFrame, key: str = "template_id", samples: int = 5) -> DataFrame:
+def template_summary(
+    assigned: DataFrame,
+    templates: DataFrame,
+    key: str = "template_id",
+    samples: int = 5,
+    logs: DataFrame | None = None,
+) -> DataFrame:
     """Size, errors, first and last time, and first messages of each template.
 
     ``templates`` has (key, template). Times are the first and last in row
-    order among rows with one.
+    order among rows with one. ``logs`` may name the table that ``assigned``
+    was made from, to read the few messages shown from there.
     """
     text = text_or_null(timestamp_text(F.col("ts"), F.col("ts_raw")))
-    rows = assigned.select(key, "level", "message", text.alias("time"), *ORDER)
+    rows = assigned.select(key, "level", "ts", "ts_raw", text.alias("time"), *ORDER)
+    texts = (assigned if logs is None else logs).select("message", text.alias("time"), *ORDER)
     dated = F.when(F.col("time").isNotNull(), F.col("line_number"))
     per_source = rows.groupBy(key, "source").agg(
         F.count("*").alias("size"),
@@ -376,10 +395,10 @@ def template_summary(assigned: DataFrame, templates: DataFrame, key: str = "temp
         .where(F.col("place").isNotNull())
     )
     wanted = settle(wanted.select(key, "rank", "what", "place.*"))
-    texts = rows.select("message", "time", *ORDER).join(broadcast_if_small(wanted), list(ORDER))
+    texts = texts.join(broadcast_if_small(wanted), list(ORDER))
     is_sample = F.col("what") == "sample"
     texts = texts.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(is_sample, F.struct("rank", "message")))).alias("s"),
+        F.sort_array(F.collect_list(F.when(is_sample, F.struct("rank", "message")))).alias("s"),
         F.max(F.when(F.col("what") == "first", F.col("time"))).alias("first_seen"),
         F.max(F.when(F.col("what") == "last", F.col("time"))).alias("last_seen"),
     )

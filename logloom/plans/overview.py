@@ -10,6 +10,7 @@ from logloom.operators import metrics as mt
 from logloom.operators import templates as tm
 from logloom.operators.parse import parse_logs
 from logloom.sources.datasets import load_dataset, save_dataset
+from logloom.sources.workspace import stored
 from logloom.sources.text import decode_lines, read_log_lines, require_lines
 
 
@@ -21,9 +22,9 @@ def ingest(spark: SparkSession, paths: str | list[str], out: str, year: int | No
 
 
 def with_templates(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with template_id, summary of the templates)."""
+    """(stored rows with template_id, summary of the templates)."""
     mined = tm.mine_templates(logs)
-    rows = tm.assign_templates(logs, mined)
+    rows = stored(tm.assign_templates(logs, mined, same_logs=True), "rows")
     return rows, tm.template_summary(rows, mined.latest())
 
 

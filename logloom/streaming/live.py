@@ -158,7 +158,7 @@ def _known(spark: SparkSession, path: str, batch_id: int) -> tm.MinedTemplates |
     # The format of the stored tables is the one of the miner.
     table = spark.read.parquet(*versions)
     clusters = _read(spark, _before(spark, f"{path}/clusters", batch_id), _CLUSTERS)
-    return tm.MinedTemplates(table, clusters, STREAM_ORDER)
+    return tm.MinedTemplates(table, clusters, order=STREAM_ORDER)
 
 
 def keep_templates(path: str, threshold: float = 0.5) -> Step:
@@ -177,7 +177,7 @@ def keep_templates(path: str, threshold: float = 0.5) -> Step:
         if known is not None:
             new_versions = mined.versions.where(F.col("batch_id") == batch_id)
             new_clusters = mined.clusters.join(known.clusters, ["n_tokens", "cluster"], "left_anti")
-        _put(tm.assign_templates(batch, mined), f"{path}/rows", batch_id)
+        _put(tm.assign_templates(batch, mined, same_logs=True), f"{path}/rows", batch_id)
         _put(new_clusters, f"{path}/clusters", batch_id)
         _put(new_versions, f"{path}/versions", batch_id)
 
