@@ -15,7 +15,8 @@ _SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3
 SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 _ZONE = r"(?:[Zz]|[+-]\d{2}:?\d{2})"
-_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[T\s]\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}}(?:[.,]\d{{1,9}})?)?{_ZONE}?)?$"
+_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[T\s]\d{{1,2}}:\d{{1,2}}:\d{{1,2}}(?:[.,]\d{{1,9}})?{_ZONE}?)?$"
+_MINUTES = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}}[T\s]\d{{1,2}}:\d{{1,2}})({_ZONE}?)$"
 _COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})((?:[.,]\d{{1,9}})?{_ZONE}?)$"
 _CLF = r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
 _SYSLOG = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}$"
@@ -133,6 +134,7 @@ def read_time(s: Column, year: Column | int | None = None) -> Column:
         F.when(s.rlike(_ISO), _iso_timestamp(s))
         .when(s.rlike(_CLF), _clf_timestamp(s))
         .when(s.rlike(_SYSLOG), _syslog_timestamp(s, year))
+        .when(s.rlike(_MINUTES), _iso_timestamp(F.regexp_replace(s, _MINUTES, "$1:00$2")))
         .when(s.rlike(_COMPACT), _iso_timestamp(F.regexp_replace(s, _COMPACT, "$1-$2-$3T$4:$5:$6$7"))),
     )
 

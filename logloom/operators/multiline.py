@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import normalize as nz
 from logloom.functions.capture import evaluate_once
+from logloom.sources.workspace import broadcast_if_small, settle
 
 
 def fold_lines(lines: DataFrame, header_regex: str, lines_per_chunk: int = 100_000) -> DataFrame:
@@ -30,7 +31,7 @@ def fold_lines(lines: DataFrame, header_regex: str, lines_per_chunk: int = 100_0
     earlier = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.select("source", "chunk", "first", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
 
-    placed = rows.join(chunks, ["source", "chunk"])
+    placed = rows.join(broadcast_if_small(settle(chunks)), ["source", "chunk"])
     head = F.col("first").isNull() | (F.col("line_number") < F.col("first"))
     home = F.when(head & F.col("carried").isNotNull(), F.floor(F.col("carried") / lines_per_chunk))
     placed = placed.select(

@@ -142,51 +142,81 @@ def _versions_schema(order_fields: list[T.StructField]) -> T.StructType:
     )
 
 
+class _Grid:
+    """Templates of one word count as rows of word codes, with an index.
+
+    A template that agrees with a line on ``need`` of its words agrees on at
+    least one of any ``width - need + 1`` positions. So only the templates
+    listed at the positions with the shortest lists are compared.
+    """
+
+    WILD = 0
+
+    def __init__(self, width: int, threshold: float, room: int):
+        self.width, self.threshold = width, threshold
+        self.need = next((k for k in range(width + 1) if k >= threshold * width), width + 1)
+        self.cells = np.zeros((room, width), dtype=np.int64)
+        self.version = np.zeros(room, dtype=np.int64)
+        self.used = 0
+        self.listed: list[dict[int, list[int]]] = [{} for _ in range(width)]
+
+    def put(self, row: int, line: np.ndarray, version: int) -> None:
+        for at in np.flatnonzero(self.cells[row] != line) if row < self.used else range(self.width):
+            self.listed[at].setdefault(int(line[at]), []).append(row)
+        self.cells[row], self.version[row] = line, version
+        self.used = max(self.used, row + 1)
+
+    def _candidates(self, line: np.ndarray) -> np.ndarray:
+        lists = [
+            held.get(int(code), []) + (held.get(self.WILD, []) if code != self.WILD else [])
+            for held, code in zip(self.listed, line)
+        ]
+        lists = sorted(lists, key=len)[: self.width - self.need + 1]
+        return np.unique(np.array([row for some in lists for row in some], dtype=np.int64))
+
+    def best(self, line: np.ndarray) -> int:
+        """The most similar template, the earliest on ties, or -1."""
+        if self.width == 0 or self.need == 0:
+            rows = np.arange(self.used)
+        else:
+            rows = self._candidates(line)
+        if not len(rows):
+            return -1
+        cells = self.cells[rows]
+        agree = ((cells == line) | (cells == self.WILD)).sum(axis=1)
+        at = int(agree.argmax())
+        return int(rows[at]) if agree[at] >= self.need else -1
+
+
 def _replay(threshold: float, order: tuple[str, ...]):
     """The greedy rule over the uncovered messages of one word count, in order."""
 
     def run(key, known: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-        width = int(key[0])
-        wild = 0
-        codes: dict[str, int] = {fv.WILDCARD: wild}
-        words = [fv.WILDCARD]
+        width, out = int(key[0]), []
+        codes, words = {fv.WILDCARD: _Grid.WILD}, [fv.WILDCARD]
 
-        def encode(tokens) -> list[int]:
-            out = []
+        def encode(tokens) -> np.ndarray:
             for t in tokens:
-                code = codes.setdefault(t, len(words))
-                if code == len(words):
+                if codes.setdefault(t, len(words)) == len(words):
                     words.append(t)
-                out.append(code)
-            return out
+            return np.array([codes[t] for t in tokens], dtype=np.int64)
 
+        grid = _Grid(width, threshold, len(known) + len(fresh))
         known = known.sort_values("cluster")
-        fresh = fresh.sort_values(list(order))
-        used = len(known)
-        grid = np.zeros((used + max(len(fresh), 1), width), dtype=np.int64)
-        version = np.zeros(len(grid), dtype=np.int64)
-        for i, (tokens, v) in enumerate(zip(known["tokens"], known["version"])):
-            grid[i], version[i] = encode(tokens), v
-        out = []
-        for row in fresh.to_dict("records"):
-            line = np.array(encode(row["tokens"]), dtype=np.int64)
-            at = -1
-            if used:
-                agree = ((grid[:used] == line) | (grid[:used] == wild)).sum(axis=1)
-                best = int(agree.argmax())
-                if width == 0 or agree[best] / width >= threshold:
-                    at = best
-            if at < 0:
-                at, used = used, used + 1
-                grid[at] = line
+        for row, (tokens, version) in enumerate(zip(known["tokens"], known["version"])):
+            grid.put(row, encode(tokens), version)
+        for item in fresh.sort_values(list(order)).to_dict("records"):
+            line = encode(item["tokens"])
+            row = grid.best(line)
+            if row < 0:
+                row, version = grid.used, 0
             else:
-                widened = np.where(grid[at] == line, line, wild)
-                if (widened == grid[at]).all():
+                line = np.where(grid.cells[row] == line, line, _Grid.WILD)
+                if (line == grid.cells[row]).all():
                     continue
-                grid[at] = widened
-                version[at] += 1
-            state = [words[c] for c in grid[at]]
-            out.append((width, at, int(version[at]), state, *[row[c] for c in order]))
+                version = int(grid.version[row]) + 1
+            grid.put(row, line, version)
+            out.append((width, row, version, [words[c] for c in line], *[item[c] for c in order]))
         return pd.DataFrame(out, columns=["n_tokens", "cluster", "version", "tokens", *order])
 
     return run
