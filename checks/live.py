@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import render as r
+from checks.mining import FOUND
 from checks.registry import query
 from logloom.operators import parse as P
 from logloom.sources.text import read_log_stream
@@ -16,9 +17,9 @@ LOGS = r.logs_sql()
 MILLIS = "(epoch_us(ts0) // 1000) * 1000 / 1e6"
 
 
-def _log_stream(spark: SparkSession, sf: str, level: str = r.LEVEL) -> DataFrame:
+def _log_stream(spark: SparkSession, sf: str, level: str = r.LEVEL, message: str = r.MESSAGE) -> DataFrame:
     """The events table as a stream of log rows."""
-    stored = r.log_table(spark, sf, level)
+    stored = r.log_table(spark, sf, level, message)
     path = new_dir(spark, "stream")
     stored.write.parquet(path)
     return spark.readStream.schema(stored.schema).parquet(path)
@@ -100,10 +101,10 @@ def _(spark, sf):
     return live.last_folder(spark, alerts).select("bucket", "total", "errors", "severity")
 
 
-@query("stream_templates")
+@query("stream_templates", FOUND)
 def _(spark, sf):
     out = new_dir(spark, "templates")
-    _step(_log_stream(spark, sf), live.keep_templates(out))
+    _step(_log_stream(spark, sf, message=r.NAMED_MESSAGE), live.keep_templates(out))
     return live.stored_templates(spark, out).latest().select("template_id", "template")
 
 

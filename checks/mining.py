@@ -139,7 +139,24 @@ def _(spark, sf):
     return tm.match_templates(rows, templates).select("signature", "template")
 
 
-@query("mine_templates")
+# The greedy rule row by row: ``run`` holds all templates after each row.
+LOOP = f"""{r.logs_sql(message=r.NAMED_MESSAGE).replace('WITH logs', 'WITH RECURSIVE logs', 1)},
+ split AS MATERIALIZED (SELECT line_number, string_split({_masked('message')}, ' ') AS w FROM logs),
+ run(k, id, tpl) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[][])
+  UNION ALL SELECT k + 1, CASE WHEN share >= 0.5 THEN best ELSE len(tpl) + 1 END,
+   CASE WHEN share >= 0.5 THEN tpl[:best - 1]
+     || [[CASE WHEN x[1] = x[2] THEN x[1] ELSE '<*>' END FOR x IN list_zip(tpl[best], w)]] || tpl[best + 1:]
+    ELSE tpl || [w] END
+  FROM (SELECT k, tpl, w, list_max(shares) AS share, list_position(shares, list_max(shares)) AS best
+   FROM (SELECT k, tpl, w, [CASE WHEN len(t) = len(w)
+      THEN len([1 FOR x IN list_zip(t, w) IF x[1] = x[2] OR x[1] = '<*>']) / len(w) ELSE -1e0 END FOR t IN tpl] AS shares
+    FROM run JOIN split ON split.line_number = run.k + 1))),
+ final AS (SELECT tpl FROM run WHERE k = (SELECT max(k) FROM run))"""
+FOUND = f"""{LOOP} SELECT unnest(range(1, len(tpl) + 1)) AS template_id,
+ unnest([array_to_string(t, ' ') FOR t IN tpl]) AS template FROM final"""
+
+
+@query("mine_templates", FOUND)
 def _(spark, sf):
     return tm.mine_templates(r.log_table(spark, sf, message=r.NAMED_MESSAGE)).latest().select("template_id", "template")
 
@@ -151,7 +168,7 @@ def _(spark, sf):
     return tm.mine_templates(logs).latest().select("template_id", "n_tokens", "template")
 
 
-@query("assign_templates")
+@query("assign_templates", f"{LOOP} SELECT k AS line_number, id AS template_id FROM run WHERE k > 0")
 def _(spark, sf):
     logs = r.log_table(spark, sf, message=r.NAMED_MESSAGE)
     return tm.assign_templates(logs, tm.mine_templates(logs), same_logs=True).select("line_number", "template_id")

@@ -243,7 +243,7 @@ def test_exports_in_order_with_limit(spark, logs_of):
     logs = logs_of([(float(i), "INFO", None, f'a "{i}",\nb') for i in range(30)])
     path = new_dir(spark, "csv")
     ds.write_csv(logs, path, limit=10)
-    lines = [x.value for x in spark.read.option("wholetext", True).text(path).collect()]
+    lines = [x.value for x in spark.read.text(path, wholetext=True).collect()]
     start = "Timestamp,Level,Service,Message,Source,Line\n1970-01-01T00:00:00+00:00,INFO,,"
     assert any(text.startswith(start) for text in lines)
     got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
