@@ -151,41 +151,36 @@ def detect_format(lines: DataFrame) -> DataFrame:
     )
 
 
-def _fallback(lines: DataFrame, detected: DataFrame) -> DataFrame:
-    """Sources whose format gives rows for too few lines, and generic for more."""
+def _fallback(lines: DataFrame, detected: DataFrame) -> DataFrame | None:
+    """Sources whose format gives rows for too few lines, and generic for more.
+
+    Every line is tried with the format of its source only; generic is tried
+    in a second scan, and only if some source has too few rows.
+    """
     formats = [f for f in fm.DETECTABLE if f is not fm.GENERIC]
-    body = nz.strip(F.col("line"))
-    tried = lines.join(broadcast_if_small(detected.where(F.col("parser") != fm.GENERIC.name)), "source")
-    tried = tried.select("source", "parser", "line_number", body.alias("body"))
+    body = nz.strip(F.col("line")).alias("body")
+    own = broadcast_if_small(detected.where(F.col("parser") != fm.GENERIC.name).select("source", "parser"))
+    tried = lines.join(own, "source").select("source", "parser", "line_number", body)
     fits = _choose(formats, lambda f: f.accept(f.extract(F.col("body"))))
-    generic = fm.GENERIC.accept(fm.GENERIC.extract(F.col("body")))
-    spring = F.col("parser") == fm.SPRING.name
-    rows = tried.select(
-        "source",
-        "line_number",
-        spring.alias("spring"),
-        (F.col("body") != "").alias("filled"),
-        F.coalesce(fits, F.lit(False)).alias("fits"),
-        F.coalesce(generic, F.lit(False)).alias("generic"),
-    )
-    first_header = F.min(F.when(F.col("fits"), F.col("line_number")))
-    counts = rows.groupBy("source").agg(
+    tried = tried.select("source", "parser", "line_number", F.coalesce(fits, F.lit(False)).alias("fits"))
+    counts = tried.groupBy("source").agg(
         F.count("*").alias("n"),
         F.count_if("fits").alias("n_fits"),
-        F.count_if("generic").alias("n_generic"),
-        F.any_value("spring").alias("spring"),
-        first_header.alias("first_header"),
+        F.bool_or(F.col("parser") == fm.SPRING.name).alias("spring"),
+        F.min(F.when(F.col("fits"), F.col("line_number"))).alias("first_header"),
     )
-    few = counts.where(F.col("n_fits") < F.col("n") * fv.FALLBACK_SHARE)
+    few = settle(counts.where(F.col("n_fits") < F.col("n") * fv.FALLBACK_SHARE))
+    if few.isEmpty():
+        return None
+    again = lines.join(broadcast_if_small(few), "source").select("*", body).where("body <> ''")
     # Lines before the first Spring header are rows as well.
-    few = settle(few)
-    early = lines.join(broadcast_if_small(few.where("spring").select("source", "first_header")), "source")
-    early = early.where((nz.strip(F.col("line")) != "") & (F.col("line_number") < F.coalesce("first_header", F.lit(2**62))))
-    early = early.groupBy("source").agg(F.count("*").alias("n_early"))
-    rows_given = F.col("n_fits") + F.coalesce("n_early", F.lit(0))
+    early = F.col("spring") & (F.col("line_number") < F.coalesce("first_header", F.lit(2**62)))
+    generic = F.coalesce(fm.GENERIC.accept(fm.GENERIC.extract(F.col("body"))), F.lit(False))
+    sums = again.groupBy("source").agg(F.count_if(early).alias("n_early"), F.count_if(generic).alias("n_generic"))
+    given = F.col("n_fits") + F.col("n_early")
     return (
-        few.join(early, "source", "left")
-        .where((rows_given < F.col("n") * fv.FALLBACK_SHARE) & (F.col("n_generic") > rows_given))
+        few.join(sums, "source")
+        .where((given < F.col("n") * fv.FALLBACK_SHARE) & (F.col("n_generic") > given))
         .select("source", F.lit(fm.GENERIC.name).alias("fallback"))
     )
 
@@ -193,9 +188,10 @@ def _fallback(lines: DataFrame, detected: DataFrame) -> DataFrame:
 def choose_parsers(lines: DataFrame, fallback: bool = True) -> DataFrame:
     """(source, parser, score) to parse with: as detected, or generic."""
     detected = settle(detect_format(lines))
-    if not fallback:
+    swaps = _fallback(lines, detected) if fallback else None
+    if swaps is None:
         return detected
-    swapped = detected.join(_fallback(lines, detected), "source", "left")
+    swapped = detected.join(swaps, "source", "left")
     return settle(swapped.select("source", F.coalesce("fallback", "parser").alias("parser"), "score"))
 
 

@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Most rows that any broadcast of ours may hold.
+# The most that any broadcast of ours may hold.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting; beyond the bound Spark picks the join.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint after measuring rows and bytes; beyond the bounds Spark
+    picks a shuffled join, whose skewed partitions it splits at run time.
 
-    Only for settled or stored frames, since counting runs a job.
+    Only for settled or stored frames, since measuring runs a job.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    bytes_ = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), bytes_.alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
