@@ -16,7 +16,7 @@ from logloom.operators import parse as P
 from logloom.schema import LOG_SCHEMA
 from logloom.sources import datasets as ds
 from logloom.sources.text import decode_lines, read_log_lines
-from logloom.sources.workspace import new_dir
+from logloom.sources.workspace import new_dir, stored
 
 LOGS = r.logs_sql()
 MILLIS = "(epoch_us(ts0) // 1000) * 1000 / 1e6"
@@ -286,7 +286,8 @@ def _(spark, sf):
  FROM placed WHERE src <> 'changing' OR place > 20""",
 )
 def _(spark, sf):
-    logs = P.parse_logs(r.mixed_lines(spark, sf), year=2024)
+    lines = stored(r.mixed_lines(spark, sf), "lines")  # read several times
+    logs = P.parse_logs(lines, year=2024)
     return logs.select("source", "line_number", "parser", "epoch", "level", "service", "message")
 
 
