@@ -10,7 +10,7 @@ from logloom.sources.workspace import new_dir, settle
 from tests.test_templates import greedy, random_rows
 
 
-def drain(stream, step, name):
+def play(stream, step, name):
     spark = stream.sparkSession
     q = live.run_step(stream, step, new_dir(spark, name)).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -29,7 +29,7 @@ def test_stream_parse_and_tail(spark):
     text = [f'{{"ts":"2024-01-01T00:00:{i:02d}Z","level":"warn","msg":"m {i}"}}' for i in range(40)]
     stream, lines = line_stream(spark, {"a": text[:25], "b": text[25:]})
     out = new_dir(spark, "tail")
-    drain(live.stream_parse(stream, P.parse_json), live.keep_newest(out, 7), "cp")
+    play(live.stream_parse(stream, P.parse_json), live.keep_newest(out, 7), "cp")
     got = [r.message for r in live.last_folder(spark, out).orderBy(F.desc("ts")).collect()]
     assert got == [f"m {i}" for i in range(39, 32, -1)]
 
@@ -46,7 +46,7 @@ def test_stream_multiline_equals_batch(spark):
         part = lines.where((F.col("line_number") >= lo) & (F.col("line_number") < hi))
         part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    drain(stream, live.keep_multiline(out), "cp")
+    play(stream, live.keep_multiline(out), "cp")
     got = live.multiline_rows(spark, out).unionByName(live.flush_multiline(spark, out))
     want = P.group_multiline(lines)
     key = ["line_number", "level", "message", "raw", "id"]
@@ -62,7 +62,7 @@ def test_stream_templates_equal_one_run(spark):
     for lo, hi in ((0, 100), (100, 150), (150, 240)):
         df.where((F.col("line_number") >= lo) & (F.col("line_number") < hi)).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    drain(stream, live.keep_templates(out), "cp")
+    play(stream, live.keep_templates(out), "cp")
     got = {r.line_number: r.template_id for r in spark.read.parquet(f"{out}/rows").collect()}
     assert got == dict(enumerate(ids))
     assert {r.template_id: r.template for r in live.stored_templates(spark, out).latest().collect()} == dict(enumerate(texts, 1))
@@ -75,7 +75,7 @@ def test_stream_bursts(spark):
         text += [f'{{"ts":"2024-01-01T{hour:02d}:00:{i:02d}Z","level":"{"error" if i < errors else "info"}","msg":"m"}}' for i in range(50)]
     stream, _ = line_stream(spark, {"a": text[:380], "b": text[380:]})
     counts, alerts = new_dir(spark, "counts"), new_dir(spark, "alerts")
-    drain(live.stream_parse(stream, P.parse_json), live.watch_bursts(counts, alerts), "cp")
+    play(live.stream_parse(stream, P.parse_json), live.watch_bursts(counts, alerts), "cp")
     got = live.last_folder(spark, alerts).collect()
     assert [(r.start_ts.hour, r.errors, r.total, r.severity) for r in got] == [(7, 40, 50, "high")]
 
