@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.registry import Query
 
@@ -46,3 +47,32 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.line_dedup import dedup_lines
+
+    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.quality_rules import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_model")
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.quality_model import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
