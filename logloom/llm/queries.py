@@ -76,3 +76,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.quality_model import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_minhash_dedup")
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)

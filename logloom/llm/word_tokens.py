@@ -9,14 +9,27 @@ tokenizers library.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from logloom.llm.frames import blocks
 
 WORD_BPE = "word_bpe_49k.json"
 # Words that a task remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 400_000
+# Letters that are one code point each, lowered one by one, in NFC as they are.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,;:!?]?)")
+
+
+def byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 characters are themselves, others count up from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(rest)) for b in range(256))
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,11 +40,49 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordEncoder:
+    """Words of plain letters, with one mark after them at most, are lowered
+    here and go to the BPE model many at a time; the word-end marks of the
+    vocabulary show where each ends. All others go through the tokenizer's own
+    normaliser and splitter one by one.
+    """
+
     def __init__(self, path: str, memory: int = MEMORY_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.model, self.memory = Tokenizer.from_file(path), Tokenizer.from_file(path), memory
+        self.model.normalizer, self.model.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.letters = dict(enumerate(byte_letters()))
+        self.known: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.marks = {"": b""} | {m: self.one_by_one([m.encode()])[0] for m in ".,;:!?"}
+
+    def one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", f.ids).tobytes() for f in found]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        ids = np.array(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-        self.tokenizer, self.known, self.memory = Tokenizer.from_file(path), {}, memory
+    def learn(self, fresh: list[bytes]) -> None:
+        split = [PLAIN.fullmatch(w.decode("utf-8", "replace")) for w in fresh]
+        pairs = [(m[1].lower(), m[2]) if m else None for m in split]
+        new = list({p[0] for p in pairs if p}.difference(self.plain))
+        if len(self.plain) + len(new) > self.memory:
+            self.plain.clear()
+            new = list({p[0] for p in pairs if p})
+        if new:
+            self.plain.update(zip(new, self.together(new), strict=True))
+        self.known.update((w, self.plain[p[0]] + self.marks[p[1]]) for w, p in zip(fresh, pairs) if p)
+        other = [w for w, p in zip(fresh, pairs) if not p]
+        self.known.update(zip(other, self.one_by_one(other)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
@@ -42,9 +93,7 @@ class WordEncoder:
             if len(self.known) + len(fresh) > self.memory:
                 self.known.clear()
                 fresh = set().union(*split)
-            fresh = list(fresh)
-            for word, found in zip(fresh, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)):
-                self.known[word] = array("I", found.ids).tobytes()
+            self.learn(list(fresh))
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
 
