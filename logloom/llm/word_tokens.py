@@ -18,8 +18,9 @@ import numpy as np
 from logloom.llm.frames import blocks
 
 WORD_BPE = "word_bpe_49k.json"
-# Words that a task remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 400_000
+# Words that a task remembers; when full, it starts anew and takes over what
+# it meets again of the full one.
+MEMORY_WORDS = 250_000
 # Letters that are one code point each, lowered one by one, in NFC as they are.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,;:!?]?)")
 
@@ -58,6 +59,7 @@ class WordEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[bytes, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.older, self.older_plain = self.known, self.plain
         self.marks = {"": b""} | {m: self.one_by_one([m.encode()])[0] for m in ".,;:!?"}
 
     def one_by_one(self, words: list[bytes]) -> list[bytes]:
@@ -74,10 +76,13 @@ class WordEncoder:
     def learn(self, fresh: list[bytes]) -> None:
         split = [PLAIN.fullmatch(w.decode("utf-8", "replace")) for w in fresh]
         pairs = [(m[1].lower(), m[2]) if m else None for m in split]
-        new = list({p[0] for p in pairs if p}.difference(self.plain))
+        new = {p[0] for p in pairs if p}.difference(self.plain)
         if len(self.plain) + len(new) > self.memory:
-            self.plain.clear()
-            new = list({p[0] for p in pairs if p})
+            self.plain, self.older_plain = {}, self.plain
+            new = {p[0] for p in pairs if p}
+        again = new.intersection(self.older_plain)
+        self.plain.update(zip(again, map(self.older_plain.__getitem__, again)))
+        new = list(new.difference(again))
         if new:
             self.plain.update(zip(new, self.together(new), strict=True))
         self.known.update((w, self.plain[p[0]] + self.marks[p[1]]) for w, p in zip(fresh, pairs) if p)
@@ -89,12 +94,15 @@ class WordEncoder:
         out: list[bytes] = []
         for a, b in blocks(texts):
             split = [t.split() for t in texts[a:b]]
-            fresh = set().union(*split).difference(self.known)
+            words = set().union(*split)
+            fresh = words.difference(self.known)
             if len(self.known) + len(fresh) > self.memory:
-                self.known.clear()
-                fresh = set().union(*split)
-            self.learn(list(fresh))
-            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
+                self.known, self.older = {}, self.known
+                fresh = words
+            again = fresh.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            self.learn(list(fresh.difference(again)))
+            out += [b"".join(map(self.known.__getitem__, t)) for t in split]
         return out
 
 
