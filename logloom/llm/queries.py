@@ -83,3 +83,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op8_vector_dedup")
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.vector_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.95)
