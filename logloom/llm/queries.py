@@ -90,3 +90,10 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.vector_dedup import near_duplicate_vectors
 
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
