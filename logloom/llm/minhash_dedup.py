@@ -12,9 +12,11 @@ similarity with the concentration of sampling without replacement.
    with the least class of its buckets, on the full sets, and what is linked
    becomes components.
 3. Only buckets that still hold several components are looked at further:
-   blocks of their members are compared by sketch, and pairs of different
-   components whose sketches agree in ``FLOOR`` of the bins or more are
-   compared on the full sets. Linked ones join their components.
+   where the sketches of different components agree in ``FLOOR`` of the bins
+   or more, their documents form a cluster. Clusters are compared on the full
+   sets, two blocks of documents at a time, and what is linked joins its
+   components. Both steps return a row per document and meeting of blocks,
+   not a row per pair.
 
 A link that no bucket holds is lost with probability (1 - s^ROWS)^(COORDS /
 ROWS), 1.4e-7 at s = 0.8, or if its sketches agree in less than ``FLOOR``
@@ -42,7 +44,7 @@ from logloom.llm.frames import as_bytes, batched, doc_table, stored
 COORDS = 120
 ROWS = 4
 FLOOR = 0.62
-BLOCK = 512
+BLOCK = 128
 MEMORY_WORDS = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = spread(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
@@ -160,29 +162,108 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return batched(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u long, v long")
 
 
-def agreeing_pairs(mixed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches agree.
+def local_least(nodes: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """The least node that each row reaches through a matrix of links."""
+    a, b = np.nonzero(close)
+    least = nodes.copy()
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, least[b])
+        np.minimum.at(least, b, least[a])
+        if (least == before).all():
+            return least
+
+
+def met_in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Deal the rows of each key into blocks by hash of ``node``; two blocks
+    meet as ``x, y``, and ``own`` is the row's block. No meeting grows with
+    the key. Meetings of keys of one block are gathered by some 2,000 rows,
+    ``meeting`` names the group in which a row arrives."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("members"), F.ceil(F.count("*") / block).cast("int").alias("n"))
+    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node", key), F.col("n")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = placed.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
+    alone = sizes.where("n = 1").agg(F.sum("members")).first()[0] or 0
+    groups = max(1, alone // 2000)
+    few = F.pmod(F.xxhash64(key), F.lit(groups))
+    return placed.withColumn("meeting", F.when(F.col("n") == 1, few).otherwise(F.xxhash64(key, "x", "y"))).drop("with", "n", "members")
+
+
+def each_meeting(rows: pd.DataFrame, key: str):
+    """The meetings in a group, each sorted by node, with the mask of pairs
+    that this meeting has to look at."""
+    for (_, x, y), part in rows.groupby([key, "x", "y"], sort=False):
+        part = part.sort_values("node")
+        own = part["own"].to_numpy()
+        yield part, np.triu(np.ones((len(part),) * 2, bool) if x == y else own[:, None] != own[None, :], 1)
+
+
+def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``u, v``: v is the least node that u reaches through sketches agreeing
+    across components within a bucket (v = u if it is the least itself).
+
+    ``mixed`` has ``key, node, component`` and is read more than once, so it
+    should be stored; ``reps`` has the sketches. A row per node and meeting
+    comes out, never a row per pair.
+    """
 
-    ``mixed`` has ``key, node, component, sketch``. A bucket is cut into
-    blocks of some ``block`` members by hash; two blocks at a time meet in one
-    group, so no group grows with the bucket.
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for part, mask in each_meeting(rows, "key"):
+            coords, label, nodes = np.stack([np.frombuffer(s, np.uint32) for s in part["sketch"]]), part["component"].to_numpy(), part["node"].to_numpy()
+            mask &= label[:, None] != label[None, :]
+            same = np.zeros(mask.shape, np.int32)
+            for column in coords.T:
+                same += column[:, None] == column[None, :]
+            mask &= same >= FLOOR * COORDS
+            seen = mask.any(axis=0) | mask.any(axis=1)
+            if seen.any():
+                u.append(nodes[seen])
+                v.append(local_least(nodes, mask)[seen])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)} if u else {"u": [], "v": []}, dtype="int64")
+
+    return met_in_blocks(mixed, "key", block).join(reps, "node").groupBy("meeting").applyInPandas(compare, "u long, v long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of intersection sizes, by products of 0/1 blocks of columns."""
+    sizes = [len(s) for s in sets]
+    items, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column) > 1
+    column, row = np.where(often, np.cumsum(often) - 1, -1)[column], np.repeat(np.arange(len(sets)), sizes)
+    column, row = column[column >= 0], row[column >= 0]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.diag(np.array(sizes, np.float32))
+    off = np.zeros_like(out)
+    for start in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        off += part @ part.T
+    np.fill_diagonal(off, 0)
+    return off + out
+
+
+def verified_within(clusters: DataFrame, texts: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """``u, v`` links on full sets among the texts of each cluster.
+
+    ``clusters`` has ``cluster, node`` and should be stored; a row per node
+    and meeting comes out: the least node that links reach within the meeting.
     """
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = mixed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    met = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    placed = placed.select("*", met.alias("with")).select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "component", "sketch")
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["own"] == key[1]], rows[rows["own"] == key[2]]
-        coords = np.stack([np.frombuffer(s, np.uint32) for s in right["sketch"]]) if len(right) else np.zeros((0, COORDS), np.uint32)
-        nodes, labels, found = right["node"].to_numpy(), right["component"].to_numpy(), []
-        for node, label, mine in zip(left["node"], left["component"], left["sketch"]):
-            same = (coords == np.frombuffer(mine, np.uint32)).sum(axis=1) >= FLOOR * COORDS
-            hit = nodes[same & (labels != label) & ((nodes < node) | (key[1] != key[2]))]
-            found += [(max(node, n), min(node, n)) for n in hit.tolist()]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for part, mask in each_meeting(rows, "cluster"):
+            nodes, sets = part["node"].to_numpy(), [shingle_set(t.encode(), width) for t in part["text"]]
+            both, size = shared_counts(sets).astype(np.int64), np.array([len(s) for s in sets])
+            mask &= 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            least = local_least(nodes, mask)
+            u.append(nodes[least < nodes])
+            v.append(least[least < nodes])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)} if u else {"u": [], "v": []}, dtype="int64")
 
-    return placed.groupBy("key", "x", "y").applyInPandas(compare, "u long, v long").distinct()
+    return met_in_blocks(clusters, "cluster", block).join(texts, "node").groupBy("meeting").applyInPandas(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -202,8 +283,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = buckets.join(stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct(), "node", "left_semi")
     named = named.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    pairs = stored(agreeing_pairs(named.join(several, "key", "left_semi").join(reps, "node")).join(stars, ["u", "v"], "left_anti"), "pairs")
-    more = verified(pairs, texts, width, percent)
+    close = stored(agreeing(stored(named.join(several, "key", "left_semi"), "several"), reps), "close")
+    cluster = stored(components(close).withColumnRenamed("component", "cluster"), "clusters")
+    more = verified_within(cluster, texts, width, percent)
     same_set = table.join(classes, ["s1", "s2"]).where("doc_id > node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = stored(components(links.unionByName(more).unionByName(same_set)), "components")
     joined = table.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
