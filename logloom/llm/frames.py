@@ -6,7 +6,7 @@ by name, so extra columns of the input never clash with theirs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.sources.workspace import new_dir, shared_dir, stored
 
-__all__ = ["as_bytes", "batched", "blocks", "doc_table", "md5_longs", "new_dir", "shared_dir", "stored"]
+__all__ = ["as_bytes", "batched", "blocks", "doc_table", "md5_longs", "new_dir", "ranges", "shared_dir", "stored"]
 
 # Bytes of text that a Python step works on at once.
 BLOCK_BYTES = 1 << 20
@@ -30,16 +30,20 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+def ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of some ``most`` bytes, a longer text alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    start = size = end = 0
+    for n in sizes:
+        if size and size + n > most:
+            yield start, end
+            start, size = end, 0
+        size, end = size + n, end + 1
+    if start < end:
+        yield start, end
+
+
+def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    return ranges(map(len, texts), most)
 
 
 def batched(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:

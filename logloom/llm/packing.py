@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.frames import as_bytes, batched, doc_table, stored
+from logloom.llm.frames import batched, doc_table, stored
 from logloom.llm.word_tokens import WORD_BPE, encoder
 
 GROUP_PIECES = 10_000
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str = WORD_BPE, end_id: in
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        ids = encoder(tokenizer).encode(as_bytes(batch["text"]))
+        ids = encoder(tokenizer).encode(batch["text"])
         for doc_id, raw in zip(batch["doc_id"].to_pylist(), ids):
             raw = memoryview(raw + end)
             for piece, at in enumerate(range(0, len(raw), 4 * capacity)):

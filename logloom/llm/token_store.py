@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.frames import as_bytes, batched, doc_table
+from logloom.llm.frames import batched, doc_table
 from logloom.llm.word_tokens import WORD_BPE, encoder
 
 STRIPE_BYTES = 16 << 20
@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def encode(batch: pa.RecordBatch) -> dict:
-        ids = [v + end for v in encoder(tokenizer).encode(as_bytes(batch["text"]))]
+        ids = [v + end for v in encoder(tokenizer).encode(batch["text"])]
         lengths = np.fromiter((len(v) // 4 for v in ids), np.int32, len(ids))
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(ids), np.int32))

@@ -12,17 +12,23 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from logloom.llm.frames import blocks
+from logloom.llm.frames import ranges
 
 WORD_BPE = "word_bpe_49k.json"
 # Words that a task remembers; when full, it starts anew and takes over what
 # it meets again of the full one.
-MEMORY_WORDS = 250_000
-# Letters that are one code point each, lowered one by one, in NFC as they are.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,;:!?]?)")
+MEMORY_WORDS = 400_000
+# Bytes of text whose distinct words are numbered at once.
+SLICE_BYTES = 8 << 20
+# One word per line: letters that are one code point each, lowered one by one
+# and in NFC as they are, then a run of ASCII marks, which is one token unit.
+PLAIN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u017e]+)([!-/:-@\\[-`{-~]*)|.*)$", re.MULTILINE)
 
 
 def byte_letters() -> str:
@@ -41,7 +47,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Words of plain letters, with one mark after them at most, are lowered
+    """Words of plain letters, marks after them or not, are lowered
     here and go to the BPE model many at a time; the word-end marks of the
     vocabulary show where each ends. All others go through the tokenizer's own
     normaliser and splitter one by one.
@@ -58,9 +64,9 @@ class WordEncoder:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.letters = dict(enumerate(byte_letters()))
         self.known: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.plain = {"": b""}
         self.older, self.older_plain = self.known, self.plain
-        self.marks = {"": b""} | {m: self.one_by_one([m.encode()])[0] for m in ".,;:!?"}
+        self.marks = {"": b""}
 
     def one_by_one(self, words: list[bytes]) -> list[bytes]:
         found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -74,35 +80,53 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, fresh: list[bytes]) -> None:
-        split = [PLAIN.fullmatch(w.decode("utf-8", "replace")) for w in fresh]
-        pairs = [(m[1].lower(), m[2]) if m else None for m in split]
-        new = {p[0] for p in pairs if p}.difference(self.plain)
+        if not fresh:
+            return
+        letters, marks = zip(*PLAIN.findall(b"\n".join(fresh).decode("utf-8", "replace").lower()))
+        new = set(letters).difference(self.plain)
         if len(self.plain) + len(new) > self.memory:
-            self.plain, self.older_plain = {}, self.plain
-            new = {p[0] for p in pairs if p}
+            self.plain, self.older_plain = {"": b""}, self.plain
+            new = set(letters).difference(self.plain)
         again = new.intersection(self.older_plain)
         self.plain.update(zip(again, map(self.older_plain.__getitem__, again)))
         new = list(new.difference(again))
         if new:
             self.plain.update(zip(new, self.together(new), strict=True))
-        self.known.update((w, self.plain[p[0]] + self.marks[p[1]]) for w, p in zip(fresh, pairs) if p)
-        other = [w for w, p in zip(fresh, pairs) if not p]
+        new = list(set(marks).difference(self.marks))
+        if len(self.marks) + len(new) > self.memory:
+            self.marks, new = {"": b""}, list(set(marks).difference([""]))
+        self.marks.update(zip(new, self.one_by_one([m.encode() for m in new])))
+        self.known.update(zip(fresh, map(add, map(self.plain.__getitem__, letters), map(self.marks.__getitem__, marks)), strict=True))
+        other = [w for w, plain in zip(fresh, letters) if not plain]
         self.known.update(zip(other, self.one_by_one(other)))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        fresh = set(words).difference(self.known)
+        if len(self.known) + len(fresh) > self.memory:
+            self.known, self.older = {}, self.known
+            fresh = set(words)
+        again = fresh.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(list(fresh.difference(again)))
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers.
+
+        Arrow splits the texts and numbers their distinct words; the ids of
+        those are then taken in the order of the text.
+        """
         out: list[bytes] = []
-        for a, b in blocks(texts):
-            split = [t.split() for t in texts[a:b]]
-            words = set().union(*split)
-            fresh = words.difference(self.known)
-            if len(self.known) + len(fresh) > self.memory:
-                self.known, self.older = {}, self.known
-                fresh = words
-            again = fresh.intersection(self.older)
-            self.known.update(zip(again, map(self.older.__getitem__, again)))
-            self.learn(list(fresh.difference(again)))
-            out += [b"".join(map(self.known.__getitem__, t)) for t in split]
+        texts = texts.cast(pa.large_string()).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for a, b in ranges(sizes, SLICE_BYTES):
+            words = pc.ascii_split_whitespace(texts.slice(a, b - a))
+            numbered = words.flatten().dictionary_encode()
+            ids = pa.array(self.look_up(numbered.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).take(numbered.indices)
+            places = np.frombuffer(ids.buffers()[1], np.int64)[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(ids) else np.zeros(len(words) + 1, np.int64)
+            raw = ids.buffers()[2].to_pybytes() if len(ids) and ids.buffers()[2] else b""
+            out += [raw[x:y] for x, y in zip(places.tolist(), places[1:].tolist())]
         return out
 
 
