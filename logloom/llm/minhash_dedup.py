@@ -29,81 +29,79 @@ without an id link with nothing; an empty input gives no rows.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.components import components
 from logloom.llm.cuckoo import spread
-from logloom.llm.frames import as_bytes, batched, doc_table, stored
+from logloom.llm.frames import batched, doc_table, ranges, stored
 
 COORDS = 120
 ROWS = 4
 FLOOR = 0.62
 BLOCK = 128
-MEMORY_WORDS = 400_000
+# Bytes of text whose distinct words are numbered at once.
+SLICE_BYTES = 8 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = spread(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 
 
-class WordHashes:
-    """64-bit hashes of lower-cased words, remembered within a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        import xxhash
-
-        words = text.lower().split()
-        fresh = set(words).difference(self.known)
-        if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.known.clear()
-            fresh = set(words)
-        self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (ASCII letters lowered).
 
-@lru_cache(1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+    Arrow splits the words and numbers the distinct ones, which alone are
+    hashed here.
+    """
+    import xxhash
+
+    out: list[np.ndarray] = []
+    texts = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
+    for a, b in ranges(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
+        split = pc.ascii_split_whitespace(texts.slice(a, b - a))
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        codes, places = numbered.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        real = np.fromiter(map(len, distinct), np.int64, len(distinct))[codes] > 0
+        words = hashes[codes]
+        for x, y in zip(places, places[1:]):
+            out.append(_shingles(words[x:y][real[x:y]], width))
+    return out
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes (ASCII letters lowered)."""
-    words = word_hashes()(text)
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     width = min(width, len(words))
     if not width:
         return words
     with np.errstate(over="ignore"):
-        mixed = words[: len(words) - width + 1].copy()
+        mixed = words[: len(words) - width + 1]
         for i in range(1, width):
             mixed = spread(mixed * _A + words[i : len(words) - width + 1 + i] * _B + np.uint64(i))
     return np.unique(mixed)
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """``COORDS`` 32-bit coordinates of a non-empty set."""
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out, filled = np.zeros(COORDS, np.uint32), np.zeros(COORDS, bool)
-    for turn, seed in enumerate(_SEEDS):
-        hashed = spread(items ^ seed)
-        least = np.full(COORDS, empty)
-        if turn < COORDS:
-            bins = ((hashed >> np.uint64(32)) * np.uint64(COORDS) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(least, bins, hashed << np.uint64(32) | np.uint64(turn))
-        else:
-            least[turn - COORDS] = hashed.min() << np.uint64(32) | np.uint64(turn)
-        new = ~filled & (least != empty)
-        out[new] = (spread(least[new]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        filled |= new
-        if filled.all():
-            break
-    return out
+    """``COORDS`` 32-bit coordinates of a non-empty set.
+
+    As many rounds are thrown at once as fill all bins with high probability;
+    a bin takes its value from the earliest round that reaches it.
+    """
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least, turn = np.full(COORDS, none), 0
+    together = max(1, -(-8 * COORDS // len(items)))
+    while turn < COORDS and (least == none).any():
+        turns = np.arange(turn, min(COORDS, turn + together), dtype=np.uint64)
+        hashed = spread(items[None, :] ^ _SEEDS[turn : turn + len(turns), None])
+        bins = (hashed >> np.uint64(32)) * np.uint64(COORDS) >> np.uint64(32)
+        np.minimum.at(least, bins.astype(np.int64).ravel(), (turns[:, None] << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF)).ravel())
+        turn += len(turns)
+    for i in np.flatnonzero(least == none):  # these rounds throw everything into one bin
+        least[i] = spread(items ^ _SEEDS[COORDS + i]).min() >> np.uint64(32) | np.uint64(COORDS + i) << np.uint64(32)
+    return (spread(least) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def band_keys(coords: np.ndarray) -> np.ndarray:
@@ -123,8 +121,7 @@ def sketch_table(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         out: dict[str, list] = {k: [] for k in ("n_shingles", "s1", "s2", "sketch")}
-        for text in as_bytes(batch["text"]):
-            items = shingle_set(text, width)
+        for items in shingle_sets(batch["text"], width):
             pair = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), "<i8").tolist() if len(items) else [None, None]
             for k, v in zip(out, (len(items), *pair, sketch(items).tobytes() if len(items) else None)):
                 out[k].append(v)
@@ -146,14 +143,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """The pairs ``u, v`` whose full sets are similar enough."""
 
     def work(batch: pa.RecordBatch) -> dict:
+        texts = pa.concat_arrays([batch["text_u"], batch["text_v"]]).dictionary_encode()
+        sets, at = shingle_sets(texts.dictionary, width), texts.indices.to_numpy()
         u, v = [], []
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for a, b, s, t in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), as_bytes(batch["text_u"]), as_bytes(batch["text_v"])):
-            if last[0] != b:
-                last = (b, shingle_set(t, width))
-            one, two = shingle_set(s, width), last[1]
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * both >= percent * (len(one) + len(two) - both):
+        for a, b, i, j in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), at, at[batch.num_rows :]):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 u.append(a)
                 v.append(b)
         return {"u": u, "v": v}
@@ -255,7 +250,7 @@ def verified_within(clusters: DataFrame, texts: DataFrame, width: int, percent:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
         for part, mask in each_meeting(rows, "cluster"):
-            nodes, sets = part["node"].to_numpy(), [shingle_set(t.encode(), width) for t in part["text"]]
+            nodes, sets = part["node"].to_numpy(), shingle_sets(pa.array(part["text"], pa.large_string()), width)
             both, size = shared_counts(sets).astype(np.int64), np.array([len(s) for s in sets])
             mask &= 100 * both >= percent * (size[:, None] + size[None, :] - both)
             least = local_least(nodes, mask)
