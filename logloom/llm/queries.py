@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import Query
+from logloom.llm import oracles
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).drop("row")
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", oracles.LINE_DEDUP)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.line_dedup import dedup_lines
 
@@ -57,14 +58,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", oracles.QUALITY_RULES)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.quality_rules import verdicts
 
     return verdicts(table(spark, sf_dir, "documents"))
 
 
-@query("op6_mixing")
+@query("op6_mixing", oracles.MIXING)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.mixing import mixed
 
