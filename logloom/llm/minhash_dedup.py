@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.cuckoo import spread
 from logloom.llm.frames import batched, doc_table, ranges, stored
+from logloom.llm.meetings import each_meeting, local_least, met_in_blocks
 
 COORDS = 120
 ROWS = 4
@@ -157,42 +158,6 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return batched(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u long, v long")
 
 
-def local_least(nodes: np.ndarray, close: np.ndarray) -> np.ndarray:
-    """The least node that each row reaches through a matrix of links."""
-    a, b = np.nonzero(close)
-    least = nodes.copy()
-    while True:
-        before = least.copy()
-        np.minimum.at(least, a, least[b])
-        np.minimum.at(least, b, least[a])
-        if (least == before).all():
-            return least
-
-
-def met_in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Deal the rows of each key into blocks by hash of ``node``; two blocks
-    meet as ``x, y``, and ``own`` is the row's block. No meeting grows with
-    the key. Meetings of keys of one block are gathered by some 2,000 rows,
-    ``meeting`` names the group in which a row arrives."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("members"), F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node", key), F.col("n")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    placed = placed.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
-    alone = sizes.where("n = 1").agg(F.sum("members")).first()[0] or 0
-    groups = max(1, alone // 2000)
-    few = F.pmod(F.xxhash64(key), F.lit(groups))
-    return placed.withColumn("meeting", F.when(F.col("n") == 1, few).otherwise(F.xxhash64(key, "x", "y"))).drop("with", "n", "members")
-
-
-def each_meeting(rows: pd.DataFrame, key: str):
-    """The meetings in a group, each sorted by node, with the mask of pairs
-    that this meeting has to look at."""
-    for (_, x, y), part in rows.groupby([key, "x", "y"], sort=False):
-        part = part.sort_values("node")
-        own = part["own"].to_numpy()
-        yield part, np.triu(np.ones((len(part),) * 2, bool) if x == y else own[:, None] != own[None, :], 1)
-
-
 def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
     """``u, v``: v is the least node that u reaches through sketches agreeing
     across components within a bucket (v = u if it is the least itself).
@@ -204,7 +169,7 @@ def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
-        for part, mask in each_meeting(rows, "key"):
+        for _, part, mask in each_meeting(rows, "key"):
             coords, label, nodes = np.stack([np.frombuffer(s, np.uint32) for s in part["sketch"]]), part["component"].to_numpy(), part["node"].to_numpy()
             mask &= label[:, None] != label[None, :]
             same = np.zeros(mask.shape, np.int32)
@@ -214,7 +179,7 @@ def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame
             seen = mask.any(axis=0) | mask.any(axis=1)
             if seen.any():
                 u.append(nodes[seen])
-                v.append(local_least(nodes, mask)[seen])
+                v.append(local_least(nodes, *np.nonzero(mask))[seen])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)} if u else {"u": [], "v": []}, dtype="int64")
 
     return met_in_blocks(mixed, "key", block).join(reps, "node").groupBy("meeting").applyInPandas(compare, "u long, v long").distinct()
@@ -249,11 +214,11 @@ def verified_within(clusters: DataFrame, texts: DataFrame, width: int, percent:
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
-        for part, mask in each_meeting(rows, "cluster"):
+        for _, part, mask in each_meeting(rows, "cluster"):
             nodes, sets = part["node"].to_numpy(), shingle_sets(pa.array(part["text"], pa.large_string()), width)
             both, size = shared_counts(sets).astype(np.int64), np.array([len(s) for s in sets])
             mask &= 100 * both >= percent * (size[:, None] + size[None, :] - both)
-            least = local_least(nodes, mask)
+            least = local_least(nodes, *np.nonzero(mask))
             u.append(nodes[least < nodes])
             v.append(least[least < nodes])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)} if u else {"u": [], "v": []}, dtype="int64")

@@ -8,9 +8,9 @@ least lead is replaced by the next nearest. Pairs that meet where one of them
 is at home are compared by cosine in double precision.
 
 Equal vectors are one class with a number of copies. Only buckets with two
-classes or more are looked at. A bucket is cut into blocks, two blocks meet in
-one group, and a group returns a row per vector: the links it counts and the
-least vector it reaches. A link that many groups see is counted in the first
+classes or more are looked at. A bucket is cut into blocks, two blocks meet at
+a time, and a meeting returns a row per vector: the links it counts and the
+least vector it reaches. A link that many meetings see is counted in the first
 table and bucket where it can be seen, which both vectors' codes tell, so no
 pair is ever written.
 
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.cuckoo import spread
 from logloom.llm.frames import batched, stored
+from logloom.llm.meetings import each_meeting, local_least, met_in_blocks
 
 TABLES = 12
-HASHES = 3
-PROBES = 2
+HASHES = 4
+PROBES = 3
 BLOCK = 128
 SLICE = 4096
 
@@ -110,45 +111,27 @@ def vector_table(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return batched(chosen, work, "vec_id long, s1 long, s2 long, vector binary")
 
 
-def _local_least(n: int, a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """The least node that each of n rows reaches through the links a-b."""
-    least = nodes.copy()
-    while True:
-        before = least.copy()
-        np.minimum.at(least, a, least[b])
-        np.minimum.at(least, b, least[a])
-        if (least == before).all():
-            return least
-
-
-def group_links(rows: pd.DataFrame, key: tuple, threshold: float) -> pd.DataFrame:
-    """``node, n_links, least`` of the links that this group has to count."""
-    bucket, x, y = key
-    order = np.argsort(rows["node"].to_numpy(), kind="stable")
-    rows = rows.iloc[order]
-    nodes, own, copies, home = (rows[c].to_numpy() for c in ("node", "own", "copies", "home"))
-    vectors = np.stack([np.frombuffer(v, float) for v in rows["vector"]])
-    codes = np.stack([np.frombuffer(c, np.int64) for c in rows["codes"]]).reshape(len(rows), -1, int(rows["width"].iloc[0]))
+def meeting_links(bucket: int, rows: pd.DataFrame, mask: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Per row the links that this meeting has to count, weighed by copies,
+    and the least node that the row reaches in it."""
+    nodes, copies, home = (rows[c].to_numpy() for c in ("node", "copies", "home"))
+    vectors = np.frombuffer(b"".join(rows["vector"]), float).reshape(len(rows), -1)
     norms = np.linalg.norm(vectors, axis=1)
-    close = vectors @ vectors.T / (norms[:, None] * norms[None, :]) >= threshold
-    close &= (home[:, None] | home[None, :]) & (np.ones((len(rows),) * 2, bool) if x == y else own[:, None] != own[None, :])
-    a, b = np.nonzero(np.triu(close, 1))
-    links, least = np.zeros(len(rows), np.int64), nodes
+    close = mask & (home[:, None] | home[None, :]) & (vectors @ vectors.T / (norms[:, None] * norms[None, :]) >= threshold)
+    a, b = np.nonzero(close)
+    links = np.zeros(len(rows), np.int64)
     if len(a):
-        counts = []
+        codes = np.frombuffer(b"".join(rows["codes"]), np.int64).reshape(len(rows), -1, int(rows["width"].iloc[0]))
+        counted = np.zeros(len(a), bool)
         for i in range(0, len(a), SLICE):
             one, two = codes[a[i : i + SLICE]], codes[b[i : i + SLICE]]
             at_a = (one[:, :, :1] == two).any(axis=2)  # b comes to a's home
             at_b = (two[:, :, :1] == one).any(axis=2)
-            first = (at_a | at_b).argmax(axis=1)
-            pick = np.arange(len(one))
-            counts.append(np.where(at_a[pick, first], one[pick, first, 0], two[pick, first, 0]) == bucket)
-        counted = np.concatenate(counts)
+            pick, first = np.arange(len(one)), (at_a | at_b).argmax(axis=1)
+            counted[i : i + SLICE] = np.where(at_a[pick, first], one[pick, first, 0], two[pick, first, 0]) == bucket
         np.add.at(links, a[counted], copies[b[counted]])
         np.add.at(links, b[counted], copies[a[counted]])
-        least = _local_least(len(rows), a, b, nodes)
-    seen = (links > 0) | (least < nodes)
-    return pd.DataFrame({"node": nodes[seen], "n_links": links[seen], "least": least[seen]})
+    return nodes, links, local_least(nodes, a, b)
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
@@ -172,15 +155,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col:
     coded = stored(batched(same, code, "node long, copies long, vector binary, codes binary, keys array<long>"), "codes")
     member = coded.select("node", F.posexplode("keys").alias("place", "key")).select("key", "node", (F.col("place") % (1 + probes) == 0).alias("home"))
     member = member.groupBy("key", "node").agg(F.max("home").alias("home"))
-    sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("used")).where("n > 1 AND used").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    placed = member.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    met = met.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "home", "node").join(coded.drop("keys"), "node")
+    shared = member.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("used")).where("n > 1 AND used").select("key")
+    member = stored(member.join(shared, "key"), "members")
 
-    def compare(batches: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return group_links(rows, batches, threshold)
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [meeting_links(bucket, part, mask, threshold) for bucket, part, mask in each_meeting(rows, "key")]
+        out = pd.DataFrame(dict(zip(("node", "n_links", "least"), map(np.concatenate, zip(*parts)))))
+        return out[(out["n_links"] > 0) | (out["least"] < out["node"])]
 
-    found = stored(met.withColumn("width", F.lit(1 + probes)).groupBy("key", "x", "y").applyInPandas(compare, "node long, n_links long, least long"), "found")
+    met = met_in_blocks(member, "key", block).join(coded.drop("keys"), "node").withColumn("width", F.lit(1 + probes))
+    found = stored(met.groupBy("meeting").applyInPandas(compare, "node long, n_links long, least long"), "found")
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     reach = components(found.where("least < node").select(F.col("node").alias("u"), F.col("least").alias("v")))
     per_class = classes.join(links, "node", "left").join(reach, "node", "left")
