@@ -19,10 +19,17 @@ MILLIS = "(epoch_us(ts0) // 1000) * 1000 / 1e6"
 
 def _log_stream(spark: SparkSession, sf: str, level: str = r.LEVEL, message: str = r.MESSAGE) -> DataFrame:
     """The events table as a stream of log rows."""
-    stored = r.log_table(spark, sf, level, message)
-    path = new_dir(spark, "stream")
-    stored.write.parquet(path)
-    return spark.readStream.schema(stored.schema).parquet(path)
+    return _in_parts(r.log_table(spark, sf, level, message))
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """A stream that gets the rows in four micro-batches, in line order."""
+    path = new_dir(rows.sparkSession, "stream")
+    cuts = rows.agg(F.max("line_number")).first()[0] or 0
+    for i in range(4):
+        part = rows.where((F.col("line_number") > cuts * i // 4) & (F.col("line_number") <= cuts * (i + 1) // 4))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _table(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -44,12 +51,16 @@ def _step(stream: DataFrame, step: live.Step) -> None:
 
 @query(
     "stream_parse",
-    f"{LOGS} SELECT {MILLIS} AS epoch, level, service, message, CAST(status_code AS BIGINT) AS status_code FROM logs",
+    f"""{LOGS} SELECT event_id % 1000 + 1 AS line_number, (SELECT count(*) FROM logs) AS n_ids, {MILLIS} AS epoch, level, service, message,
+ CAST(status_code AS BIGINT) AS status_code FROM logs""",
 )
 def _(spark, sf):
-    lines = read_log_stream(spark, f"{r.text_files(spark, sf, r.json_line(), 10_000)}/*")
-    logs = _table(live.stream_parse(lines, P.parse_json))
-    return logs.select("epoch", "level", "service", "message", F.col("status_code").cast("bigint").alias("status_code"))
+    lines = read_log_stream(spark, f"{r.text_files(spark, sf, r.json_line())}/*", max_files=3)
+    out = new_dir(spark, "rows")
+    _step(lines, live.numbered(P.parse_json, live.keep_rows(out)))
+    logs = spark.read.parquet(out)
+    ids = F.lit(logs.select("id").distinct().count()).alias("n_ids")
+    return logs.select("line_number", ids, "epoch", "level", "service", "message", F.col("status_code").cast("bigint").alias("status_code"))
 
 
 @query("stream_tail", f"{LOGS} SELECT line_number, epoch, message FROM logs ORDER BY ts0 DESC, line_number DESC LIMIT 50")
@@ -64,6 +75,15 @@ def _(spark, sf):
     return _table(live.stream_level_counts(_log_stream(spark, sf)), "complete")
 
 
+@query(
+    "stream_error_rate",
+    f"""{LOGS} SELECT count(*) AS total, count(*) FILTER (level = 'ERROR') AS errors,
+ round(count(*) FILTER (level = 'ERROR') * 100e0 / count(*), 2) AS error_rate FROM logs""",
+)
+def _(spark, sf):
+    return _table(live.stream_error_rate(_log_stream(spark, sf)), "complete")
+
+
 @query(
     "stream_histogram",
     f"""{LOGS} SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts0)) AS start_us, count(*) AS total,
@@ -115,9 +135,7 @@ def _(spark, sf):
  'at c.acme.Handler.run(Handler.java:' || CAST(event_id % 300 AS VARCHAR) || ')' ELSE message END AS message FROM logs""",
 )
 def _(spark, sf):
-    lines, path, out = r.spring_lines(spark, sf), new_dir(spark, "lines"), new_dir(spark, "multiline")
-    lines.repartitionByRange(4, "line_number").write.parquet(path)
-    stream = spark.readStream.schema(lines.schema).parquet(path)
-    _step(stream, live.keep_multiline(out))
+    out = new_dir(spark, "multiline")
+    _step(_in_parts(r.spring_lines(spark, sf)), live.keep_multiline(out))
     rows = live.multiline_rows(spark, out).unionByName(live.flush_multiline(spark, out))
     return rows.select("line_number", "level", "message")

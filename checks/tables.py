@@ -433,4 +433,4 @@ _STEPS = "steps(category, key, value) AS (VALUES " + ", ".join(
 )
 def _(spark, sf):
     logs = r.log_table(spark, sf)
-    return dg.incident_report(logs, an.all_anomalies(logs).where("section = 2"))
+    return dg.incident_report(logs, an.all_anomalies(logs))

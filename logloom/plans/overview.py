@@ -11,12 +11,12 @@ from logloom.operators import templates as tm
 from logloom.operators.parse import parse_logs
 from logloom.sources.datasets import load_dataset, save_dataset
 from logloom.sources.workspace import stored
-from logloom.sources.text import decode_lines, read_log_lines, require_lines
+from logloom.sources.text import read_log_lines, require_lines
 
 
 def ingest(spark: SparkSession, paths: str | list[str], out: str, year: int | None = None) -> DataFrame:
     """Read text files, parse them, and store the log table once for all later queries."""
-    lines = require_lines(decode_lines(read_log_lines(spark, paths)))
+    lines = require_lines(read_log_lines(spark, paths, decode=True))
     save_dataset(parse_logs(lines, year), out)
     return load_dataset(spark, out)
 

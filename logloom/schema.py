@@ -44,8 +44,8 @@ LOG_COLUMNS = LOG_SCHEMA.fieldNames()
 
 
 def row_id() -> Column:
-    """Row id that a retried task computes alike."""
-    return F.sha2(F.concat_ws(":", "source", F.col("line_number").cast("string")), 256)
+    """Row id that a retried task computes alike; null without a line number."""
+    return F.when(F.col("line_number").isNotNull(), F.sha2(F.concat_ws(":", "source", F.col("line_number").cast("string")), 256))
 
 
 def ord_struct(*names: str) -> Column:

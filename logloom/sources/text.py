@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.sources.workspace import broadcast_if_small, settle
-
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row of a partition here
+from logloom.sources.workspace import broadcast_if_small, settle, stored
 
 
 def _placed(df: DataFrame, source_as: str) -> DataFrame:
@@ -20,35 +18,46 @@ def _placed(df: DataFrame, source_as: str) -> DataFrame:
     )
 
 
-def number_lines(placed: DataFrame) -> DataFrame:
+def number_lines(placed: DataFrame, decode: bool = False) -> DataFrame:
     """Give each line its 1-based number in its file, without shuffling lines.
 
-    A file split is read in order by one task, so a line's place in its split
-    is its row id less the split's first one. The split sizes are a small
-    table: one row per split, added up per file.
+    The text is read once, into a table in the shared folder. A file split is
+    read in order by one task, so a line's place in its split is its row id
+    less the split's first one. The split sizes are a small table: one row per
+    split, added up per file. Both come from the stored rows, so they agree
+    however the files were cut. ``decode`` is :func:`decode_lines`, from a
+    flag that was stored with each line.
     """
     rows = placed.withColumn("row_id", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("valid", F.is_valid_utf8("line")), "lines")
     splits = rows.groupBy("path", "block").agg(F.min("row_id").alias("first_id"), F.count("*").alias("n"))
     before = "sum(n) over (partition by path order by block rows between unbounded preceding and 1 preceding)"
     splits = settle(splits.select("path", "block", "first_id", F.coalesce(F.expr(before), F.lit(0)).alias("before")))
-    return rows.join(broadcast_if_small(splits), ["path", "block"]).select(
+    lines = rows.join(broadcast_if_small(splits), ["path", "block"]).select(
         "source", (F.col("before") + F.col("row_id") - F.col("first_id") + 1).alias("line_number"), "line"
     )
+    return _as_latin1(lines, rows.where("NOT valid")) if decode else lines
 
 
-def read_log_lines(spark: SparkSession, paths: str | list[str], source_as: str = "path") -> DataFrame:
+def read_log_lines(
+    spark: SparkSession, paths: str | list[str], source_as: str = "path", decode: bool = False
+) -> DataFrame:
     """Lines of text files as (source, line_number, line).
 
     ``source`` is the file's path, or its bare name with ``source_as='name'``
     (then names must differ). Blank lines keep their numbers. Bytes that are
-    no UTF-8 pass unchanged; see :func:`decode_lines`.
+    no UTF-8 pass unchanged, unless ``decode`` asks for :func:`decode_lines`.
     """
-    return number_lines(_placed(spark.read.text(paths), source_as))
+    return number_lines(_placed(spark.read.text(paths), source_as), decode)
 
 
 def decode_lines(lines: DataFrame) -> DataFrame:
     """Read a source as Latin-1 when any of its lines is not valid UTF-8."""
-    broken = settle(lines.where(~F.is_valid_utf8("line")).select("source").distinct())
+    return _as_latin1(lines, lines.where(~F.is_valid_utf8("line")))
+
+
+def _as_latin1(lines: DataFrame, invalid: DataFrame) -> DataFrame:
+    broken = settle(invalid.select("source").distinct())
     if broken.isEmpty():
         return lines
     marked = lines.join(broadcast_if_small(broken.withColumn("broken", F.lit(True))), "source", "left")

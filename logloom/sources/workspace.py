@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The most that any broadcast of ours may hold.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 << 20
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = getattr(shared_dir, "local", None)
         if base is None:
@@ -31,7 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/logloom-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/logloom-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders that this driver made. Frames that still
+    read from them can't be used any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        folder = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -51,8 +67,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     """Broadcast hint after measuring rows and bytes; beyond the bounds Spark
     picks a shuffled join, whose skewed partitions it splits at run time.
 
-    Only for settled or stored frames, since measuring runs a job.
+    Only for settled or stored frames, since measuring runs a job. It stops
+    counting past the bound, and a row counts its texts and 16 bytes a field.
     """
-    bytes_ = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    size = df.agg(F.count("*").alias("rows"), bytes_.alias("bytes")).first()
+    few = df.limit(max_rows + 1)
+    widths = [_width(f) for f in df.schema]
+    size = few.select(reduce(add, widths).alias("bytes")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
+
+
+def _width(field: T.StructField) -> Column:
+    name = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
+    return F.lit(16)

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from logloom import fixed_values as fv
+from logloom.functions import normalize as nz
 from logloom.operators import anomalies as an
 from logloom.operators import templates as tm
-from logloom.operators.metrics import count_levels
+from logloom.operators.metrics import count_levels, error_rate
 from logloom.operators.parse import group_multiline
 from logloom.schema import LOG_SCHEMA, ORDER
 from logloom.sources.text import number_lines
@@ -28,21 +29,38 @@ Step = Callable[[DataFrame, int], None]
 
 
 def stream_parse(lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Parse arriving lines with a parse job; line numbers stay null."""
+    """Parse arriving lines with a parse job. Lines without numbers give rows
+    without numbers and ids; :func:`numbered` gives both."""
     if "line_number" not in lines.columns:
         lines = lines.withColumn("line_number", F.lit(None).cast("bigint"))
     return parse(lines.select(*ORDER, "line"))
 
 
+def numbered(parse: Callable[[DataFrame], DataFrame], step: Step) -> Step:
+    """Number the lines of each micro-batch of :func:`read_log_stream`, parse
+    them, and hand the rows to ``step``. A file arrives whole in one batch, so
+    numbers and ids are those of the batch job."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        step(parse(number_lines(batch)), batch_id)
+
+    return run
+
+
 def watermarked(logs: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return logs.withWatermark("ts", delay)
 
 
 def stream_level_counts(logs: DataFrame) -> DataFrame:
-    """Running rows and errors per level (complete or update mode)."""
+    """Running rows per level (complete or update mode)."""
     return logs.groupBy("level").agg(F.count("*").alias("n"))
 
 
+def stream_error_rate(logs: DataFrame) -> DataFrame:
+    """Running rows, errors and error rate (complete mode)."""
+    return error_rate(logs)
+
+
 def stream_histogram(logs: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Rows per level in tumbling windows, each final once the watermark passes it."""
     window = F.window("ts", width)
@@ -86,18 +104,33 @@ def _folders(spark: SparkSession, path: str) -> list[int]:
     fs = root.getFileSystem(conf)
     if not fs.exists(root):
         return []
-    names = [s.getPath() for s in fs.listStatus(root)]
-    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch="))
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
 
+def _last(spark: SparkSession, path: str, before: int = 2**62) -> str | None:
+    """The newest finished folder of an earlier batch; a repeated batch does
+    not see its first try. A folder holds all that its batch left to know, so
+    one is enough."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for b in reversed([b for b in _folders(spark, path) if b < before]):
+        mark = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}/_SUCCESS")
+        if mark.getFileSystem(conf).exists(mark):
+            return f"{path}/batch={b}"
+    return None
 
-def _before(spark: SparkSession, path: str, batch_id: int) -> list[str]:
-    """Folders of earlier batches; a repeated batch does not see its first try."""
-    return [f"{path}/batch={b}" for b in _folders(spark, path) if b < batch_id]
 
+def _read(spark: SparkSession, folder: str | None, schema) -> DataFrame | None:
+    return spark.read.schema(schema).parquet(folder) if folder else None
 
-def _read(spark: SparkSession, folders: list[str], schema) -> DataFrame | None:
-    return spark.read.schema(schema).parquet(*folders) if folders else None
+
+def keep_rows(path: str) -> Step:
+    """Keep the rows of each batch in a folder of its own."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        _put(batch, path, batch_id)
+
+    return step
 
 
 # --- live tail --------------------------------------------------------------------
@@ -107,7 +140,7 @@ def keep_newest(path: str, n: int = 50) -> Step:
     """Keep the newest ``n`` rows in the last folder below ``path``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        held = _read(batch.sparkSession, _before(batch.sparkSession, path, batch_id)[-1:], batch.schema)
+        held = _read(batch.sparkSession, _last(batch.sparkSession, path, batch_id), batch.schema)
         rows = batch if held is None else batch.unionByName(held)
         newest = rows.orderBy(F.desc_nulls_last("ts"), *[F.desc(c) for c in ORDER]).limit(n)
         _put(newest, path, batch_id)
@@ -116,7 +149,7 @@ def keep_newest(path: str, n: int = 50) -> Step:
 
 
 def last_folder(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/batch={_folders(spark, path)[-1]}")
+    return spark.read.parquet(_last(spark, path))
 
 
 # --- live error bursts --------------------------------------------------------------
@@ -127,8 +160,8 @@ _BUCKETS = "bucket bigint, total bigint, errors bigint"
 def watch_bursts(counts: str, alerts: str, width_seconds: int = 3600) -> Step:
     """Add up errors per time bucket, then judge all buckets after each batch.
 
-    ``counts`` gets what each batch adds (rows per bucket, not logs);
-    ``alerts`` the bursts known so far.
+    ``counts`` gets the sums of all buckets so far (rows per bucket, not
+    logs); ``alerts`` the bursts known so far.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -136,10 +169,12 @@ def watch_bursts(counts: str, alerts: str, width_seconds: int = 3600) -> Step:
         dated = batch.where(F.col("ts").isNotNull())
         bucket = F.floor(F.unix_seconds("ts") / width_seconds).alias("bucket")
         errors = F.count_if(F.col("level").isin(fv.ERROR_LEVELS)).alias("errors")
-        _put(dated.groupBy(bucket).agg(F.count("*").alias("total"), errors), counts, batch_id)
-        known = _read(spark, [*_before(spark, counts, batch_id), f"{counts}/batch={batch_id}"], _BUCKETS)
+        new = dated.groupBy(bucket).agg(F.count("*").alias("total"), errors)
+        held = _read(spark, _last(spark, counts, batch_id), _BUCKETS)
+        both = new if held is None else new.unionByName(held)
+        _put(both.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors")), counts, batch_id)
         start = F.timestamp_seconds(F.col("bucket") * width_seconds).alias("start_ts")
-        buckets = known.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors"))
+        buckets = spark.read.schema(_BUCKETS).parquet(f"{counts}/batch={batch_id}")
         _put(an.error_bursts(dated, buckets.select("*", start)), alerts, batch_id)
 
     return step
@@ -152,20 +187,20 @@ _CLUSTERS = "n_tokens int, cluster bigint, template_id bigint"
 
 
 def _known(spark: SparkSession, path: str, batch_id: int) -> tm.MinedTemplates | None:
-    versions = _before(spark, f"{path}/versions", batch_id)
-    if not versions:
+    versions = _last(spark, f"{path}/versions", batch_id)
+    if versions is None:
         return None
     # The format of the stored tables is the one of the miner.
-    table = spark.read.parquet(*versions)
-    clusters = _read(spark, _before(spark, f"{path}/clusters", batch_id), _CLUSTERS)
+    table = spark.read.parquet(versions)
+    clusters = _read(spark, _last(spark, f"{path}/clusters", batch_id), _CLUSTERS)
     return tm.MinedTemplates(table, clusters, order=STREAM_ORDER)
 
 
 def keep_templates(path: str, threshold: float = 0.5) -> Step:
     """Give arriving rows template numbers, as one run over all rows would.
 
-    Below ``path``: versions and clusters hold what each batch adds to the
-    templates, rows the numbered logs.
+    Below ``path``: the newest folder of versions and clusters holds all
+    templates, rows the numbered logs of each batch.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -173,13 +208,9 @@ def keep_templates(path: str, threshold: float = 0.5) -> Step:
         batch = settle(batch.withColumn("batch_id", F.lit(batch_id)))
         known = _known(spark, path, batch_id)
         mined = tm.mine_templates(batch, threshold, known, STREAM_ORDER)
-        new_versions, new_clusters = mined.versions, mined.clusters
-        if known is not None:
-            new_versions = mined.versions.where(F.col("batch_id") == batch_id)
-            new_clusters = mined.clusters.join(known.clusters, ["n_tokens", "cluster"], "left_anti")
         _put(tm.assign_templates(batch, mined, same_logs=True), f"{path}/rows", batch_id)
-        _put(new_clusters, f"{path}/clusters", batch_id)
-        _put(new_versions, f"{path}/versions", batch_id)
+        _put(mined.clusters, f"{path}/clusters", batch_id)
+        _put(mined.versions, f"{path}/versions", batch_id)
 
     return step
 
@@ -191,35 +222,51 @@ def stored_templates(spark: SparkSession, path: str) -> tm.MinedTemplates:
 # --- live multi-line rows ---------------------------------------------------------------
 
 _LINES = "source string, line_number bigint, line string"
+_OPEN = f"{_LINES}, since bigint"
 
 
-def keep_multiline(path: str, number: bool = False, **options) -> Step:
+def keep_multiline(
+    path: str, number: bool = False, header_regex: str = fv.SPRING_HEADER_PATTERN, idle_batches: int | None = None, **options
+) -> Step:
     """Fold stack traces that arrive over several micro-batches.
 
-    The last entry of each source may go on, so its lines are held in
-    ``open`` until a later header of that source closes it, or until
+    With ``number``, the stream is one of files (:func:`read_log_stream`): a
+    file is whole in its batch, so all its entries are done and nothing is
+    held. Else the last entry of each source may go on, so its lines are held
+    in ``open`` until a later header of that source closes it, until its
+    source has had no lines for ``idle_batches`` batches, or until
     :func:`flush_multiline`. Closed entries go to ``rows``. Folding is the
     batch job, so a busy source is many tasks here as well.
     """
 
+    def fold(lines: DataFrame) -> DataFrame:
+        return group_multiline(lines, header_regex, **options).select(*LOG_SCHEMA.fieldNames())
+
+    def whole_files(batch: DataFrame, batch_id: int) -> None:
+        _put(fold(number_lines(batch)), f"{path}/rows", batch_id)
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        lines = settle(number_lines(batch) if number else batch.select(*ORDER, "line"))
-        held = _read(spark, _before(spark, f"{path}/open", batch_id)[-1:], _LINES)
-        lines = lines if held is None else lines.unionByName(held)
-        entries = settle(group_multiline(lines, **options))
-        headers = entries.where(F.col("epoch").isNotNull() | F.col("ts_raw").isNotNull())
-        last = settle(headers.groupBy("source").agg(F.max("line_number").alias("last_header")))
-        closed = entries.join(last, "source", "left").where("last_header is null or line_number < last_header")
-        _put(closed.select(*LOG_SCHEMA.fieldNames()), f"{path}/rows", batch_id)
-        _put(lines.join(last, "source").where("line_number >= last_header").drop("last_header"), f"{path}/open", batch_id)
-
-    return step
+        lines = batch.select(*ORDER, "line", F.lit(batch_id).cast("bigint").alias("since"))
+        held = _read(spark, _last(spark, f"{path}/open", batch_id), _OPEN)
+        lines = settle(lines if held is None else lines.unionByName(held))
+        header = F.when(nz.strip(F.col("line")).rlike(header_regex), F.col("line_number"))
+        last = lines.groupBy("source").agg(F.max(header).alias("last_header"), F.max("since").alias("last_seen"))
+        if idle_batches is not None:
+            done = F.lit(batch_id) - F.col("last_seen") >= idle_batches
+            last = last.withColumn("last_header", F.when(~done, F.col("last_header")))
+        last = settle(last)
+        is_open = F.col("last_header").isNotNull() & (F.col("line_number") >= F.col("last_header"))
+        parted = lines.join(last, "source")
+        _put(fold(parted.where(~is_open).select(*ORDER, "line")), f"{path}/rows", batch_id)
+        _put(parted.where(is_open).select(*ORDER, "line", F.col("last_seen").alias("since")), f"{path}/open", batch_id)
+
+    return whole_files if number else step
 
 
 def flush_multiline(spark: SparkSession, path: str, **options) -> DataFrame:
     """The entries that are still open."""
-    return group_multiline(spark.read.schema(_LINES).parquet(f"{path}/open/batch={_folders(spark, f'{path}/open')[-1]}"), **options)
+    return group_multiline(spark.read.schema(_OPEN).parquet(_last(spark, f"{path}/open")).drop("since"), **options)
 
 
 def multiline_rows(spark: SparkSession, path: str) -> DataFrame:

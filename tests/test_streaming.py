@@ -1,9 +1,11 @@
 """Streams give what the batch jobs give on the same files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import parse as P
 from logloom.operators import templates as tm
+from logloom.plans.overview import ingest
 from logloom.sources.text import number_lines, read_log_lines, read_log_stream
 from logloom.streaming import live
 from logloom.sources.workspace import new_dir, settle
@@ -53,6 +55,58 @@ def test_stream_multiline_equals_batch(spark):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
 
 
+SPRING = "2026-10-02 00:30:{:02d}.000 ERROR 1 --- [x] a.B : m{}"
+
+
+def test_files_need_no_flush(spark):
+    """The last entry of a file that has arrived is no longer open."""
+    files = {f"f{k}": [SPRING.format(1, k), "\tat a", SPRING.format(2, k), f"\tat b{k}", "\tat c"] for k in range(3)}
+    stream, lines = line_stream(spark, files)
+    out = new_dir(spark, "ml")
+    play(stream, live.keep_multiline(out, number=True), "cp")
+    key = ["source", "line_number", "message", "id"]
+    got = sorted(map(tuple, live.multiline_rows(spark, out).select(key).collect()))
+    assert len(got) == 6 and got == sorted(map(tuple, P.group_multiline(lines).select(key).collect()))
+
+
+@pytest.mark.parametrize("idle", [None, 1])
+def test_own_header_and_idle_sources(spark, idle):
+    """An entry over two batches is one row; a silent source is closed."""
+    parts = [[("a", 1, "BEGIN 1"), ("b", 1, "BEGIN 9"), ("b", 2, " y")], [("a", 2, " x"), ("a", 3, "BEGIN 2")], [("a", 4, " z")]]
+    path, out = new_dir(spark, "lines"), new_dir(spark, "ml")
+    schema = "source string, line_number bigint, line string"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    play(stream, live.keep_multiline(out, header_regex="^BEGIN", idle_batches=idle), "cp")
+    got = {(r.source, r.line_number, r.raw) for r in live.multiline_rows(spark, out).collect()}
+    closed = {("a", 1, "BEGIN 1\n x")} | ({("b", 1, "BEGIN 9\n y")} if idle else set())
+    assert {(s, n) for s, n, _ in got} == {(s, n) for s, n, _ in closed}
+    rest = {(r.source, r.line_number) for r in live.flush_multiline(spark, out, header_regex="^BEGIN").collect()}
+    assert rest == {("a", 3)} | (set() if idle else {("b", 1)})
+
+
+def test_stream_ids_are_those_of_the_batch_job(spark):
+    text = [f'{{"level":"warn","msg":"m {i}"}}' for i in range(30)]
+    stream, lines = line_stream(spark, {"a": text[:12], "b": text[12:]})
+    out = new_dir(spark, "rows")
+    play(stream, live.numbered(P.parse_json, live.keep_rows(out)), "cp")
+    got, want = (sorted(map(tuple, df.select("id", "source", "line_number", "message").collect())) for df in (spark.read.parquet(out), P.parse_json(lines)))
+    assert got == want and len({r[0] for r in got}) == 30
+    assert P.parse_json(lines.withColumn("line_number", F.lit(None).cast("bigint"))).select("id").distinct().collect()[0].id is None
+
+
+def test_a_batch_reads_one_folder_of_what_is_known(spark, monkeypatch):
+    text = [f'{{"ts":"2024-01-01T{i:02d}:00:00Z","level":"error","msg":"m {i}"}}' for i in range(20)]
+    stream, _ = line_stream(spark, {f"f{k}": text[5 * k : 5 * k + 5] for k in range(4)})
+    counts, alerts = new_dir(spark, "counts"), new_dir(spark, "alerts")
+    read, seen = live._read, []
+    monkeypatch.setattr(live, "_read", lambda spark, folder, schema: (seen.append(folder), read(spark, folder, schema))[1])
+    play(live.stream_parse(stream, P.parse_json), live.watch_bursts(counts, alerts), "cp")
+    assert seen == [None, *[f"{counts}/batch={b}" for b in range(3)]]
+    assert live.last_folder(spark, counts).agg(F.sum("total")).first()[0] == 20
+
+
 def test_stream_templates_equal_one_run(spark):
     data = random_rows(11, 240, 4, 5)
     ids, texts, _ = greedy(data)
@@ -96,3 +150,36 @@ def test_line_numbers_of_split_files(spark):
     big = {r.line_number: r.line for r in rows if len(r.line) > 1}
     assert big == dict(enumerate(text, 1))
     assert sorted((r.line_number, r.line) for r in rows if len(r.line) <= 1) == [(1, ""), (2, "b"), (3, ""), (4, "c")]
+
+
+@pytest.mark.parametrize("first, then", [("3000", "90000"), ("90000", "3000")])
+def test_no_line_is_lost_when_files_are_cut_otherwise(spark, first, then):
+    """The frame is made with one way of cutting files and read with another."""
+    path = new_dir(spark, "cut")
+    text = [f"line {i} " + "x" * (i % 50) for i in range(1, 5001)]
+    spark.createDataFrame([(t,) for t in text], "v string").coalesce(1).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+        lines = read_log_lines(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", then)
+        rows = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.line_number: r.line for r in rows} == dict(enumerate(text, 1)) and len(rows) == 5000
+
+
+def test_ingest_keeps_every_line(spark):
+    path, out = new_dir(spark, "once"), new_dir(spark, "out")
+    text = [f'{{"level":"warn","msg":"m {i}"}}' for i in range(200)]
+    spark.createDataFrame([(t,) for t in text], "v string").coalesce(1).write.text(path)
+    assert sorted(r.line_number for r in ingest(spark, path, out).collect()) == list(range(1, 201))
+
+
+def test_text_may_vanish_once_it_is_read(spark):
+    path = new_dir(spark, "gone")
+    spark.createDataFrame([(f"x {i}",) for i in range(50)], "v string").coalesce(1).write.text(path)
+    lines = read_log_lines(spark, path, decode=True)
+    for f in spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:", "")).collect():
+        open(f[0], "w").close()
+    assert sorted(r.line_number for r in lines.collect()) == list(range(1, 51))
