@@ -6,15 +6,15 @@ by name, so extra columns of the input never clash with theirs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from logloom.sources.workspace import new_dir, shared_dir, stored
 
-__all__ = ["as_bytes", "batched", "blocks", "doc_table", "md5_longs", "new_dir", "ranges", "shared_dir", "stored"]
+__all__ = ["as_bytes", "batched", "blocks", "doc_table", "give_back", "new_dir", "ranges", "shared_dir", "stored"]
 
 # Bytes of text that a Python step works on at once.
 BLOCK_BYTES = 1 << 20
@@ -46,6 +46,16 @@ def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
     return ranges(map(len, texts), most)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later. A worker
+    lives through many stages beside others, each of which would keep its own
+    peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batched(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Run ``work`` on each Arrow batch; it returns column name -> values."""
     from pyspark.sql.types import StructType
@@ -58,11 +68,7 @@ def batched(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str)
             columns = work(batch)
             arrays = [v.cast(f.type) if isinstance(v := columns[f.name], pa.Array) else pa.array(v, f.type) for f in out]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            del columns, arrays, batch
+            give_back()
 
     return df.mapInArrow(run, schema)
-
-
-def md5_longs(column: Column) -> list[Column]:
-    """The two halves of an MD5 digest as longs: a narrow 128-bit key."""
-    digest = F.md5(column)
-    return [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(2)]

@@ -46,7 +46,7 @@ ROWS = 4
 FLOOR = 0.62
 BLOCK = 128
 # Bytes of text whose distinct words are numbered at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = spread(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 

@@ -23,9 +23,9 @@ from logloom.llm.frames import ranges
 WORD_BPE = "word_bpe_49k.json"
 # Words that a task remembers; when full, it starts anew and takes over what
 # it meets again of the full one.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 # Bytes of text whose distinct words are numbered at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # One word per line: letters that are one code point each, lowered one by one
 # and in NFC as they are, then a run of ASCII marks, which is one token unit.
 PLAIN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u017e]+)([!-/:-@\\[-`{-~]*)|.*)$", re.MULTILINE)
@@ -57,8 +57,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.model, self.memory = Tokenizer.from_file(path), Tokenizer.from_file(path), memory
-        self.model.normalizer, self.model.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.whole, self.memory = Tokenizer.from_file(path), memory
+        self.model = Tokenizer(self.whole.model)  # the same model without normaliser and splitter
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
