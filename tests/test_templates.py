@@ -104,11 +104,11 @@ def test_known_templates_are_extended(spark):
     assert rows == {i: t for i, t in enumerate(ids, 1) if i > 200}
 
 
-def test_two_logins_share_a_template(spark):
-    logs = as_logs(spark, [["User", "101", "logged", "in", "from", "IP", "192.168.1.1"], ["User", "202", "logged", "in", "from", "IP", "192.168.1.2"]])
+def test_two_transfers_share_a_template(spark):
+    logs = as_logs(spark, [["Moved", "714", "files", "to", "node", "10.4.0.1"], ["Moved", "25", "files", "to", "node", "10.4.0.9"]])
     mined = tm.mine_templates(logs)
     r = tm.template_summary(tm.assign_templates(logs, mined), mined.latest()).collect()
-    assert [(x.template, x.size) for x in r] == [("User <NUM> logged in from IP <IP>", 2)]
+    assert [(x.template, x.size) for x in r] == [("Moved <NUM> files to node <IP>", 2)]
 
 
 @pytest.mark.parametrize(
