@@ -17,9 +17,10 @@ equal names wherever they stand.
    array, sorted by induced sorting; permuted common prefixes tell which
    windows repeat within it.
 4. A name with more contents than ``PART_CONTENTS`` is split into parts, each
-   a shard. The distinct windows of such parts are counted by 128-bit hash,
-   with partial counts before the shuffle, to find those that repeat across
-   parts. So no name, however common, is gathered in one task.
+   a shard. What is open after that is compared across parts by counting, with
+   partial counts before the shuffle: first the cores of blocks of windows,
+   then the windows of blocks whose core repeats. So no name, however common,
+   is gathered in one task.
 
 Rules: null text is empty; texts shorter than ``length`` lose nothing; rows
 without an id and repeated rows are texts of their own, so an exact copy of a
@@ -48,8 +49,10 @@ PART_CONTENTS = 256
 BASE = 0x9E3779B97F4A7C15
 # Stands between contents; it never occurs in UTF-8.
 GAP = b"\xff"
-SPAN, WINDOW = 0, 1
-FOUND = "kind int, w1 long, w2 long, doc long, tie long, first long, last long, open boolean"
+# Windows of a block.
+STEP = 16
+SPAN, BLOCK = 0, 1
+FOUND = "kind int, w1 long, w2 long, doc long, tie long, first long, last long, left binary, right binary, have int, open int"
 
 
 @lru_cache(1)
@@ -161,11 +164,35 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
+def window_blocks(content: bytes, name: int, marks: np.ndarray, length: int):
+    """Up to ``STEP`` neighbouring windows at a time, aligned to the name's
+    gram: (place of the core, core, bytes left and right of it, bits of the
+    windows there are, bits of those that are open yet).
+
+    The core is what all windows of a full block share, so any of them holds
+    it whole; a window of the block is its core, some bytes left of it and
+    some right of it.
+    """
+    hashes = gram_hashes(np.frombuffer(content, np.uint8), max(1, length // 4))
+    grams = np.flatnonzero(hashes.view(np.int64) == name)
+    at = np.arange(len(marks))
+    gram = grams[np.searchsorted(grams, at)]
+    core = gram - (gram - at) // STEP * STEP
+    cuts = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1], [True]])).tolist()
+    for i, j in zip(cuts, cuts[1:]):
+        c = int(core[i])
+        have = sum(1 << (c - p) for p in range(i, j))
+        opened = sum(1 << (c - p) for p in range(i, j) if not marks[p])
+        end = c + length - STEP + 1
+        yield c, content[c:end], content[max(0, c - STEP + 1) : c], content[end : end + STEP - 1], have, opened
+
+
 def compared(shards: DataFrame, length: int) -> DataFrame:
-    """Suffix arrays over shards of ``doc, tie, first, size, n, parts, bytes``.
+    """Suffix arrays over shards of ``doc, tie, first, size, m, n, parts, bytes``.
 
-    Spans of repeated windows come out for contents that occur once; from
-    split names also each distinct window, with its place if it is open yet.
+    Spans of repeated windows come out for contents that occur once. From
+    split names also come blocks of windows: those with open ones, and of each
+    block whose windows all repeat already, one.
     """
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -174,27 +201,48 @@ def compared(shards: DataFrame, length: int) -> DataFrame:
         out: list[tuple] = []
         contents = rows["bytes"].tolist()
         seen: set[bytes] = set()
-        for marks, content, doc, tie, first, n, parts in zip(repeats_within(contents, length), contents, *(rows[c].tolist() for c in ("doc", "tie", "first", "n", "parts"))):
+        columns = (rows[c].tolist() for c in ("doc", "tie", "first", "m", "n", "parts"))
+        for marks, content, doc, tie, first, m, n, parts in zip(repeats_within(contents, length), contents, *columns):
             if n == 1:
-                out += [(SPAN, 0, 0, doc, tie, first + a, first + b, False) for a, b in zip(*(x.tolist() for x in runs(marks)))]
+                out += [(SPAN, 0, 0, doc, tie, first + a, first + b, b"", b"", 0, 0) for a, b in zip(*(x.tolist() for x in runs(marks)))]
             if parts > 1:
-                for p, repeated in enumerate(marks.tolist()):
-                    digest = xxhash.xxh3_128_digest(content[p : p + length])
-                    opened = n == 1 and not repeated
-                    if digest not in seen:
-                        seen.add(digest)
-                        pair = np.frombuffer(digest, "<i8").tolist()
-                        out.append((WINDOW, *pair, doc, tie, first + p, first + p, opened))
-        return pd.DataFrame(out, columns=["kind", "w1", "w2", "doc", "tie", "first", "last", "open"])
+                for at, core, left, right, have, opened in window_blocks(content, m, marks if n == 1 else np.ones_like(marks), length):
+                    digest = xxhash.xxh3_128_digest(core)
+                    whole = b"".join((digest, left, right, have.to_bytes(4)))
+                    if opened or whole not in seen:
+                        seen.add(whole)
+                        out.append((BLOCK, *np.frombuffer(digest, "<i8").tolist(), doc, tie, first + at, 0, left, right, have, opened))
+        return pd.DataFrame(out, columns=["kind", "w1", "w2", "doc", "tie", "first", "last", "left", "right", "have", "open"])
 
     return shards.groupBy("shard").applyInPandas(work, FOUND)
 
 
+def repeated_across(blocks: DataFrame) -> DataFrame:
+    """Open windows that another part holds as well.
+
+    Only blocks whose core occurs twice are opened into windows, which are
+    counted by core and the bytes beside it.
+    """
+    cores = blocks.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    j = F.col("j")
+    windows = blocks.join(cores, ["w1", "w2"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(STEP - 1)))).where("(have >> j) & 1 = 1")
+    windows = windows.select(
+        "w1", "w2", "j", F.substring("left", F.octet_length("left") - j + 1, j).alias("l"), F.substring("right", F.lit(1), STEP - 1 - j).alias("r"),
+        "doc", "tie", (F.col("first") - j).alias("first"), F.expr("(open >> j) & 1 = 1").alias("open"),
+    )
+    windows = stored(windows, "windows")
+    name = ["w1", "w2", "j", "l", "r"]
+    twice = windows.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").select(*name)
+    return windows.where("open").join(twice, name).select("doc", "tie", "first", F.col("first").alias("last"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, tie, first, last``: windows ``first`` to ``last`` of a text repeat.
 
     ``docs`` has ``doc, tie, text``.
     """
+    if length < STEP:
+        raise ValueError(f"length must be at least {STEP}")
     rows = stored(segments(docs, length), "segments")
     names = rows.groupBy("m").agg(F.count("*").alias("total"), F.max("twice").alias("any")).where("total > 1 OR any").select("m")
     some = stored(rows.join(names, "m"), "repeated")
@@ -206,13 +254,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = stored(asked.select(*place, "m", "n", "parts", "part"), "asked")
     size = asked.where("parts = 1").agg(F.sum("size")).first()[0] or 0
     shard = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("m"), F.lit(max(1, size // SHARD_BYTES)))).otherwise(F.xxhash64("m", "part"))
-    found = stored(compared(pieces_of(docs, asked.select(*place, "n", "parts", shard.alias("shard"))), length), "found")
+    found = stored(compared(pieces_of(docs, asked.select(*place, "m", "n", "parts", shard.alias("shard"))), length), "found")
     twice = some.join(contents.where("n > 1").select("m", "c1", "c2"), ["m", "c1", "c2"]).select("doc", "tie", "first", (F.col("first") + F.col("size") - length).alias("last"))
     within = found.where(f"kind = {SPAN}").select("doc", "tie", "first", "last")
-    windows = found.where(f"kind = {WINDOW}")
-    across = windows.groupBy("w1", "w2").agg(F.count("*").alias("parts")).where("parts > 1").select("w1", "w2")
-    across = windows.where("open").join(across, ["w1", "w2"]).select("doc", "tie", "first", "last")
-    return twice.unionByName(within).unionByName(across)
+    return twice.unionByName(within).unionByName(repeated_across(found.where(f"kind = {BLOCK}")))
 
 
 def merged(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
