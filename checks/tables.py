@@ -300,11 +300,9 @@ _ISO = """strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 100000
 _NO_ROW = "CAST(0 AS DOUBLE)"
 
 
-@query(
-    "all_anomalies",
-    f"""{_BURSTS}, {_TOP3}, {_MSG3}, first AS (SELECT {_ISO.format('min(ts0)')} AS t FROM logs),
- http AS ({_HTTP}), auth AS ({_AUTH})
- SELECT 1 AS section, 'spike-' || CAST(bucket AS VARCHAR) AS id, 'ERROR_BURST' AS type, severity,
+_EVIDENCE = f"""{_TOP3}, {_MSG3}, first AS (SELECT {_ISO.format('min(ts0)')} AS t FROM logs),
+ http AS ({_HTTP}), auth AS ({_AUTH})"""
+_FOUND = f"""SELECT 1 AS section, 'spike-' || CAST(bucket AS VARCHAR) AS id, 'ERROR_BURST' AS type, severity,
   printf('Sudden Error Spike (%d errors, %.1f%% error rate)', errors, round(rate * 100, 1)) AS title, {_ISO.format('start_ts')} AS timestamp,
   printf('Log volume had %d events with %d errors in this window. Top affected services: %s.', total, errors,
    (SELECT string_agg(service, ', ' ORDER BY rank) FROM svc WHERE svc.bucket = bursts.bucket AND rank <= 3)) AS description,
@@ -315,8 +313,10 @@ _NO_ROW = "CAST(0 AS DOUBLE)"
   printf('Detected %d instances of HTTP %d responses across the logged duration.', n, status_code), '', n, 0 FROM http, first
  UNION ALL SELECT 3, 'auth-fail-' || auth_source, 'SECURITY_AUTHENTICATION_SPIKE', severity,
   printf('Possible Brute Force / Repeated Auth Failures (%d attempts)', n), t,
-  printf('Target source ''%s'' recorded %d failed authentication events in the dataset.', auth_source, n), '', n, 1 FROM auth, first""",
-)
+  printf('Target source ''%s'' recorded %d failed authentication events in the dataset.', auth_source, n), '', n, 1 FROM auth, first"""
+
+
+@query("all_anomalies", f"{_BURSTS}, {_EVIDENCE} {_FOUND}")
 def _(spark, sf):
     found = an.all_anomalies(_hosts(spark, sf, level=r.SPIKY_LEVEL))
     return found.withColumn("samples", F.array_join("sample_errors", "|")).drop("sample_errors", "first_match")
@@ -412,9 +412,8 @@ _STEPS = "steps(category, key, value) AS (VALUES " + ", ".join(
 
 @query(
     "incident_report",
-    f"""{_MATCHES}, {_STEPS}, http AS ({_HTTP}),
- facts AS (SELECT count(*) AS total, count(*) FILTER ({ERR}) AS errors, round(count(*) FILTER ({ERR}) * 100e0 / count(*), 2) AS rate FROM logs),
- alerts AS (SELECT 'http-HTTP ' || CAST(status_code AS VARCHAR) AS id, severity, n, status_code FROM http)
+    f"""{_BURSTS.replace(_buckets(SPIKY), _buckets(LOGS))}, {_EVIDENCE}, {_MATCHES.removeprefix(LOGS + ", ")}, {_STEPS}, alerts AS ({_FOUND}),
+ facts AS (SELECT count(*) AS total, count(*) FILTER ({ERR}) AS errors, round(count(*) FILTER ({ERR}) * 100e0 / count(*), 2) AS rate FROM logs)
  SELECT 'overview' AS section, 1 AS rank, 'total' AS key, CAST(total AS VARCHAR) AS value FROM facts
  UNION ALL SELECT 'overview', 1, 'errors', CAST(errors AS VARCHAR) FROM facts
  UNION ALL SELECT 'overview', 1, 'error_rate', CAST(rate AS VARCHAR) FROM facts
@@ -425,12 +424,11 @@ _STEPS = "steps(category, key, value) AS (VALUES " + ", ".join(
  UNION ALL SELECT 'issues', rank, 'occurrences', CAST(occurrences AS VARCHAR) FROM ranked
  UNION ALL SELECT 'issues', rank, 'root_cause', root_cause FROM ranked
  UNION ALL SELECT 'remediation', rank, key, value FROM ranked JOIN steps USING (category)
- UNION ALL SELECT 'anomalies', 2, id || ' severity', severity FROM alerts
- UNION ALL SELECT 'anomalies', 2, id || ' title', 'High Volume of HTTP ' || CAST(status_code AS VARCHAR) || ' Responses' FROM alerts
- UNION ALL SELECT 'anomalies', 2, id || ' timestamp', {_ISO.format('(SELECT min(ts0) FROM logs)')} FROM alerts
- UNION ALL SELECT 'anomalies', 2, id || ' description',
-  printf('Detected %d instances of HTTP %d responses across the logged duration.', n, status_code) FROM alerts""",
+ UNION ALL SELECT 'anomalies', section, id || ' severity', severity FROM alerts
+ UNION ALL SELECT 'anomalies', section, id || ' title', title FROM alerts
+ UNION ALL SELECT 'anomalies', section, id || ' timestamp', timestamp FROM alerts
+ UNION ALL SELECT 'anomalies', section, id || ' description', description FROM alerts""",
 )
 def _(spark, sf):
-    logs = r.log_table(spark, sf)
+    logs = _hosts(spark, sf)
     return dg.incident_report(logs, an.all_anomalies(logs))
