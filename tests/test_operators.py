@@ -12,6 +12,7 @@ from logloom.operators import filters as fl
 from logloom.operators import metrics as mt
 from logloom.operators import templates as tm
 from logloom.plans import overview as ov
+from logloom.sources import workspace
 from logloom.schema import LOG_SCHEMA
 from logloom.sources import datasets as ds
 from logloom.sources.text import decode_lines, read_log_lines, require_lines
@@ -252,13 +253,23 @@ def test_exports_in_order_with_limit(spark, logs_of):
 
 def test_overview_and_ingest(spark):
     path = r.text_files(spark, "/root/testdata/sf0.001", r.json_line())
-    logs = ov.ingest(spark, f"{path}/*", new_dir(spark, "stored"))
+    out = new_dir(spark, "stored")
+    logs = ov.ingest(spark, f"{path}/*", out)
     assert logs.count() == 1000 and logs.select("id").distinct().count() == 1000
-    parts = ov.overview(logs, limit=20, levels=["error"])
+    made = len(workspace._made)
+    parts = ov.overview(logs, ov.load_templates(spark, out), limit=20, levels=["error"])
     assert parts["logs"].count() == 20
     assert parts["total"].first()[0] == logs.where("level = 'ERROR'").count()
-    assert sum(x.size for x in parts["templates"].collect()) == 1000
+    templates = {t.template_id: t for t in parts["templates"].collect()}
+    assert sum(t.size for t in templates.values()) == 1000
     assert parts["anomalies"].count() > 0 and parts["metrics.histogram"].count() == 41
+    assert len(workspace._made) == made  # nothing was written
+    some = max(templates)
+    page = ov.overview(logs, parts["templates"], template_id=some)
+    assert page["total"].first()[0] == templates[some].size == logs.where(F.col("template_id") == some).count()
+    workspace.clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(out)
 
 
 # --- partitions and plans ---------------------------------------------------------------
