@@ -57,10 +57,8 @@ def events(spark: SparkSession, sf: str, level: str = LEVEL, message: str = MESS
     """The rendered columns in Spark, with ``ts`` as a timestamp."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     text = select_text(level, message).replace("FROM events", "FROM {events}")
-    table = spark.read.parquet(f"{sf}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:  # a small test table is one split
-        table = table.repartition(cores)
+    # A small test table is one split.
+    table = spark.read.parquet(f"{sf}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
     rows = spark.sql(text, events=table)
     return rows.withColumn("ts", F.col("ts0").cast("timestamp"))
 

@@ -142,10 +142,12 @@ def _(spark, sf):
 @query(
     "time_range",
     f"""{UNDATED} SELECT min(epoch) AS start_epoch, max(epoch) AS end_epoch,
+ epoch_us(min(ts0) FILTER (epoch IS NOT NULL)) AS start_us, epoch_us(max(ts0) FILTER (epoch IS NOT NULL)) AS end_us,
  round(max(epoch) - min(epoch), 1) AS duration_seconds FROM part""",
 )
 def _(spark, sf):
-    return mt.time_range(_some_undated(spark, sf)).drop("start_ts", "end_ts")
+    found = mt.time_range(_some_undated(spark, sf))
+    return found.withColumns({f"{k}_us": F.unix_micros(f"{k}_ts") for k in ("start", "end")}).drop("start_ts", "end_ts")
 
 
 @query(
@@ -170,6 +172,7 @@ def _(spark, sf):
     "kpi_summary",
     f"""{UNDATED} SELECT count(*) AS total_logs, count(*) FILTER ({ERR}) AS errors,
  round(count(*) FILTER ({ERR}) * 100e0 / count(*), 2) AS error_rate, count(DISTINCT {_NAMED}) AS services,
+ epoch_us(min(ts0) FILTER (epoch IS NOT NULL)) AS start_us, epoch_us(max(ts0) FILTER (epoch IS NOT NULL)) AS end_us,
  round(max(epoch) - min(epoch), 1) AS duration_seconds FROM part""",
 )
 def _(spark, sf):
@@ -358,9 +361,20 @@ def _(spark, sf):
     return dg.rule_matches(r.log_table(spark, sf), max_errors=100).select("category", "pattern", "n")
 
 
-@query("diagnosed_issues", f"{_MATCHES} SELECT rank, category, title, confidence, occurrences, root_cause FROM ranked")
+_STEPS = "steps(category, key, value) AS (VALUES " + ", ".join(
+    f"({_quoted(rule['category'])}, '{k}', {_quoted(s)})"
+    for rule in fv.INCIDENT_RULES
+    for k, s in enumerate(rule["remediation"])
+) + ")"
+
+
+@query(
+    "diagnosed_issues",
+    f"""{_MATCHES}, {_STEPS} SELECT rank, category, title, confidence, occurrences, root_cause,
+ (SELECT string_agg(value, '|' ORDER BY key) FROM steps WHERE steps.category = ranked.category) AS remediation FROM ranked""",
+)
 def _(spark, sf):
-    issues = dg.diagnosed_issues(r.log_table(spark, sf)).drop("remediation")
+    issues = dg.diagnosed_issues(r.log_table(spark, sf)).withColumn("remediation", F.array_join("remediation", "|"))
     return issues.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -403,13 +417,6 @@ def _(spark, sf):
     return dg.context_sample(r.log_table(spark, sf)).select("part", "line_number", "message")
 
 
-_STEPS = "steps(category, key, value) AS (VALUES " + ", ".join(
-    f"({_quoted(rule['category'])}, '{k}', {_quoted(s)})"
-    for rule in fv.INCIDENT_RULES
-    for k, s in enumerate(rule["remediation"])
-) + ")"
-
-
 @query(
     "incident_report",
     f"""{_BURSTS.replace(_buckets(SPIKY), _buckets(LOGS))}, {_EVIDENCE}, {_MATCHES.removeprefix(LOGS + ", ")}, {_STEPS}, alerts AS ({_FOUND}),
