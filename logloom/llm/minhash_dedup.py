@@ -44,6 +44,9 @@ from logloom.llm.meetings import each_meeting, local_least, met_in_blocks
 COORDS = 120
 ROWS = 4
 FLOOR = 0.62
+# Members of a bucket that are compared by sketch at once, and texts of a
+# cluster that are compared on their sets.
+BUCKET_BLOCK = 512
 BLOCK = 128
 # Bytes of text whose distinct words are numbered at once.
 SLICE_BYTES = 4 << 20
@@ -158,7 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return batched(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u long, v long")
 
 
-def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
     """``u, v``: v is the least node that u reaches through sketches agreeing
     across components within a bucket (v = u if it is the least itself).
 
@@ -236,7 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = buckets.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
     stars = stored(buckets.join(least, "key").where("node > v").select(F.col("node").alias("u"), "v").distinct(), "stars")
     asked = stars.select(F.col("u").alias("doc_id")).unionByName(stars.select(F.col("v").alias("doc_id"))).distinct()
-    texts = stored(doc_table(docs).join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    # The ids asked for grow with the input: they are merged, never broadcast.
+    texts = stored(doc_table(docs).join(asked.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
     links = stored(verified(stars, texts, width, percent), "links")
     known = stored(components(links), "known")
     # buckets that hold several components yet
