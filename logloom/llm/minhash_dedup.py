@@ -46,7 +46,7 @@ ROWS = 4
 FLOOR = 0.62
 # Members of a bucket that are compared by sketch at once, and texts of a
 # cluster that are compared on their sets.
-BUCKET_BLOCK = 512
+BUCKET_BLOCK = 1024
 BLOCK = 128
 # Bytes of text whose distinct words are numbered at once.
 SLICE_BYTES = 4 << 20
