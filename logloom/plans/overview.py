@@ -36,6 +36,14 @@ def load_templates(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(_templates_path(out))
 
 
+def with_templates(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored rows with template_id, summary of the templates) of a table
+    that :func:`ingest` hasn't stored."""
+    mined = tm.mine_templates(logs)
+    rows = stored(tm.assign_templates(logs, mined, same_logs=True), "rows")
+    return rows, tm.template_summary(rows, mined.latest())
+
+
 def overview(logs: DataFrame, templates: DataFrame, limit: int = 50, offset: int = 0, **filters) -> dict[str, DataFrame]:
     """One page of filtered rows, their total, and the metrics, templates and
     findings of the whole table.
