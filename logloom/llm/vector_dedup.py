@@ -15,7 +15,7 @@ table and bucket where it can be seen, which both vectors' codes tell, so no
 pair is ever written.
 
 Rules: null, zero and non-finite vectors, and those of a null id, link with
-nothing; vectors of different length don't link; rows of one id are one node,
+nothing; vectors of different length never meet and don't link; rows of one id are one node,
 whose vector is the one with the least hash; an empty input gives no rows.
 """
 
@@ -82,7 +82,7 @@ def bucket_codes(vectors: np.ndarray, tables: int, hashes: int, probes: int, see
                 if p:
                     swap = order[:, (p - 1) % hashes]
                     axes[rows, swap] = near[1][rows, swap]
-                key = np.full(n, t * 65537 + width, np.uint64)
+                key = np.full(n, (t << 32) + dim, np.uint64)  # the length, not the padded width: only vectors of one length meet
                 for h in range(hashes):
                     key = spread(key * np.uint64(0x9E3779B97F4A7C15) + axes[:, h])
                 out[:, t, p] = key.view(np.int64)

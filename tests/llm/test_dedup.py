@@ -234,3 +234,13 @@ def test_vectors(spark):
     for x in got:
         assert (x.n_links, x.component_id, x.kept) == ((0, None, True) if x.vec_id is None else (degree[x.vec_id], group[x.vec_id], group[x.vec_id] == x.vec_id))
     assert near_duplicate_vectors(frame.limit(0)).collect() == []
+
+
+def test_vectors_of_unlike_length_do_not_meet(spark):
+    """A vector, its near copy, and its copy one component shorter, which fills as much of the padded width."""
+    r = np.random.default_rng(6)
+    base = r.normal(size=(30, 64))
+    base[:, 63] *= 1e-3  # the cut copies keep their direction
+    rows = [(3 * i, v.tolist()) for i, v in enumerate(base)] + [(3 * i + 1, v[:63].tolist()) for i, v in enumerate(base)] + [(3 * i + 2, (v * 1.5 + 1e-4).tolist()) for i, v in enumerate(base)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (0, i) if i % 3 == 1 else (1, i - i % 3) for i in range(90)}
