@@ -1,6 +1,6 @@
 """Near-duplicate vectors by cross-polytope hashing with verified links.
 
-Each of ``TABLES`` tables turns a vector by ``HASHES`` fast rotations (signs
+Each of some tables turns a vector by ``HASHES`` fast rotations (signs
 and Hadamard transforms, three times) and hashes each to the axis it is
 nearest to, with its sign; the axes together name a bucket. A vector lives in
 its home bucket and also visits ``PROBES`` buckets, in which the axis with the
@@ -14,13 +14,22 @@ least vector it reaches. A link that many meetings see is counted in the first
 table and bucket where it can be seen, which both vectors' codes tell, so no
 pair is ever written.
 
+A link is lost if its vectors meet in no table. ``table_count`` takes as many
+tables as keep that chance within ``MISS`` (1e-5) for a pair right at the
+threshold, by the width that the vectors are padded to (at 0.95: 28 for up to
+64 components, 35 up to 128, 41 up to 256); pairs above it are lost less often.
+The chance is over the signs drawn: it holds for vectors that were not made
+against the fixed seed. No exact search stands behind it.
+
 Rules: null, zero and non-finite vectors, and those of a null id, link with
-nothing; vectors of different length never meet and don't link; rows of one id are one node,
-whose vector is the one with the least hash; an empty input gives no rows.
+nothing; vectors of different length never meet and don't link; rows of one id are one
+node, whose vector is the one with the least hash; an empty input gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,9 +41,15 @@ from logloom.llm.cuckoo import spread
 from logloom.llm.frames import batched, stored
 from logloom.llm.meetings import each_meeting, local_least, met_in_blocks
 
-TABLES = 12
+# Chance at most that no table shows a link at the threshold.
+MISS = 1e-5
 HASHES = 4
 PROBES = 3
+# Three rounds of signs and Hadamard turn fewer axes than this too few ways.
+LEAST_WIDTH = 64
+# Pairs on which the misses of one table are measured, as far as so many components go.
+TRIALS = 16384
+TRIAL_SIZE = 1 << 23
 BLOCK = 128
 SLICE = 4096
 
@@ -56,10 +71,14 @@ def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded_width(dim: int) -> int:
+    return max(LEAST_WIDTH, 1 << (dim - 1).bit_length())
+
+
 def bucket_codes(vectors: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 0) -> np.ndarray:
     """``rows x tables x (1 + probes)`` bucket keys, home first."""
     n, dim = vectors.shape
-    width = 1 << max(1, (dim - 1).bit_length())
+    width = padded_width(dim)
     signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, hashes, 3, width))
     padded = np.zeros((n, width))
     padded[:, :dim] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -89,6 +108,32 @@ def bucket_codes(vectors: np.ndarray, tables: int, hashes: int, probes: int, see
     return out
 
 
+@lru_cache(64)
+def table_count(width: int, threshold: float, hashes: int = HASHES, probes: int = PROBES, miss: float = MISS) -> int:
+    """Tables that leave a pair at the threshold apart with chance ``miss`` at most.
+
+    A table's own misses are counted on random pairs at the threshold and taken
+    four standard deviations higher; signs are drawn per table, so the misses
+    of several tables multiply.
+    """
+    cosine, at_once = min(threshold, 1.0), max(64, min(4096, (1 << 18) // width))
+    turns = -(-max(1024, min(TRIALS, TRIAL_SIZE // width)) // at_once)
+    missed = 0
+    for turn in range(turns):
+        a, b = np.random.default_rng(turn).normal(size=(2, at_once, width))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        one, two = (bucket_codes(x, 1, hashes, probes, seed=turn + 1)[:, 0] for x in (a, cosine * a + np.sqrt(1 - cosine**2) * b))
+        missed += int((~((one[:, :1] == two) | (two[:, :1] == one)).any(axis=1)).sum())
+    trials = turns * at_once
+    rate = missed / trials
+    rate += 4 * np.sqrt(rate * (1 - rate) / trials) + 4 / trials
+    if rate >= 1:
+        raise ValueError(f"no number of tables finds vectors at cosine {threshold} with {hashes} hashes; take fewer")
+    return max(1, int(np.ceil(np.log(miss) / np.log(rate))))
+
+
 def vector_table(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, s1, s2, vector``: doubles as bytes, null where unusable."""
 
@@ -134,8 +179,12 @@ def meeting_links(bucket: int, rows: pd.DataFrame, mask: np.ndarray, threshold:
     return nodes, links, local_least(nodes, a, b)
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row."""
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int | None = None, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK, miss: float = MISS) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row.
+
+    ``tables`` follows from ``miss``, the threshold and the vectors' length
+    unless it is given.
+    """
     table = stored(vector_table(vectors, id_col, vector_col), "vectors")
     distinct = table.where("vector IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("vec_id", "s.s1", "s.s2")
     classes = stored(distinct.groupBy("s1", "s2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
@@ -146,9 +195,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col:
         codes: list = [None] * len(raw)
         for size in {len(v) for v in raw}:  # vectors of one length at a time
             at = [i for i, v in enumerate(raw) if len(v) == size]
+            many = tables or table_count(padded_width(size // 8), threshold, hashes, probes, miss)
             for i in range(0, len(at), SLICE):
                 part = at[i : i + SLICE]
-                for j, c in zip(part, bucket_codes(np.stack([np.frombuffer(raw[j], float) for j in part]), tables, hashes, probes)):
+                for j, c in zip(part, bucket_codes(np.stack([np.frombuffer(raw[j], float) for j in part]), many, hashes, probes)):
                     codes[j] = c
         return {"node": batch["node"], "copies": batch["copies"], "vector": batch["vector"], "codes": [c.tobytes() for c in codes], "keys": [c.ravel() for c in codes]}
 

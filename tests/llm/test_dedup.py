@@ -244,3 +244,20 @@ def test_vectors_of_unlike_length_do_not_meet(spark):
     rows = [(3 * i, v.tolist()) for i, v in enumerate(base)] + [(3 * i + 1, v[:63].tolist()) for i, v in enumerate(base)] + [(3 * i + 2, (v * 1.5 + 1e-4).tolist()) for i, v in enumerate(base)]
     got = {x.vec_id: (x.n_links, x.component_id) for x in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {i: (0, i) if i % 3 == 1 else (1, i - i % 3) for i in range(90)}
+
+
+def test_vectors_planted_at_the_threshold(spark):
+    """Pairs of cosine 0.950 to 0.960 with 64, 96 and 3 components: none is lost."""
+    r = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((64, 1200), (96, 1200), (3, 1)):
+        a, b = r.normal(size=(2, n, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        cosine = r.uniform(0.9500001, 0.96, (n, 1))
+        for one, two in zip(a, cosine * a + np.sqrt(1 - cosine**2) * b):
+            rows += [(len(rows), one.tolist()), (len(rows) + 1, two.tolist())]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    lost = [x.vec_id for x in got if (x.n_links, x.component_id) != (1, x.vec_id - x.vec_id % 2)]
+    assert len(got) == len(rows) and lost == []
