@@ -38,9 +38,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logloom.llm.token_counts import token_totals
+    from logloom.llm.frames import stored
+    from logloom.llm.token_counts import budgeted, prefix_counts
 
-    return token_totals(table(spark, sf_dir, "documents"), 4096)
+    return budgeted(stored(prefix_counts(table(spark, sf_dir, "documents")), "prefixes"), 4096)
 
 
 @query("op9_packing")

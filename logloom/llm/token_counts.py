@@ -166,7 +166,9 @@ def longest_prefix(text: str, counts: list[int] | np.ndarray, budget: int, model
         return ""
     # letters before the segment's own space; the first segment's space is not in the text
     before = max(0, sum(len(s.decode("utf-8", "replace")) + 1 for s in split[:at]) - 1)
-    inner = inner_counts(split[at], model)
+    # no token is longer than the longest piece, so what fits is this short
+    most = (budget - int(starts[at])) * prefix_bpe(model).longest
+    inner = inner_counts(split[at].decode("utf-8", "replace")[:most].encode(), model)
     keep = max(k for k, n in enumerate(inner) if starts[at] + n <= budget)
     return text[: before + keep - (at == 0 and keep > 0)]
 
@@ -179,3 +181,19 @@ def truncated(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFram
         return {"doc_id": batch["doc_id"], "text": [None if t is None else longest_prefix(t, c, budget, model) for t, c in pairs]}
 
     return batched(table.select("doc_id", "text", "counts"), work, "doc_id long, text string")
+
+
+def budgeted(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit, prefix_bytes`` from a
+    ``prefix_counts`` table: the last entry, and the bytes of the longest prefix
+    of at most ``budget`` tokens. Only texts beyond the budget go to Python."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        cut = [None if t is None else len(longest_prefix(t.decode("utf-8", "replace"), c, budget, model).encode()) for t, c in zip(batch["text"].to_pylist(), batch["counts"].to_pylist())]
+        return {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": batch["n_tokens"], "prefix_bytes": [n if k is None else k for n, k in zip(batch["n_bytes"].to_pylist(), cut)]}
+
+    tokens = F.coalesce(F.get("counts", F.size("counts") - 1), F.lit(0)).cast("long")
+    over = tokens > budget
+    chosen = table.select("doc_id", "n_bytes", tokens.alias("n_tokens"), F.when(over, F.col("text").cast("binary")).alias("text"), F.when(over, F.col("counts")).alias("counts"))
+    cut = batched(chosen, work, "doc_id long, n_bytes long, n_tokens long, prefix_bytes long")
+    return cut.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "prefix_bytes")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from logloom.llm import mixing, packing, quality_model, quality_rules, token_counts, token_store, word_tokens
 from logloom.llm.doc_stats import DocStats
-from logloom.llm.frames import new_dir
+from logloom.llm.frames import new_dir, stored
 from tests.llm.test_dedup import kept_lines, near_groups
 
 
@@ -101,6 +101,37 @@ def test_every_prefix_has_its_count(pieces_model):
             assert token_counts.longest_prefix(text, counts, budget) == text[:best], (text, budget)
 
 
+@pytest.mark.parametrize("budget", [7, 50])
+def test_longest_prefixes_of_a_stored_table(docs, corpus, nothing, pieces_model, budget):
+    some = docs.where("text IS NULL OR length(text) < 20000")
+    got = token_counts.budgeted(stored(token_counts.prefix_counts(some), "prefixes"), budget).collect()
+    want = collections.Counter()
+    for doc, text, *_ in (r for r in corpus if len(r[1] or "") < 20_000):
+        n, text = len(pieces_model.encode(text or "")), text or ""
+        cut = text if n <= budget else text[: max(k for k in range(min(len(text), 40 * budget)) if len(pieces_model.encode(text[:k])) <= budget)]
+        want[(doc, len(text.encode()), n, n > budget, len(cut.encode()))] += 1
+    assert collections.Counter(map(tuple, got)) == want and any(r.over_limit for r in got)
+    assert token_counts.budgeted(token_counts.prefix_counts(nothing), budget).collect() == []
+
+
+def test_prefix_of_a_text_without_spaces_walks_no_further_than_the_budget(pieces_model, monkeypatch):
+    text, walked, inner = "internationalization" * 2000, [], token_counts.inner_counts
+    monkeypatch.setattr(token_counts, "inner_counts", lambda segment, model: walked.append(len(segment)) or inner(segment, model))
+    counts = token_counts.SegmentCounter(word_tokens.tokenizer_path(token_counts.PIECE_BPE)).prefix_counts([text.encode()])[0]
+    best = max(k for k in range(400) if len(pieces_model.encode(text[:k])) <= 20)
+    assert token_counts.longest_prefix(text, counts, 20) == text[:best]
+    assert max(walked) <= 20 * token_counts.prefix_bpe(token_counts.PIECE_BPE).longest < len(text)
+
+
+def test_token_query_answers_the_budget_on_whole_tables(spark, docs):
+    from logloom.llm.queries import QUERIES
+
+    folder = new_dir(spark, "tables")
+    docs.where("length(text) > 20000").write.parquet(f"{folder}/documents.parquet")
+    row = QUERIES["op5_token_counts"](spark, folder).collect()[0]
+    assert row.over_limit and 0 < row.prefix_bytes < row.n_bytes
+
+
 def test_truncation(docs, corpus, pieces_model):
     got = token_counts.truncated(token_counts.prefix_counts(docs), 20).collect()
     assert len(got) == len(corpus)
