@@ -78,3 +78,48 @@ SELECT p.doc_id, p.size, p.source_size, p.target,
        (p.size * (p.epochs + CASE WHEN p.key <= c.cut AND p.rest > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source
 """
+
+FIELD = "coalesce(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0}, '-')"
+HALF = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+BYTE = f"list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, k: {HALF})"
+CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {BYTE}), 4294967295)"
+LEAF = "sha256(" + " || ".join(FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars")) + " || " + FIELD.format("{0}") + ")"
+
+MERKLE = f"""
+WITH RECURSIVE
+d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, {CRC} % 3 = 0 AS hit FROM documents),
+l AS (
+  SELECT doc_id, {LEAF.format("text")} AS leaf, CASE WHEN hit THEN {LEAF.format("lowered")} END AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM d),
+nodes AS (
+  SELECT g, 0 AS level, place, n, leaf AS hash FROM l
+  UNION ALL
+  SELECT g, level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(hash, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY g, level, place // 8),
+subroots AS (SELECT g, hash FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, g AS place, count(*) OVER () AS n, hash FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(hash, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 8),
+beside AS (
+  SELECT g, level, place, coalesce(string_agg(hash, '') OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(hash, '') OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM nodes WHERE n > 1 WINDOW o AS (PARTITION BY g, level, place // 8 ORDER BY place)),
+beside_top AS (
+  SELECT level, place, coalesce(string_agg(hash, '') OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(hash, '') OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM tops WHERE n > 1 WINDOW o AS (PARTITION BY level, place // 8 ORDER BY place)),
+walk AS (
+  SELECT doc_id, leaf, g, 0 AS level, place, n, '' AS proof, coalesce(changed, leaf) AS node FROM l
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.g, w.level + 1, w.place // 8, (w.n + 7) // 8, w.proof || b.lft || b.rgt, sha256(b.lft || w.node || b.rgt)
+  FROM walk w JOIN beside b ON b.g = w.g AND b.level = w.level AND b.place = w.place WHERE w.n > 1),
+high AS (
+  SELECT doc_id, leaf, g, 0 AS level, g AS place, (SELECT count(*) FROM subroots) AS n, proof, node FROM walk WHERE n = 1
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.g, w.level + 1, w.place // 8, (w.n + 7) // 8, w.proof || b.lft || b.rgt, sha256(b.lft || w.node || b.rgt)
+  FROM high w JOIN beside_top b ON b.level = w.level AND b.place = w.place WHERE w.n > 1)
+SELECT h.doc_id, h.leaf, s.hash AS subroot, t.hash AS root, sha256(h.proof) AS proof_sha256, h.node AS folded_root, h.node = t.hash AS verified
+FROM high h JOIN subroots s USING (g) CROSS JOIN (SELECT hash FROM tops WHERE n = 1) t WHERE h.n = 1
+"""

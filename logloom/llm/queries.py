@@ -107,3 +107,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = without_repeats(table(spark, sf_dir, "documents"), 400)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_manifest", oracles.MERKLE)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.merkle import manifest, verified
+
+    return verified(manifest(table(spark, sf_dir, "documents")))
