@@ -114,3 +114,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.merkle import manifest, verified
 
     return verified(manifest(table(spark, sf_dir, "documents")))
+
+
+@query("op13_decontamination", oracles.DECONTAMINATION)
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
