@@ -172,7 +172,6 @@ def _(spark, sf):
     "kpi_summary",
     f"""{UNDATED} SELECT count(*) AS total_logs, count(*) FILTER ({ERR}) AS errors,
  round(count(*) FILTER ({ERR}) * 100e0 / count(*), 2) AS error_rate, count(DISTINCT {_NAMED}) AS services,
- epoch_us(min(ts0) FILTER (epoch IS NOT NULL)) AS start_us, epoch_us(max(ts0) FILTER (epoch IS NOT NULL)) AS end_us,
  round(max(epoch) - min(epoch), 1) AS duration_seconds FROM part""",
 )
 def _(spark, sf):
