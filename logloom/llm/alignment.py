@@ -26,10 +26,13 @@ empty input gives no rows. Columns other than those named are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,17 +62,24 @@ def stretches(text: str) -> list[str]:
 
 def groups_of(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     """(first A, end A, first B, end B) of each group, from token lengths in bytes."""
-    a_ends, b_ends = np.cumsum(a), np.cumsum(b)
-    shared = np.intersect1d(a_ends, b_ends)
-    x, y = (np.searchsorted(v, shared) + 1 for v in (a_ends, b_ends))
-    before = lambda v: np.concatenate([[0], v[:-1]])
-    return list(zip(before(x).tolist(), x.tolist(), before(y).tolist(), y.tolist()))
+    out, i, j, n = [], 0, 0, len(a)
+    while i < n:
+        k, m = i, j
+        ahead = a[i] - b[j]  # bytes that A's tokens of the group reach further
+        i, j = i + 1, j + 1
+        while ahead:
+            if ahead < 0:
+                ahead, i = ahead + a[i], i + 1
+            else:
+                ahead, j = ahead - b[j], j + 1
+        out.append((k, i, m, j))
+    return out
 
 
 class Aligner:
     """Aligns stretches of text: (A tokens, B tokens, groups, links, text of
-    the groups, pairs as A << 32 | B, their number of links), or None where
-    the tokens' bytes differ from the text."""
+    the groups, distinct pairs as A << 32 | B, their number of links), or None
+    where the tokens' bytes differ from the text."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str, memory: int = MEMORY_STRETCHES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,6 +99,13 @@ class Aligner:
 
     def __call__(self, stretches: list[str]) -> list[tuple | None]:
         """Distinct stretches aligned; only short ones are remembered."""
+        gc.disable()  # many small tuples stay; walking through them finds nothing
+        try:
+            return self.found(stretches)
+        finally:
+            gc.enable()
+
+    def found(self, stretches: list[str]) -> list[tuple | None]:
         short = [s for s in stretches if len(s) <= MEMORY_CHARS]
         long = [s for s in stretches if len(s) > MEMORY_CHARS]
         found = dict(zip(short, self.known(short))) | dict(zip(long, self.aligned(long)))
@@ -103,22 +120,23 @@ class Aligner:
         x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if not stretch or b"".join(x) != whole or b"".join(y) != whole:
             return None
-        groups = groups_of(list(map(len, x)), list(map(len, y)))
-        text = ";".join(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for i, j, k, m in groups)
-        pairs, times = linked(a, b, groups)
-        return len(a), len(b), len(groups), int(times.sum()), text, pairs, times
-
-
-def linked(a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs that are linked and how many links each has. Within a
-    group only distinct ids meet, with the product of their numbers."""
-    codes, times = [], []
-    for i, j, k, m in groups:
-        x, n = np.unique(np.array(a[i:j], np.int64), return_counts=True)
-        y, o = np.unique(np.array(b[k:m], np.int64), return_counts=True)
-        codes.append(((x << 32)[:, None] | y).ravel())
-        times.append(np.outer(n, o).ravel())
-    return summed(np.concatenate(codes), np.concatenate(times))
+        text, pairs, n_links = [], {}, 0
+        groups = groups_of([len(v) for v in x], [len(v) for v in y])
+        for i, j, k, m in groups:
+            if j - i == m - k == 1:
+                text.append(f"{a[i]}|{b[k]}")
+                pair = a[i] << 32 | b[k]
+                pairs[pair] = pairs.get(pair, 0) + 1
+                n_links += 1
+                continue
+            text.append(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])))
+            n_links += (j - i) * (m - k)
+            # within a group only distinct ids meet, with the product of their numbers
+            there = Counter(b[k:m]).items()
+            for p, n in Counter(a[i:j]).items():
+                for q, o in there:
+                    pairs[p << 32 | q] = pairs.get(p << 32 | q, 0) + n * o
+        return len(a), len(b), len(groups), n_links, ";".join(text), tuple(pairs), tuple(pairs.values())
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +178,7 @@ class Batch:
         key, uses = summed(np.concatenate([none, *((o << 32) | p for o, p in zip(owners, parts))]), np.ones(sum(map(len, parts)), np.int64))
         text, stretch = key >> 32, key & 0xFFFFFFFF
         sizes = np.array([len(f[5]) if f else 0 for f in found], np.int64)
-        codes = np.concatenate([none, *(f[5] for f in found if f)])
-        times = np.concatenate([none, *(f[6] for f in found if f)])
+        codes, times = (np.fromiter(chain.from_iterable(f[k] for f in found if f), np.int64, sizes.sum()) for k in (5, 6))
         self.pairs, place = np.unique(codes, return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         n = sizes[stretch]
