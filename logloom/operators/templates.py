@@ -4,19 +4,25 @@ The rule is greedy and depends on order: a message joins the most similar
 template of its length (the earliest on ties) when at least ``threshold`` of
 its words agree, else it starts one; words that differ become wildcards.
 
-Three facts make that a set of Spark jobs with little sequential work:
+Four facts make that a set of Spark jobs with little sequential work:
 
 1. Only templates of the same word count compete.
 2. A message that a template covers fully (every word equal or wildcard)
    never changes any template, and stays covered for good. So the only
    messages to replay in order are the distinct masked ones that no template
    covers at their time.
-3. A row belongs to the earliest template that covers it at its place in the
+3. Messages and templates that share no word at any position, not even through
+   others, never meet, unless a template has so many wildcards that it takes
+   any message (a *catch-all*).
+4. A row belongs to the earliest template that covers it at its place in the
    order, whichever way the templates came about.
 
-So: find distinct masked messages; replay a bounded batch of uncovered ones
-per word count; drop what the templates now cover by an equi-join; repeat
-until nothing is left. Then assign rows by the same join and by order.
+So: find distinct masked messages; take a bounded batch of uncovered ones per
+word count, with the templates that any of them could join; split it into
+groups that share no word; replay the groups in parallel. What a group made
+holds up to the place where the first catch-all came up; what is later goes
+back. Drop what the templates now cover, repeat until nothing is left. Then
+assign rows by the same coverage and by order.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from logloom import fixed_values as fv
 from logloom.functions import templates as tf
@@ -37,12 +44,15 @@ from logloom.functions.normalize import is_error, text_or_null, timestamp_text
 from logloom.schema import ORDER
 from logloom.sources.workspace import broadcast_if_small, settle, stored
 
-# A word count whose uncovered messages hold more words than this is replayed
-# in several batches instead of one.
-REPLAY_WORDS = 5_000_000
-# Messages per batch and word count then; low enough for Spark to keep only
-# this many per task before the shuffle.
-BATCH_ROWS = 1_000
+# Most messages and words of one word count that a batch takes, and most
+# messages where a catch-all keeps them in one group.
+BATCH_ROWS = 16_000
+BATCH_WORDS = 2_000_000
+CATCH_ALL_ROWS = 1_000
+# Messages are counted off by this many.
+STRIDE = 256
+# Templates that one task compares with a batch.
+CHUNK_TEMPLATES = 16_000
 
 
 # --- exact signatures -----------------------------------------------------------
@@ -94,16 +104,29 @@ def rank_by_order(df: DataFrame, order: tuple[str, ...], name: str, base: int =
 def match_templates(signatures: DataFrame, templates: DataFrame) -> DataFrame:
     """All (signature row, template row) pairs where the template covers the signature.
 
-    Both sides need ``n_tokens`` and ``tokens``. Templates of one length use
-    few sets of wildcard positions; laying each such set over a signature
-    gives the only texts that could be its template, so this is an equi-join
-    on text, never a comparison of all pairs.
+    Both sides need ``n_tokens`` and ``tokens``. A template without wildcards
+    is looked up by its text. Any other is filed under its rarest word and
+    that word's position; a signature covered by it has that word there. So a
+    signature asks once per position that templates of its length are filed
+    under, and meets only templates that share a word with it. Templates of
+    wildcards alone are filed under their length.
     """
-    keyed = settle(templates.withColumn("_text", F.array_join("tokens", " ")))
-    shapes = settle(keyed.select("n_tokens", tf.wild_positions(F.col("tokens")).alias("_wild")).distinct())
-    laid = signatures.join(broadcast_if_small(shapes), "n_tokens")
-    laid = laid.withColumn("_text", tf.overlay(F.col("tokens"), F.col("_wild"))).drop("_wild", "tokens")
-    return laid.join(broadcast_if_small(keyed.drop("tokens")), ["n_tokens", "_text"]).drop("_text")
+    keyed = templates.withColumn("_text", F.array_join("tokens", " ")).withColumn("_wild", F.array_contains("tokens", fv.WILDCARD))
+    keyed = settle(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    plain = keyed.where("not _wild").drop("tokens", "_wild", "_row")
+    exact = signatures.withColumn("_text", F.array_join("tokens", " ")).drop("tokens")
+    exact = exact.join(broadcast_if_small(settle(plain)), ["n_tokens", "_text"]).drop("_text")
+    words = keyed.where("_wild").select("_row", "n_tokens", F.posexplode("tokens").alias("_at", "_word")).where(F.col("_word") != fv.WILDCARD)
+    common = words.groupBy("n_tokens", "_at", "_word").agg(F.count("*").alias("_n"))
+    rarest = words.join(common, ["n_tokens", "_at", "_word"]).groupBy("_row").agg(F.min(F.struct("_n", "_at", "_word")).alias("_key"))
+    filed = keyed.where("_wild").join(rarest, "_row", "left").drop("_row", "_wild", "_text").withColumnRenamed("tokens", "_tokens")
+    filed = settle(filed.withColumn("_at", F.coalesce("_key._at", F.lit(-1))).withColumn("_word", F.coalesce("_key._word", F.lit(""))).drop("_key"))
+    places = settle(filed.groupBy("n_tokens").agg(F.collect_set("_at").alias("_places")))  # no more than words in a message
+    asked = signatures.join(broadcast_if_small(places), "n_tokens").withColumn("_at", F.explode("_places")).drop("_places")
+    asked = asked.withColumn("_word", F.coalesce(F.get("tokens", F.when(F.col("_at") >= 0, F.col("_at"))), F.lit("")))
+    met = asked.join(broadcast_if_small(filed), ["n_tokens", "_at", "_word"])
+    covers = F.forall(F.zip_with("tokens", "_tokens", lambda x, y: (y == fv.WILDCARD) | (x == y)), lambda x: x)
+    return exact.unionByName(met.where(covers).drop("tokens", "_tokens", "_at", "_word"))
 
 
 # --- mining ---------------------------------------------------------------------
@@ -150,11 +173,8 @@ class _Grid:
     listed at the positions with the shortest lists are compared.
     """
 
-    WILD = 0
-
-    def __init__(self, width: int, threshold: float, room: int):
-        self.width, self.threshold = width, threshold
-        self.need = next((k for k in range(width + 1) if k >= threshold * width), width + 1)
+    def __init__(self, width: int, need: int, room: int, wild: int):
+        self.width, self.need, self.wild = width, need, wild
         self.cells = np.zeros((room, width), dtype=np.int64)
         self.version = np.zeros(room, dtype=np.int64)
         self.used = 0
@@ -166,58 +186,119 @@ class _Grid:
         self.cells[row], self.version[row] = line, version
         self.used = max(self.used, row + 1)
 
-    def _candidates(self, line: np.ndarray) -> np.ndarray:
-        lists = [
-            held.get(int(code), []) + (held.get(self.WILD, []) if code != self.WILD else [])
-            for held, code in zip(self.listed, line)
-        ]
-        lists = sorted(lists, key=len)[: self.width - self.need + 1]
-        return np.unique(np.array([row for some in lists for row in some], dtype=np.int64))
-
-    def best(self, line: np.ndarray) -> int:
-        """The most similar template, the earliest on ties, or -1."""
+    def alike(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that agree with a line on ``need`` words at least, and on how many."""
         if self.width == 0 or self.need == 0:
             rows = np.arange(self.used)
         else:
-            rows = self._candidates(line)
-        if not len(rows):
-            return -1
+            lists = [
+                held.get(code, []) + (held.get(self.wild, []) if code != self.wild else [])
+                for held, code in zip(self.listed, line.tolist())
+            ]
+            lists = sorted(lists, key=len)[: self.width - self.need + 1]
+            rows = np.unique(np.array([row for some in lists for row in some], dtype=np.int64))
         cells = self.cells[rows]
-        agree = ((cells == line) | (cells == self.WILD)).sum(axis=1)
-        at = int(agree.argmax())
-        return int(rows[at]) if agree[at] >= self.need else -1
-
-
-def _replay(threshold: float, order: tuple[str, ...]):
-    """The greedy rule over the uncovered messages of one word count, in order."""
-
-    def run(key, known: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-        width, out = int(key[0]), []
-        codes, words = {fv.WILDCARD: _Grid.WILD}, [fv.WILDCARD]
-
-        def encode(tokens) -> np.ndarray:
-            for t in tokens:
-                if codes.setdefault(t, len(words)) == len(words):
-                    words.append(t)
-            return np.array([codes[t] for t in tokens], dtype=np.int64)
-
-        grid = _Grid(width, threshold, len(known) + len(fresh))
-        known = known.sort_values("cluster")
-        for row, (tokens, version) in enumerate(zip(known["tokens"], known["version"])):
-            grid.put(row, encode(tokens), version)
-        for item in fresh.sort_values(list(order)).to_dict("records"):
-            line = encode(item["tokens"])
-            row = grid.best(line)
-            if row < 0:
-                row, version = grid.used, 0
-            else:
-                line = np.where(grid.cells[row] == line, line, _Grid.WILD)
-                if (line == grid.cells[row]).all():
-                    continue
-                version = int(grid.version[row]) + 1
-            grid.put(row, line, version)
-            out.append((width, row, version, [words[c] for c in line], *[item[c] for c in order]))
-        return pd.DataFrame(out, columns=["n_tokens", "cluster", "version", "tokens", *order])
+        agree = ((cells == line) | (cells == self.wild)).sum(axis=1)
+        enough = agree >= self.need
+        return rows[enough], agree[enough]
+
+    def best(self, line: np.ndarray) -> int:
+        """The most similar template, the earliest on ties, or -1."""
+        rows, agree = self.alike(line)
+        return int(rows[agree.argmax()]) if len(rows) else -1
+
+
+def _need(threshold: float) -> Column:
+    """Words of a message that must agree with a template."""
+    return F.ceil(F.lit(threshold) * F.col("n_tokens")).cast("int")
+
+
+def _coded(*tables: pa.Table) -> tuple[list[np.ndarray], pa.Array, int]:
+    """Tokens of tables as rows of numbers, the words they stand for, and the
+    number of the wildcard (-1 if there is none)."""
+    lists = [t["tokens"].combine_chunks() for t in tables]
+    widths = {len(x) for x in pa.chunked_array(lists).slice(0, 1).to_pylist()} or {0}
+    numbered = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode()
+    codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(sum(map(len, lists)), widths.pop())
+    wild = numbered.dictionary.index(fv.WILDCARD).as_py()
+    return np.split(codes, np.cumsum([len(x) for x in lists])[:-1]), numbered.dictionary, wild
+
+
+def _near(known: pa.Table, batch: pa.Table) -> pa.Table:
+    """The templates that some message of the batch agrees with enough. No
+    other can be chosen, nor change before it is."""
+    if not len(known) or not len(batch):
+        return known.slice(0, 0)
+    (cells, lines), _, wild = _coded(known, batch)
+    grid = _Grid(cells.shape[1], known["need"][0].as_py(), len(cells), wild)
+    for row, line in enumerate(cells):
+        grid.put(row, line, 0)
+    chosen = np.zeros(len(cells), bool)
+    for line in lines:
+        chosen[grid.alike(line)[0]] = True
+    return known.filter(pa.array(chosen))
+
+
+def _groups(rows: pa.Table) -> pa.Table:
+    """Add ``part``: rows of one word count that share a word at a position,
+    directly or through others, are one part; all are where there is a catch-all."""
+    (cells,), _, wild = _coded(rows)
+    n, width = cells.shape
+    part = np.arange(n)
+    if ((cells == wild).sum(axis=1) >= rows["need"][0].as_py()).any():
+        part[:] = 0
+    elif width:
+        _, key = np.unique(cells + np.arange(width) * (cells.max() + 1), return_inverse=True)
+        key, plain = key.reshape(n, width), cells != wild
+        while True:
+            least = np.full(key.max() + 1, n)
+            np.minimum.at(least, key[plain], np.broadcast_to(part[:, None], key.shape)[plain])
+            new = np.minimum(part, np.where(plain, least[key], n).min(axis=1))
+            new = new[new]
+            if (new == part).all():
+                break
+            part = new
+    return rows.append_column("part", pa.array(part, pa.int64())).append_column("parts", pa.array(np.full(n, len(np.unique(part))), pa.int64()))
+
+
+def _replay(order: tuple[str, ...], schema: pa.Schema):
+    """The greedy rule over the messages of one part, in order."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cluster")
+        (cells,), words, wild = _coded(rows)
+        need, parts = rows["need"][0].as_py(), rows["parts"][0].as_py()
+        old, numbers, versions = (rows[c].to_pylist() for c in ("old", "cluster", "version"))
+        if wild < 0:
+            wild, words = len(words), pa.concat_arrays([words, pa.array([fv.WILDCARD], pa.string())])
+        grid, owner, out = _Grid(cells.shape[1], need, len(cells), wild), [], []
+        for row in sorted(range(len(old)), key=lambda i: (not old[i], numbers[i])):
+            line, number, version = cells[row], numbers[row], versions[row]
+            if not old[row]:
+                at = grid.best(line)
+                if at < 0:
+                    version = 0
+                else:
+                    line = np.where(grid.cells[at] == line, line, wild)
+                    if (line == grid.cells[at]).all():
+                        continue
+                    version = int(grid.version[at]) + 1
+                    grid.put(at, line, version)
+                    number = owner[at]
+                out.append((row, number, version, line))
+            if old[row] or version == 0:
+                grid.put(grid.used, line, version)
+                owner.append(number)
+        lines = np.array([o[3] for o in out], np.int64).reshape(len(out), cells.shape[1])
+        flat = words.take(pa.array(lines.ravel(), pa.int64()))
+        tokens = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * cells.shape[1], pa.int32()), flat)
+        from_ = rows.take(pa.array([o[0] for o in out], pa.int64()))
+        wilds = (lines == wild).sum(axis=1)
+        columns = {
+            "n_tokens": from_["n_tokens"], "cluster": pa.array([o[1] for o in out], pa.int64()), "version": pa.array([o[2] for o in out], pa.int32()), "tokens": tokens,
+            **{c: from_[c] for c in order}, "at": from_["cluster"], "catches": pa.array((wilds >= need) & (parts > 1), pa.bool_()),
+        }
+        return pa.table(columns).cast(schema)
 
     return run
 
@@ -234,19 +315,48 @@ def _latest(versions: DataFrame) -> DataFrame:
 
 
 def _distinct_signatures(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Distinct signatures with the place each is first seen, as a stored table."""
+    """Distinct signatures with the place each is first seen, as a stored
+    table; ``sig_id`` counts them by word count and place."""
     *outer, inner = order
     per_file = rows.groupBy("signature", *outer).agg(F.min(inner).alias(inner))
     first = per_file.groupBy("signature").agg(F.min(F.struct(*order)).alias("o")).select("signature", "o.*")
-    return stored(
-        first.select(
-            F.monotonically_increasing_id().alias("sig_id"),
-            tf.n_tokens(F.col("signature")).cast("int").alias("n_tokens"),
-            tf.tokens_of(F.col("signature")).alias("tokens"),
-            *order,
-        ),
-        "signatures",
+    first = stored(first.withColumn("n_tokens", tf.n_tokens(F.col("signature")).cast("int")), "first_seen")
+    ranked = rank_by_order(first, ("n_tokens", *order), "sig_id")
+    return ranked.select("sig_id", "n_tokens", tf.tokens_of(F.col("signature")).alias("tokens"), *order)
+
+
+def _next_batch(remaining: DataFrame, catching: DataFrame, batch_rows: int, batch_words: int, stride: int) -> DataFrame:
+    """``n_tokens, upto``: where the next batch of each word count ends, so that
+    it keeps its bounds, or has a stride of rows at least."""
+    strides = remaining.groupBy("n_tokens", F.floor(F.col("sig_id") / stride).alias("stride")).agg(F.count("*").alias("n"))
+    strides = strides.join(catching.withColumn("catching", F.lit(True)), "n_tokens", "left")
+    rows = F.sum("n").over(W.partitionBy("n_tokens").orderBy("stride"))
+    most = F.least(
+        F.when(F.col("catching"), min(CATCH_ALL_ROWS, batch_rows)).otherwise(batch_rows), F.lit(batch_words) / F.greatest("n_tokens", F.lit(1))
     )
+    strides = strides.withColumn("fits", (rows <= most) | (F.col("n") == rows))
+    return strides.where("fits").groupBy("n_tokens").agg(((F.max("stride") + 1) * stride).alias("upto"))
+
+
+def _grouped(state: DataFrame | None, batch: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Messages of a batch and the templates that they may join, in parts."""
+    fields = ["n_tokens", "need", "cluster", "version", "tokens", *order, "old"]
+    rows = batch.withColumn("version", F.lit(0)).withColumn("old", F.lit(False))
+    rows = rows.select(*fields)
+    if state is not None:
+        known = state.join(F.broadcast(batch.select("n_tokens").distinct()), "n_tokens", "left_semi")
+        known = known.select(*fields[:5], *(F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in order), F.lit(True).alias("old"))
+        chunks = known.groupBy("n_tokens").agg(F.ceil(F.count("*") / CHUNK_TEMPLATES).cast("int").alias("chunks"))
+        chunks = settle(chunks)
+        chunk = F.pmod(F.xxhash64("cluster"), F.col("chunks"))
+        known = known.join(broadcast_if_small(chunks), "n_tokens").withColumn("chunk", chunk).drop("chunks")
+        asked = rows.join(broadcast_if_small(chunks), "n_tokens").select(
+            F.col("n_tokens").alias("width"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_of"), "tokens"
+        )
+        near = known.groupBy("n_tokens", "chunk").cogroup(asked.groupBy("width", "chunk_of")).applyInArrow(_near, known.schema)
+        rows = rows.unionByName(near.drop("chunk"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("parts", T.LongType())])
+    return stored(rows.groupBy("n_tokens").applyInArrow(_groups, schema), "parts")
 
 
 def mine_templates(
@@ -254,48 +364,57 @@ def mine_templates(
     threshold: float = 0.5,
     known: MinedTemplates | None = None,
     order: tuple[str, ...] = ORDER,
-    replay_words: int = REPLAY_WORDS,
     batch_rows: int = BATCH_ROWS,
+    batch_words: int = BATCH_WORDS,
+    stride: int = STRIDE,
 ) -> MinedTemplates:
     """Mine the templates of ``logs``; ``known`` ones are kept and extended.
 
-    Each round runs the rule over at most ``replay_words`` words per word
-    count. A replay holds the templates of one word count, which is what the
-    result lists, and never the messages.
+    A round takes at most ``batch_rows`` messages and ``batch_words`` words of
+    each word count, counted off by ``stride``. No task holds the messages or
+    the templates of a word count, only a batch and what it can meet.
     """
     signatures = _distinct_signatures(with_signature(logs).select("signature", *order), order)
     schema = _versions_schema([signatures.schema[c] for c in order])
-    versions = logs.sparkSession.createDataFrame([], schema) if known is None else known.versions
+    spark = logs.sparkSession
+    versions = spark.createDataFrame([], schema) if known is None else known.versions
+    # Numbers of founding messages go on after those of earlier runs.
+    base = 0 if known is None else versions.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("m")).first().m
     remaining = signatures if known is None else settle(_uncovered(signatures, _latest(versions)))
+    added_schema = T.StructType([*schema.fields, T.StructField("at", T.LongType()), T.StructField("catches", T.BooleanType())])
+    state = None if known is None else _latest(versions)
     while True:
-        classes = remaining.groupBy("n_tokens").agg(F.count("*").alias("n"))
-        large = F.col("n") * F.greatest("n_tokens", F.lit(1)) > replay_words
-        classes = settle(classes.select("n_tokens", large.alias("large")))
-        some_large = not classes.where("large").isEmpty()
-        batch = remaining
-        if some_large:
-            sized = remaining.join(broadcast_if_small(classes), "n_tokens")
-            first = W.partitionBy("n_tokens").orderBy(*order)
-            head = sized.where("large").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= batch_rows)
-            batch = sized.where("not large").unionByName(head.drop("rn")).drop("large")
-        state = _latest(versions).groupBy("n_tokens")
-        added = stored(
-            state.cogroup(batch.groupBy("n_tokens")).applyInPandas(_replay(threshold, order), schema), "versions"
-        )
-        versions = versions.unionByName(added)
-        if not some_large:
+        wilds = lambda t: F.size(F.filter(t, lambda x: x == fv.WILDCARD))
+        if state is not None:
+            state = settle(state.withColumn("need", _need(threshold)).withColumn("catches", wilds(F.col("tokens")) >= F.col("need")))
+        catching = spark.createDataFrame([], "n_tokens int") if state is None else state.where("catches").select("n_tokens").distinct()
+        ends = settle(_next_batch(remaining, catching, batch_rows, batch_words, stride))
+        if ends.isEmpty():
+            break
+        batch = remaining.join(broadcast_if_small(ends), "n_tokens").where("sig_id < upto")
+        batch = batch.withColumn("need", _need(threshold)).withColumn("cluster", F.col("sig_id") + base)
+        parts = _grouped(state, batch, order)
+        replayed = parts.groupBy("n_tokens", "part").applyInArrow(_replay(order, to_arrow_schema(added_schema)), added_schema)
+        added = stored(replayed, "added")
+        # What comes after the first catch-all of one part of several waits.
+        cuts = settle(added.where("catches").groupBy("n_tokens").agg(F.min("at").alias("cut")))
+        added = added.join(broadcast_if_small(cuts), "n_tokens", "left").where("cut IS NULL OR at <= cut")
+        versions = settle(versions.unionByName(added.select(*schema.fieldNames())))
+        ends = ends.join(broadcast_if_small(cuts), "n_tokens", "left")
+        ends = settle(ends.select("n_tokens", F.least("upto", F.col("cut") - base + 1).alias("done")))
+        left = remaining.join(broadcast_if_small(ends), "n_tokens").where("sig_id >= done").drop("done")
+        state = _latest(versions)
+        remaining = settle(left)
+        if remaining.isEmpty():
             break
-        left = remaining.join(broadcast_if_small(classes.where("large").select("n_tokens")), "n_tokens", "left_semi")
-        done = batch.select("sig_id")
-        remaining = settle(_uncovered(left.join(done, "sig_id", "left_anti"), _latest(versions)))
-    versions = settle(versions)
+        remaining = settle(_uncovered(remaining, state))
     born = versions.where(F.col("version") == 0)
-    base, clusters = 0, None
+    first, clusters = 0, None
     if known is not None:
         clusters = known.clusters
-        base = clusters.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("m")).first().m
+        first = clusters.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("m")).first().m
         born = born.join(clusters, ["n_tokens", "cluster"], "left_anti")
-    ranked = rank_by_order(born, order, "template_id", base).select("n_tokens", "cluster", "template_id")
+    ranked = rank_by_order(born, order, "template_id", first).select("n_tokens", "cluster", "template_id")
     clusters = ranked if clusters is None else clusters.unionByName(ranked)
     return MinedTemplates(versions, clusters, signatures, order)
 

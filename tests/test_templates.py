@@ -51,8 +51,9 @@ def as_logs(spark, token_lists, start=1):
     "seed, n, words, longest, options",
     [
         (1, 400, 4, 5, {}),
-        (2, 400, 3, 7, {"replay_words": 40, "batch_rows": 5}),  # many rounds
-        (3, 2000, 12, 6, {"replay_words": 300, "batch_rows": 60}),
+        (2, 400, 3, 7, {"batch_rows": 9, "stride": 3}),  # many rounds
+        (3, 2000, 12, 6, {"batch_rows": 60, "stride": 10}),
+        (5, 1500, 26, 9, {"batch_words": 500, "stride": 20, "threshold": 0.6}),
         (4, 300, 4, 6, {"threshold": 0.7}),
     ],
 )
