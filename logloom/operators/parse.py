@@ -12,7 +12,7 @@ from logloom.operators import formats as fm
 from logloom.operators.formats import Format
 from logloom.operators.multiline import fold_lines
 from logloom.schema import LOG_COLUMNS, row_id
-from logloom.sources.workspace import broadcast_if_small, settle
+from logloom.sources.workspace import broadcast_if_small, settle, stored
 
 
 def _choose(formats: list[Format], value, otherwise: str | None = None) -> Column:
@@ -195,15 +195,9 @@ def choose_parsers(lines: DataFrame, fallback: bool = True) -> DataFrame:
     return settle(swapped.select("source", F.coalesce("fallback", "parser").alias("parser"), "score"))
 
 
-def parse_logs(
-    lines: DataFrame, year: int | None = None, fallback: bool = True, parsers: DataFrame | None = None
-) -> DataFrame:
-    """Detect the format of each source and parse all sources in one scan.
-
-    Only Spring Boot sources, where lines must be brought together, take a
-    second one. ``parsers`` (from :func:`choose_parsers`) skips detection.
-    """
-    parsers = choose_parsers(lines, fallback) if parsers is None else settle(parsers)
+def _parse_as(lines: DataFrame, parsers: DataFrame, year: int | None) -> DataFrame:
+    """Each source parsed by the format named for it, in one scan; Spring Boot
+    sources, where lines must be brought together, take a second one."""
     found = {r.parser for r in parsers.select("parser").distinct().collect()}  # six values at most
     tagged = lines.join(broadcast_if_small(parsers.select("source", "parser")), "source")
     single = [f for f in fm.DETECTABLE if f.name in found and f is not fm.SPRING]
@@ -216,3 +210,37 @@ def parse_logs(
     if not out:
         return _one(lines, fm.GENERIC)
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _speculative(lines: DataFrame, year: int | None) -> DataFrame:
+    """Parse with the detected formats and keep the rows; a source whose format
+    gave rows for too few of its lines is parsed again as generic, which stands
+    if it gives more."""
+    detected = settle(detect_format(lines))
+    own = stored(_parse_as(lines, detected, year), "parsed")
+    n_lines = lines.groupBy("source").agg(F.count("*").alias("n"))
+    given = own.groupBy("source").agg(F.count("*").alias("given"))
+    judged = detected.where(F.col("parser") != fm.GENERIC.name).join(n_lines, "source").join(given, "source", "left")
+    judged = judged.select("source", "n", F.coalesce("given", F.lit(0)).alias("given"))
+    few = settle(judged.where(F.col("given") < F.col("n") * fv.FALLBACK_SHARE))
+    if few.isEmpty():
+        return own
+    again = lines.join(broadcast_if_small(few.select("source")), "source", "left_semi")
+    again = stored(_one(again, fm.GENERIC), "parsed_again")
+    more = again.groupBy("source").agg(F.count("*").alias("n_generic")).join(few, "source").where("n_generic > given")
+    more = broadcast_if_small(settle(more.select("source")))
+    return own.join(more, "source", "left_anti").unionByName(again.join(more, "source", "left_semi"))
+
+
+def parse_logs(
+    lines: DataFrame, year: int | None = None, fallback: bool = True, parsers: DataFrame | None = None
+) -> DataFrame:
+    """Detect the format of each source and parse all sources in one scan.
+
+    With ``fallback`` the rows are stored on the way, so that each line is
+    parsed once unless its source falls back. ``parsers`` (from
+    :func:`choose_parsers`) skips detection.
+    """
+    if parsers is None and fallback:
+        return _speculative(lines, year)
+    return _parse_as(lines, settle(detect_format(lines) if parsers is None else parsers), year)
