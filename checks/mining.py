@@ -17,12 +17,11 @@ RARE = r.logs_sql(message=r.RARE_MESSAGE)
 
 
 def _masked(text: str) -> str:
-    hexes = "[0-9a-fA-F]"
     for pattern, name in [
-        (rf"\b{hexes}{{8}}-{hexes}{{4}}-{hexes}{{4}}-{hexes}{{4}}-{hexes}{{12}}\b", "<UUID>"),
+        (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
         (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>"),
-        (rf"0x{hexes}+", "<HEX>"),
-        (rf"\b{hexes}{{16,64}}\b", "<HASH>"),
+        (r"0x[0-9a-fA-F]+", "<HEX>"),
+        (r"\b[0-9a-fA-F]{16,64}\b", "<HASH>"),
         (r"\b\d+\b", "<NUM>"),
         (r"https?://\S+", "<URL>"),
         (r"(/[\w.-]+)+/?", "<PATH>"),
@@ -140,7 +139,8 @@ def _(spark, sf):
 
 
 # The greedy rule row by row: ``run`` holds all templates after each row.
-LOOP = f"""{r.logs_sql(message=r.NAMED_MESSAGE).replace('WITH logs', 'WITH RECURSIVE logs', 1)},
+def loop(logs: str) -> str:
+    return f"""{logs.replace('WITH logs', 'WITH RECURSIVE logs', 1)},
  split AS MATERIALIZED (SELECT line_number, string_split({_masked('message')}, ' ') AS w FROM logs),
  run(k, id, tpl) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[][])
   UNION ALL SELECT k + 1, CASE WHEN share >= 0.5 THEN best ELSE len(tpl) + 1 END,
@@ -152,6 +152,9 @@ LOOP = f"""{r.logs_sql(message=r.NAMED_MESSAGE).replace('WITH logs', 'WITH RECUR
       THEN len([1 FOR x IN list_zip(t, w) IF x[1] = x[2] OR x[1] = '<*>']) / len(w) ELSE -1e0 END FOR t IN tpl] AS shares
     FROM run JOIN split ON split.line_number = run.k + 1))),
  final AS (SELECT tpl FROM run WHERE k = (SELECT max(k) FROM run))"""
+
+
+LOOP = loop(r.logs_sql(message=r.NAMED_MESSAGE))
 FOUND = f"""{LOOP} SELECT unnest(range(1, len(tpl) + 1)) AS template_id,
  unnest([array_to_string(t, ' ') FOR t IN tpl]) AS template FROM final"""
 
@@ -174,11 +177,17 @@ def _(spark, sf):
     return tm.assign_templates(logs, tm.mine_templates(logs), same_logs=True).select("line_number", "template_id")
 
 
-@query("sample_params")
+@query(
+    "sample_params",
+    f"""{LOOP}, late AS (SELECT id, k, w, tpl[id] AS t FROM run JOIN split ON split.line_number = run.k WHERE list_contains(tpl[id], '<*>')),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS rank FROM late)
+ SELECT id AS template_id, rank, array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF t[i] = '<*>'], '|') AS params FROM ranked WHERE rank <= 5""",
+)
 def _(spark, sf):
     logs = r.log_table(spark, sf, message=r.NAMED_MESSAGE)
     mined = tm.mine_templates(logs)
-    return tm.sample_params(tm.assign_templates(logs, mined, same_logs=True), mined)
+    shown = tm.sample_params(tm.assign_templates(logs, mined, same_logs=True), mined)
+    return shown.select("template_id", F.col("rank").cast("bigint").alias("rank"), F.array_join("params", "|").alias("params"))
 
 
 def _by_signature(spark, sf, **options) -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import render as r
+from checks.mining import loop
 from checks.registry import query
 from logloom import fixed_values as fv
 from logloom.operators import anomalies as an
 from logloom.operators import diagnostics as dg
 from logloom.operators import filters as fl
 from logloom.operators import metrics as mt
+from logloom.operators import templates as tm
+from logloom.plans.overview import overview, with_templates
+from logloom.schema import LOG_COLUMNS
+from logloom.sources.datasets import load_dataset, save_dataset
+from logloom.sources.workspace import new_dir
 
 LOGS = r.logs_sql()
 SPIKY = r.logs_sql(level=r.SPIKY_LEVEL)
@@ -48,10 +54,11 @@ def _(spark, sf):
     return fl.filter_logs(_some_undated(spark, sf), services=["svc-1", "svc-4", "unspecified"]).select(_NAMES)
 
 
-@query("filter_template", f"{LOGS} SELECT {_COLS} FROM logs WHERE length(message) % 5 = 3")
+@query("filter_template", f"{loop(r.logs_sql(message=r.RARE_MESSAGE))} SELECT {_COLS} FROM logs JOIN run ON run.k = logs.line_number WHERE id = 3")
 def _(spark, sf):
-    logs = r.log_table(spark, sf).withColumn("template_id", F.length("message") % 5)
-    return fl.filter_logs(logs, template_id=3).select(_NAMES)
+    logs = r.log_table(spark, sf, message=r.RARE_MESSAGE)
+    rows = tm.assign_templates(logs, tm.mine_templates(logs), same_logs=True)
+    return fl.filter_logs(rows, template_id=3).select(_NAMES)
 
 
 @query("filter_time_range", f"{UNDATED} SELECT {_COLS} FROM part WHERE epoch IS NULL OR epoch BETWEEN 1704672000 AND 1705276800")
@@ -305,23 +312,39 @@ _NO_ROW = "CAST(0 AS DOUBLE)"
 _EVIDENCE = f"""{_TOP3}, {_MSG3}, first AS (SELECT {_ISO.format('min(ts0)')} AS t FROM logs),
  http AS ({_HTTP}), auth AS ({_AUTH})"""
 _FOUND = f"""SELECT 1 AS section, 'spike-' || CAST(bucket AS VARCHAR) AS id, 'ERROR_BURST' AS type, severity,
-  printf('Sudden Error Spike (%d errors, %.1f%% error rate)', errors, round(rate * 100, 1)) AS title, {_ISO.format('start_ts')} AS timestamp,
+  printf('Sudden Error Spike (%d errors, %.1f%% error rate)', errors, round(rate * 100, 1)) AS title, {_ISO.format('start_ts')} AS timestamp, start_epoch AS first_match,
   printf('Log volume had %d events with %d errors in this window. Top affected services: %s.', total, errors,
    (SELECT string_agg(service, ', ' ORDER BY rank) FROM svc WHERE svc.bucket = bursts.bucket AND rank <= 3)) AS description,
   coalesce((SELECT string_agg(message, '|' ORDER BY rank) FROM msg WHERE msg.bucket = bursts.bucket AND rank <= 3), '') AS samples,
   errors AS metric_value, round(a, 1) AS baseline_value FROM bursts
  UNION ALL SELECT 2, 'http-HTTP ' || CAST(status_code AS VARCHAR), 'HTTP_STATUS_OUTLIER', severity,
-  'High Volume of HTTP ' || CAST(status_code AS VARCHAR) || ' Responses', t,
+  'High Volume of HTTP ' || CAST(status_code AS VARCHAR) || ' Responses', t, first_match,
   printf('Detected %d instances of HTTP %d responses across the logged duration.', n, status_code), '', n, 0 FROM http, first
  UNION ALL SELECT 3, 'auth-fail-' || auth_source, 'SECURITY_AUTHENTICATION_SPIKE', severity,
-  printf('Possible Brute Force / Repeated Auth Failures (%d attempts)', n), t,
+  printf('Possible Brute Force / Repeated Auth Failures (%d attempts)', n), t, first_match,
   printf('Target source ''%s'' recorded %d failed authentication events in the dataset.', auth_source, n), '', n, 1 FROM auth, first"""
 
 
-@query("all_anomalies", f"{_BURSTS}, {_EVIDENCE} {_FOUND}")
+_MINED = f"""placed AS (SELECT logs.*, id, row_number() OVER (PARTITION BY id ORDER BY line_number) AS place FROM logs JOIN run ON run.k = logs.line_number),
+ mined AS (SELECT id, count(*) AS size, count(*) FILTER ({ERR}) AS error_count, {_ISO.format('arg_min(ts0, line_number)')} AS first_seen,
+  string_agg(substring(message, 1, 120), '|' ORDER BY line_number) FILTER (place <= 5) AS shown, array_to_string((SELECT tpl FROM final)[id], ' ') AS template
+  FROM placed GROUP BY id)"""
+_RARE = """SELECT 4, 'rare-cluster-' || CAST(id AS VARCHAR), 'RARE_ERROR_TEMPLATE', 'low',
+  printf('Rare Error Signature (Seen only %d time%s)', size, CASE WHEN size > 1 THEN 's' ELSE '' END), first_seen, NULL,
+  'New or rare error template encountered: ''' || substring(template, 1, 100) || '''', shown, size, 0
+  FROM mined WHERE error_count > 0 AND size <= 2 AND (SELECT count(*) FROM logs) > 50"""
+
+
+_ALERTS = f"""{loop(r.logs_sql(level=r.SPIKY_LEVEL, message=r.RARE_MESSAGE))}, {_BURSTS.removeprefix(SPIKY + ", ")}, {_EVIDENCE}, {_MINED}"""
+
+
+@query("all_anomalies", f"{_ALERTS} {_FOUND} UNION ALL {_RARE}")
 def _(spark, sf):
-    found = an.all_anomalies(_hosts(spark, sf, level=r.SPIKY_LEVEL))
-    return found.withColumn("samples", F.array_join("sample_errors", "|")).drop("sample_errors", "first_match")
+    rows, templates = with_templates(_hosts(spark, sf, level=r.SPIKY_LEVEL, message=r.RARE_MESSAGE))
+    found = an.all_anomalies(rows, templates)
+    samples = F.array_join("sample_errors", "|").alias("samples")
+    names = ("section", "id", "type", "severity", "title", "timestamp", "description", "metric_value", "baseline_value")
+    return found.select(*names, samples, _epoch_of("first_match", "first_match"))
 
 
 # --- diagnosis --------------------------------------------------------------------
@@ -377,11 +400,11 @@ def _(spark, sf):
     return issues.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(
-    "issue_snippets",
-    f"""{_MATCHES}, s AS (SELECT category, substring(message, 1, 200) AS snippet,
- row_number() OVER (PARTITION BY category ORDER BY pattern_no, line_number) AS rank FROM hits) SELECT * FROM s WHERE rank <= 3""",
-)
+_SNIPPETS = """s AS (SELECT category, substring(message, 1, 200) AS snippet,
+ row_number() OVER (PARTITION BY category ORDER BY pattern_no, line_number) AS rank FROM hits)"""
+
+
+@query("issue_snippets", f"{_MATCHES}, {_SNIPPETS} SELECT * FROM s WHERE rank <= 3")
 def _(spark, sf):
     return dg.issue_snippets(r.log_table(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -416,9 +439,13 @@ def _(spark, sf):
     return dg.context_sample(r.log_table(spark, sf)).select("part", "line_number", "message")
 
 
+_REPORT = f"""{loop(r.logs_sql(message=r.RARE_MESSAGE))}, {_BURSTS.replace(_buckets(SPIKY), _buckets(LOGS)).removeprefix(LOGS + ", ")},
+ {_EVIDENCE}, {_MINED}, {_MATCHES.removeprefix(LOGS + ", ")}, {_STEPS}, {_SNIPPETS}, alerts AS ({_FOUND} UNION ALL {_RARE})"""
+
+
 @query(
     "incident_report",
-    f"""{_BURSTS.replace(_buckets(SPIKY), _buckets(LOGS))}, {_EVIDENCE}, {_MATCHES.removeprefix(LOGS + ", ")}, {_STEPS}, alerts AS ({_FOUND}),
+    f"""{_REPORT},
  facts AS (SELECT count(*) AS total, count(*) FILTER ({ERR}) AS errors, round(count(*) FILTER ({ERR}) * 100e0 / count(*), 2) AS rate FROM logs)
  SELECT 'overview' AS section, 1 AS rank, 'total' AS key, CAST(total AS VARCHAR) AS value FROM facts
  UNION ALL SELECT 'overview', 1, 'errors', CAST(errors AS VARCHAR) FROM facts
@@ -430,11 +457,40 @@ def _(spark, sf):
  UNION ALL SELECT 'issues', rank, 'occurrences', CAST(occurrences AS VARCHAR) FROM ranked
  UNION ALL SELECT 'issues', rank, 'root_cause', root_cause FROM ranked
  UNION ALL SELECT 'remediation', rank, key, value FROM ranked JOIN steps USING (category)
+ UNION ALL SELECT 'snippets', ranked.rank, CAST(s.rank - 1 AS VARCHAR), snippet FROM ranked JOIN s USING (category) WHERE s.rank <= 3
  UNION ALL SELECT 'anomalies', section, id || ' severity', severity FROM alerts
  UNION ALL SELECT 'anomalies', section, id || ' title', title FROM alerts
  UNION ALL SELECT 'anomalies', section, id || ' timestamp', timestamp FROM alerts
  UNION ALL SELECT 'anomalies', section, id || ' description', description FROM alerts""",
 )
 def _(spark, sf):
-    logs = _hosts(spark, sf)
-    return dg.incident_report(logs, an.all_anomalies(logs))
+    rows, templates = with_templates(_hosts(spark, sf, message=r.RARE_MESSAGE))
+    return dg.incident_report(rows, an.all_anomalies(rows, templates))
+
+
+@query(
+    "overview",
+    f"""{_ALERTS}, hits AS (SELECT line_number, id FROM logs JOIN run ON run.k = logs.line_number
+  WHERE level = 'ERROR' AND contains(lower(message), 'failed'))
+ SELECT 'logs' AS part, CAST(line_number AS VARCHAR) AS key, id AS n FROM (SELECT * FROM hits ORDER BY line_number DESC LIMIT 20 OFFSET 5)
+ UNION ALL SELECT 'total', '', count(*) FROM hits
+ UNION ALL SELECT 'levels', level, count(*) FROM logs GROUP BY level
+ UNION ALL SELECT 'services', service, count(*) FROM logs GROUP BY service
+ UNION ALL SELECT 'templates', template, size FROM mined
+ UNION ALL SELECT 'anomalies', id || ' ' || severity, metric_value FROM ({_FOUND} UNION ALL {_RARE})""",
+)
+def _(spark, sf):
+    rows, templates = with_templates(_hosts(spark, sf, level=r.SPIKY_LEVEL, message=r.RARE_MESSAGE))
+    out = new_dir(spark, "dataset")
+    save_dataset(rows.select(*LOG_COLUMNS, "template_id"), out)
+    view = overview(load_dataset(spark, out), templates, limit=20, offset=5, levels=["error"], query="failed")
+    part = lambda name, df, key, n: df.select(F.lit(name).alias("part"), key.alias("key"), n.cast("bigint").alias("n"))
+    col = F.col
+    return (
+        part("logs", view["logs"], col("line_number").cast("string"), col("template_id"))
+        .unionByName(part("total", view["total"], F.lit(""), col(view["total"].columns[0])))
+        .unionByName(part("levels", view["metrics.level_counts"], col("level"), col("n")))
+        .unionByName(part("services", view["metrics.services"], col("service"), col("count")))
+        .unionByName(part("templates", view["templates"], col("template"), col("size")))
+        .unionByName(part("anomalies", view["anomalies"], F.concat_ws(" ", "id", "severity"), col("metric_value")))
+    )

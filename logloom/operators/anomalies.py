@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logloom import fixed_values as fv
 from logloom.functions.normalize import is_error, text_or_null, timestamp_text, truncate
 from logloom.schema import ORDER, count_with_first
+from logloom.sources.workspace import settle, stored
 
 ANOMALY_COLUMNS = [
     "section",
@@ -25,12 +26,19 @@ ANOMALY_COLUMNS = [
 ]
 
 
+def _bounds(*more: Column) -> list[Column]:
+    """What the time buckets depend on: first time, span, dated rows."""
+    return [F.min("epoch").alias("lo"), (F.max("epoch") - F.min("epoch")).alias("d"), F.count("epoch").alias("n"), *more]
+
+
+def _width() -> Column:
+    return F.when(F.col("d") > 0, F.greatest(F.lit(5), F.floor(F.col("d") / 30))).otherwise(60)
+
+
 def _bucketed(logs: DataFrame) -> DataFrame:
     """Dated rows with their time bucket; none below five dated rows."""
     dated = logs.where(F.col("epoch").isNotNull())
-    span = dated.agg(F.min("epoch").alias("lo"), (F.max("epoch") - F.min("epoch")).alias("d"), F.count("*").alias("n"))
-    width = F.when(F.col("d") > 0, F.greatest(F.lit(5), F.floor(F.col("d") / 30))).otherwise(60)
-    step = span.select(F.struct("lo", "n", width.alias("width"))).scalar()
+    step = dated.agg(*_bounds()).select(F.struct("lo", "n", _width().alias("width"))).scalar()
     index = F.floor((F.col("epoch") - F.col("step.lo")) / F.col("step.width"))
     bucketed = dated.withColumn("step", step).where(F.col("step.n") >= fv.MIN_DATED_ROWS)
     return bucketed.withColumn("bucket", index).drop("step")
@@ -49,6 +57,10 @@ def anomaly_buckets(logs: DataFrame) -> DataFrame:
         F.count_if(level == "WARN").alias("warnings"),
         F.min_by("ts", "line_number").alias("ts"),
     )
+    return _bucket_sums(per_source)
+
+
+def _bucket_sums(per_source: DataFrame) -> DataFrame:
     return per_source.groupBy("bucket").agg(
         F.min_by("ts", "source").alias("start_ts"),
         *[F.sum(c).alias(c) for c in ("total", "errors", "warnings")],
@@ -88,7 +100,10 @@ def burst_services(logs: DataFrame, n: int = 3) -> DataFrame:
     """The busiest services of each bucket, first seen on ties."""
     rows = _bucketed(logs.select("epoch", "service", *ORDER))
     named = rows.where(text_or_null(F.col("service")).isNotNull()).select("bucket", "service", *ORDER)
-    counts = count_with_first(named, "bucket", "service")
+    return _busiest(count_with_first(named, "bucket", "service"), n)
+
+
+def _busiest(counts: DataFrame, n: int) -> DataFrame:
     best = W.partitionBy("bucket").orderBy(F.desc("n"), "first_ord", "service")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select(
         "bucket", "rank", "service", "n"
@@ -101,6 +116,10 @@ def burst_messages(logs: DataFrame, n: int = 3, width: int = 120) -> DataFrame:
     Spark keeps only ``n`` rows per bucket and task before the shuffle.
     """
     rows = _bucketed(logs.select("epoch", "level", "message", *ORDER)).where(is_error(F.col("level")))
+    return _first_messages(rows, n, width)
+
+
+def _first_messages(rows: DataFrame, n: int = 3, width: int = 120) -> DataFrame:
     first = W.partitionBy("bucket").orderBy(*ORDER)
     ranked = rows.select("bucket", truncate(F.col("message"), width).alias("message"), *ORDER)
     return ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).select(
@@ -118,14 +137,22 @@ def _first_match(df: DataFrame, *keys: str) -> DataFrame:
     per_source = df.groupBy(*keys, "source").agg(
         F.count("*").alias("n"), F.min_by("ts", "line_number").alias("ts"), F.min("line_number").alias("line_number")
     )
+    return _sum_matches(per_source, *keys)
+
+
+def _sum_matches(per_source: DataFrame, *keys: str) -> DataFrame:
     return per_source.groupBy(*keys).agg(F.sum("n").alias("n"), F.min_by("ts", "source").alias("first_match"))
 
 
 def http_outliers(logs: DataFrame, at_least: int = fv.HTTP_MIN_ROWS) -> DataFrame:
     """Error statuses seen often."""
     rows = logs.where(_status_of_interest()).select("status_code", "ts", *ORDER)
+    return _judged_statuses(_first_match(rows, "status_code"), at_least)
+
+
+def _judged_statuses(counts: DataFrame, at_least: int = fv.HTTP_MIN_ROWS) -> DataFrame:
     severe = F.contains(F.col("status_code").cast("string"), F.lit("50"))
-    return _first_match(rows, "status_code").where(F.col("n") >= at_least).select(
+    return counts.where(F.col("n") >= at_least).select(
         "status_code", "n", F.when(severe, "critical").otherwise("high").alias("severity"), "first_match"
     )
 
@@ -157,15 +184,57 @@ def _auth_severity() -> Column:
 def auth_bruteforce(logs: DataFrame, at_least: int = fv.AUTH_MIN_ROWS) -> DataFrame:
     """Sources of many failed logins."""
     rows = auth_failures(logs).select("auth_source", "ts", *ORDER)
-    return _first_match(rows, "auth_source").where(F.col("n") >= at_least).select(
+    return _judged_logins(_first_match(rows, "auth_source"), at_least)
+
+
+def _judged_logins(counts: DataFrame, at_least: int = fv.AUTH_MIN_ROWS) -> DataFrame:
+    return counts.where(F.col("n") >= at_least).select(
         "auth_source", "n", _auth_severity().alias("severity"), "first_match"
     )
 
 
 def rare_templates(templates: DataFrame, logs: DataFrame) -> DataFrame:
     """Templates with an error that were seen once or twice, in sets above 50 rows."""
+    return _rare(templates, logs.agg(F.count("*")).scalar())
+
+
+def _rare(templates: DataFrame, total: Column) -> DataFrame:
     rare = (F.col("error_count") > 0) & (F.col("size") <= fv.RARE_MAX_SIZE)
-    return templates.where(rare).where(F.lit(logs.agg(F.count("*")).scalar()) > fv.RARE_MIN_TOTAL)
+    return templates.where(rare).where(F.lit(total) > fv.RARE_MIN_TOTAL)
+
+
+# What one scan counts for all findings: kinds of (number, name) keys.
+_BUCKET, _SERVICE, _STATUS, _LOGIN = 1, 2, 3, 4
+
+
+def _facts(logs: DataFrame, index: Column, bucketed: bool) -> DataFrame:
+    """``kind, number, name, source`` with rows, errors, warnings and the first
+    place and time: buckets, services of buckets, statuses, failed logins.
+
+    A row has one to four keys and is counted for each before the shuffle, in
+    buffers of fixed width.
+    """
+    service = text_or_null(F.col("service"))
+    none, nothing = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    key = lambda when, kind, number, name: F.when(when, F.struct(F.lit(kind).alias("kind"), number.alias("number"), name.alias("name")))
+    dated = F.col("epoch").isNotNull() & F.lit(bucketed)
+    keys = F.array_compact(
+        F.array(
+            key(dated, _BUCKET, index, nothing),
+            key(dated & service.isNotNull(), _SERVICE, index, service),
+            key(_status_of_interest(), _STATUS, F.col("status_code").cast("bigint"), nothing),
+            key(tells_auth_failure(), _LOGIN, none, auth_origin()),
+        )
+    )
+    level = F.col("level")
+    rows = logs.select("ts", "level", *ORDER, F.inline(keys))
+    return rows.groupBy("kind", "number", "name", "source").agg(
+        F.count("*").alias("n"),
+        F.count_if(is_error(level)).alias("errors"),
+        F.count_if(level == "WARN").alias("warnings"),
+        F.min_by("ts", "line_number").alias("ts"),
+        F.min("line_number").alias("line_number"),
+    )
 
 
 def rolling_error_z(buckets: DataFrame, n: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -184,19 +253,31 @@ def all_anomalies(logs: DataFrame, templates: DataFrame | None = None) -> DataFr
     of the first row of the logs; ``first_match`` is that of the finding.
     """
     none, no_time = F.array().cast("array<string>"), F.lit(None).cast("timestamp")
-    first_row = logs.orderBy(*ORDER).limit(1).select(timestamp_text(F.col("ts"), F.col("ts_raw"))).scalar()
 
     def shape(df: DataFrame, **c: Column) -> DataFrame:
         return df.select(*[c[name].alias(name) for name in ANOMALY_COLUMNS])
 
-    services = burst_services(logs).groupBy("bucket").agg(
+    # Three scans: bounds, all counts, and the messages of the bursts found.
+    first = F.min_by(timestamp_text(F.col("ts"), F.col("ts_raw")), F.struct(*ORDER)).alias("first")
+    bounds = logs.agg(*_bounds(F.count("*").alias("total"), first)).withColumn("width", _width()).first()
+    first_row = F.lit(bounds["first"]).cast("string")
+    index = F.floor((F.col("epoch") - F.lit(bounds["lo"])) / F.lit(bounds["width"])).cast("bigint")
+    facts = stored(_facts(logs, index, bounds["n"] >= fv.MIN_DATED_ROWS), "facts")
+    of = lambda kind, *names: facts.where(F.col("kind") == kind).select(*names, "source", "n", "errors", "warnings", "ts", "line_number")
+    number = lambda name: F.col("number").alias(name)
+    bursts = settle(error_bursts(logs, _bucket_sums(of(_BUCKET, number("bucket")).withColumnRenamed("n", "total"))))
+    counts = of(_SERVICE, number("bucket"), F.col("name").alias("service")).groupBy("bucket", "service")
+    counts = counts.agg(F.sum("n").alias("n"), F.min(F.struct(*ORDER)).alias("first_ord"))
+    services = _busiest(counts.join(bursts.select("bucket"), "bucket", "left_semi"), 3).groupBy("bucket").agg(
         F.sort_array(F.collect_list(F.struct("rank", "service")))["service"].alias("services")
     )
-    messages = burst_messages(logs).groupBy("bucket").agg(
+    at = [r.bucket for r in bursts.select("bucket").collect()]  # some 36 at most
+    wanted = logs.select("epoch", "level", "message", *ORDER, index.alias("bucket")).where(F.col("bucket").isin(at) & is_error(F.col("level")))
+    messages = _first_messages(wanted).groupBy("bucket").agg(
         F.sort_array(F.collect_list(F.struct("rank", "message")))["message"].alias("messages")
     )
     # Both hold three values per bucket, some 36 rows in all.
-    bursts = error_bursts(logs).join(F.broadcast(services), "bucket", "left").join(F.broadcast(messages), "bucket", "left")
+    bursts = bursts.join(F.broadcast(services), "bucket", "left").join(F.broadcast(messages), "bucket", "left")
     errors, total = F.col("errors"), F.col("total")
     start = timestamp_text(F.col("start_ts"), F.lit(None).cast("string"))
     named = F.coalesce(F.array_join("services", ", "), F.lit("N/A"))
@@ -219,7 +300,7 @@ def all_anomalies(logs: DataFrame, templates: DataFrame | None = None) -> DataFr
     code, n = F.col("status_code"), F.col("n")
     parts.append(
         shape(
-            http_outliers(logs),
+            _judged_statuses(_sum_matches(of(_STATUS, number("status_code")), "status_code")),
             section=F.lit(2),
             id=F.concat(F.lit("http-HTTP "), code.cast("string")),
             type=F.lit("HTTP_STATUS_OUTLIER"),
@@ -236,7 +317,7 @@ def all_anomalies(logs: DataFrame, templates: DataFrame | None = None) -> DataFr
     origin = F.col("auth_source")
     parts.append(
         shape(
-            auth_bruteforce(logs),
+            _judged_logins(_sum_matches(of(_LOGIN, F.col("name").alias("auth_source")), "auth_source")),
             section=F.lit(3),
             id=F.concat(F.lit("auth-fail-"), origin),
             type=F.lit("SECURITY_AUTHENTICATION_SPIKE"),
@@ -254,7 +335,7 @@ def all_anomalies(logs: DataFrame, templates: DataFrame | None = None) -> DataFr
         size = F.col("size")
         parts.append(
             shape(
-                rare_templates(templates, logs),
+                _rare(templates, F.lit(bounds["total"])),
                 section=F.lit(4),
                 id=F.concat(F.lit("rare-cluster-"), F.col("template_id").cast("string")),
                 type=F.lit("RARE_ERROR_TEMPLATE"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom import fixed_values as fv
 from logloom.functions.normalize import is_error, truncate
-from logloom.operators.metrics import affected_services, error_rate
+from logloom.operators.metrics import affected_services, error_rate, rate_columns
 from logloom.schema import ORDER
 from logloom.sources.workspace import settle
 
@@ -38,14 +38,16 @@ def _hit(pattern: str) -> Column:
     return F.coalesce(F.col("message").rlike(f"(?i){pattern}"), F.lit(False))
 
 
-def rule_matches(logs: DataFrame, rules: list[dict] = RULES, max_errors: int | None = None) -> DataFrame:
-    """How many error messages each pattern is found in.
+def _patterns(rules: list[dict]) -> list[tuple[int, dict, int, str]]:
+    return [(i, r, j, p) for i, r in enumerate(rules) for j, p in enumerate(r["patterns"])]
 
-    One pass: every pattern is a counter of the same aggregation, so only one
-    row per task is shuffled. ``max_errors=100`` looks at the first 100 only.
-    """
-    patterns = [(i, r, j, p) for i, r in enumerate(rules) for j, p in enumerate(r["patterns"])]
-    counts = _errors(logs, max_errors).agg(*[F.count_if(_hit(p)).alias(f"c{k}") for k, (*_, p) in enumerate(patterns)])
+
+def _counters(rules: list[dict], among: Column | None = None) -> list[Column]:
+    hit = lambda p: _hit(p) if among is None else among & _hit(p)
+    return [F.count_if(hit(p)).alias(f"c{k}") for k, (*_, p) in enumerate(_patterns(rules))]
+
+
+def _as_matches(counts: DataFrame, rules: list[dict]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(i).alias("rule"),
@@ -54,14 +56,27 @@ def rule_matches(logs: DataFrame, rules: list[dict] = RULES, max_errors: int | N
             F.lit(p).alias("pattern"),
             F.col(f"c{k}").alias("n"),
         )
-        for k, (i, r, j, p) in enumerate(patterns)
+        for k, (i, r, j, p) in enumerate(_patterns(rules))
     ]
     return counts.select(F.inline(F.array(*rows))).where(F.col("n") > 0)
 
 
+def rule_matches(logs: DataFrame, rules: list[dict] = RULES, max_errors: int | None = None) -> DataFrame:
+    """How many error messages each pattern is found in.
+
+    One pass: every pattern is a counter of the same aggregation, so only one
+    row per task is shuffled. ``max_errors=100`` looks at the first 100 only.
+    """
+    return _as_matches(_errors(logs, max_errors).agg(*_counters(rules)), rules)
+
+
 def diagnosed_issues(logs: DataFrame, rules: list[dict] = RULES, max_errors: int | None = None) -> DataFrame:
     """Categories with a match, most certain first: rank, confidence, texts."""
-    found = rule_matches(logs, rules, max_errors).groupBy("rule", "category").agg(F.sum("n").alias("occurrences"))
+    return _as_issues(rule_matches(logs, rules, max_errors), rules)
+
+
+def _as_issues(matches: DataFrame, rules: list[dict]) -> DataFrame:
+    found = matches.groupBy("rule", "category").agg(F.sum("n").alias("occurrences"))
     scaled = fv.CONFIDENCE_BASE + F.col("occurrences") * fv.CONFIDENCE_STEP
     confidence = F.round(F.least(F.lit(fv.CONFIDENCE_MAX), scaled), 2)
     best = W.partitionBy().orderBy(F.desc("confidence"), F.desc("occurrences"), "rule")  # one row per rule
@@ -80,6 +95,16 @@ def diagnosed_issues(logs: DataFrame, rules: list[dict] = RULES, max_errors: int
     )
 
 
+def issues_with_snippets(logs: DataFrame, rules: list[dict] = RULES, max_errors: int | None = None, n: int = 3) -> DataFrame:
+    """Diagnosed issues, each with its first matching messages."""
+    return _with_snippets(diagnosed_issues(logs, rules, max_errors), issue_snippets(logs, rules, max_errors, n))
+
+
+def _with_snippets(issues: DataFrame, snippets: DataFrame) -> DataFrame:
+    shown = snippets.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("rank", "snippet")))["snippet"].alias("snippets"))
+    return issues.join(F.broadcast(shown), "category", "left")  # a few rows per rule
+
+
 def issue_snippets(
     logs: DataFrame, rules: list[dict] = RULES, max_errors: int | None = None, n: int = 3, width: int = 200
 ) -> DataFrame:
@@ -99,11 +124,13 @@ def issue_snippets(
 
 def executive_summary(logs: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """The state of the logs in one sentence: issue found, errors only, or clean."""
-    issues = diagnosed_issues(logs) if issues is None else issues
+    return _summary(error_rate(logs), diagnosed_issues(logs) if issues is None else issues, settle(affected_services(logs)))
+
+
+def _summary(facts: DataFrame, issues: DataFrame, services: DataFrame) -> DataFrame:
     primary = issues.where(F.col("rank") == 1).select(F.struct("title", "root_cause")).scalar()
-    services = affected_services(logs)
     named = services.orderBy("service").limit(4).agg(F.array_join(F.sort_array(F.collect_list("service")), ", "))
-    facts = error_rate(logs).withColumns(
+    facts = facts.withColumns(
         {"primary": primary, "named": named.scalar(), "n_services": services.agg(F.count("*")).scalar()}
     )
     total, errors, rate = F.col("total"), F.col("errors"), F.col("error_rate").cast("string")
@@ -136,16 +163,23 @@ def context_sample(logs: DataFrame, errors: int = 100, warnings: int = 50, rows:
 
 
 def incident_report(logs: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Report as a long table (section, rank, key, value)."""
-    anomalies, issues = settle(anomalies), settle(diagnosed_issues(logs))
-    facts = error_rate(logs).withColumn("anomalies", anomalies.agg(F.count("*")).scalar())
+    """Report as a long table (section, rank, key, value).
+
+    Three scans besides those of the anomalies: totals with all rules, the
+    services with errors, and the snippets of the issues found.
+    """
+    anomalies, failed = settle(anomalies), is_error(F.col("level"))
+    counted = settle(logs.agg(*rate_columns(), *_counters(RULES, failed)))
+    issues = settle(_with_snippets(_as_issues(_as_matches(counted, RULES), RULES), issue_snippets(logs)))
+    totals = counted.select("total", "errors", "error_rate")
+    facts = totals.withColumn("anomalies", anomalies.agg(F.count("*")).scalar())
 
     def rows(df: DataFrame, section: str, rank: Column, *pairs: tuple[Column, Column]) -> DataFrame:
         entries = F.array(*[F.struct(k.alias("key"), v.cast("string").alias("value")) for k, v in pairs])
         return df.select(F.lit(section).alias("section"), rank.cast("int").alias("rank"), F.inline(entries))
 
     head = [(F.lit(name), F.col(name)) for name in ("total", "errors", "error_rate", "anomalies")]
-    summary = executive_summary(logs, issues)
+    summary = _summary(totals, issues, settle(affected_services(logs)))
     found = [(F.lit(name), F.col(name)) for name in ("title", "confidence", "occurrences", "root_cause")]
     alerts = [(F.concat_ws(" ", "id", F.lit(name)), F.col(name)) for name in ("severity", "title", "timestamp", "description")]
     return (
@@ -159,5 +193,9 @@ def incident_report(logs: DataFrame, anomalies: DataFrame) -> DataFrame:
                 F.posexplode("remediation").alias("key", "value"),
             ).withColumn("key", F.col("key").cast("string"))
         )
+        .unionByName(
+            issues.select(F.lit("snippets").alias("section"), "rank", F.posexplode("snippets").alias("key", "value"))
+            .withColumn("key", F.col("key").cast("string"))
+        )
         .unionByName(rows(anomalies, "anomalies", F.col("section"), *alerts))
     )

@@ -24,9 +24,13 @@ def _rate(errors: Column, total: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(errors * 100.0, total), 2), F.lit(0.0))
 
 
-def error_rate(logs: DataFrame) -> DataFrame:
+def rate_columns() -> list[Column]:
     errors, total = F.count_if(is_error(F.col("level"))), F.count("*")
-    return logs.agg(total.alias("total"), errors.alias("errors"), _rate(errors, total).alias("error_rate"))
+    return [total.alias("total"), errors.alias("errors"), _rate(errors, total).alias("error_rate")]
+
+
+def error_rate(logs: DataFrame) -> DataFrame:
+    return logs.agg(*rate_columns())
 
 
 def top_services(logs: DataFrame, n: int = 10) -> DataFrame:
