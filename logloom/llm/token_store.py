@@ -65,8 +65,9 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 def token_places(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` as the files hold them.
 
-    File names sort as the ranges do. Running sums are taken per file, and the
-    sums of whole files over one small row per file.
+    A file is one range of ids, so files are ordered by their least row (their
+    names aren't: part numbers grow from five digits to six). Running sums are
+    taken per file, and the sums of whole files over one small row per file.
     """
 
     def digest(batch: pa.RecordBatch) -> dict:
@@ -76,8 +77,9 @@ def token_places(spark: SparkSession, path: str) -> DataFrame:
 
     stored = read_tokens(spark, path).select("doc_id", "tie", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
     rows = batched(stored, digest, "file string, doc_id long, tie long, n_tokens long, ids_crc32 long")
-    files = stored.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie")).alias("least")
+    files = stored.groupBy("file").agg(F.sum("n_tokens").alias("total"), least)
+    before = files.select("file", (F.sum("total").over(Window.orderBy("least")) - F.col("total")).alias("before"))
     here = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_last(), "tie", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("n_tokens").over(here)).join(before, "file")
     return placed.select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
