@@ -41,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.frames import stored
     from logloom.llm.token_counts import budgeted, prefix_counts
 
-    return budgeted(stored(prefix_counts(table(spark, sf_dir, "documents")), "prefixes"), 4096)
+    return budgeted(stored(prefix_counts(table(spark, sf_dir, "documents"), budget=4096), "prefixes"), 4096)
 
 
 @query("op9_packing")

@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,12 +131,15 @@ def prefix_bpe(model: str) -> PrefixBpe:
     return PrefixBpe(_place(model))
 
 
-def prefix_counts(docs: DataFrame, model: str = PIECE_BPE) -> DataFrame:
-    """``doc_id, text, n_bytes, counts``: the prefix table of each document."""
+def prefix_counts(docs: DataFrame, model: str = PIECE_BPE, budget: int = -1) -> DataFrame:
+    """``doc_id, text, n_bytes, counts``: the prefix table of each document.
+    Texts of at most ``budget`` tokens are left out, for nothing in them is cut."""
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = as_bytes(batch["text"])
-        return {"doc_id": batch["doc_id"], "text": batch["text"], "n_bytes": [len(t) for t in texts], "counts": segment_counter(model).prefix_counts(texts)}
+        counts = segment_counter(model).prefix_counts(texts)
+        over = pa.array([len(c) > 0 and int(c[-1]) > budget or budget < 0 for c in counts], pa.bool_())
+        return {"doc_id": batch["doc_id"], "text": pc.if_else(over, batch["text"], None), "n_bytes": [len(t) for t in texts], "counts": counts}
 
     return batched(doc_table(docs), work, "doc_id long, text string, n_bytes long, counts array<int>")
 
@@ -186,7 +190,8 @@ def truncated(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFram
 def budgeted(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, prefix_bytes`` from a
     ``prefix_counts`` table: the last entry, and the bytes of the longest prefix
-    of at most ``budget`` tokens. Only texts beyond the budget go to Python."""
+    of at most ``budget`` tokens. Only texts beyond the budget go to Python, and
+    only they need to be in the table."""
 
     def work(batch: pa.RecordBatch) -> dict:
         cut = [None if t is None else len(longest_prefix(t.decode("utf-8", "replace"), c, budget, model).encode()) for t, c in zip(batch["text"].to_pylist(), batch["counts"].to_pylist())]

@@ -63,6 +63,18 @@ def test_token_store(spark, docs, corpus, nothing, ids):
     assert token_store.token_places(spark, empty).collect() == []
 
 
+def test_places_follow_ids_where_part_numbers_gain_a_digit(spark, tmp_path):
+    """100,000 files and more: part-100000 sorts before part-99999 by name."""
+    from pyarrow import orc
+
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    for part, ids in (("99998", [1, 2]), ("99999", [3, 4]), ("100000", [5]), ("100001", [6, None])):
+        rows = [{"doc_id": d, "tie": 0, "n_tokens": 3, "ids": [7, 8, d or 0]} for d in ids]
+        orc.write_table(pa.Table.from_pylist(rows, schema), str(tmp_path / f"part-{part}-x.orc"))
+    places = sorted(token_store.token_places(spark, str(tmp_path)).collect(), key=lambda p: p.start)
+    assert [(p.doc_id, p.start) for p in places] == [(1, 0), (2, 3), (3, 6), (4, 9), (5, 12), (6, 15), (None, 18)]
+
+
 def test_store_has_bloom_filters_and_row_index(spark, docs):
     from pyarrow import orc
 
@@ -111,6 +123,9 @@ def test_longest_prefixes_of_a_stored_table(docs, corpus, nothing, pieces_model,
         cut = text if n <= budget else text[: max(k for k in range(min(len(text), 40 * budget)) if len(pieces_model.encode(text[:k])) <= budget)]
         want[(doc, len(text.encode()), n, n > budget, len(cut.encode()))] += 1
     assert collections.Counter(map(tuple, got)) == want and any(r.over_limit for r in got)
+    lean = stored(token_counts.prefix_counts(some, budget=budget), "prefixes")
+    assert collections.Counter(map(tuple, token_counts.budgeted(lean, budget).collect())) == want
+    assert lean.where("text IS NOT NULL").count() == sum(r.over_limit for r in got)
     assert token_counts.budgeted(token_counts.prefix_counts(nothing), budget).collect() == []
 
 
