@@ -10,6 +10,8 @@ is searched as well, so no key is ever missed.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 SLOTS = 4
@@ -90,19 +92,38 @@ class CuckooFilter:
         return found
 
     def delete(self, keys: np.ndarray) -> None:
-        """Take out keys that were inserted, each once."""
+        """Take out keys that were inserted, each once.
+
+        Keys with one fingerprint and one pair of buckets are alike, so the
+        first of them takes the first copy in the pair, the next the next.
+        """
         prints, first = fingerprints(keys, len(self.table))
-        stash = self.stash.tolist()
-        for p, *places in zip(prints.tolist(), first.tolist(), other(first, prints, len(self.table)).tolist()):
-            for bucket in places:
-                slot = np.flatnonzero(self.table[bucket] == p)
-                if len(slot):
-                    self.table[bucket, slot[0]] = 0
-                    break
-                if bucket << 16 | p in stash:
-                    stash.remove(bucket << 16 | p)
-                    break
-        self.stash = np.array(stash, np.int64)
+        second = other(first, prints, len(self.table))
+        low, high = np.minimum(first, second), np.maximum(first, second)
+        turn = rank_within(low << 16 | prints)
+        for bucket in (low, np.where(high > low, high, -1)):
+            there = (self.table[bucket] == prints[:, None]) & (bucket >= 0)[:, None]
+            here = np.flatnonzero((turn >= 0) & (turn < there.sum(axis=1)))
+            slot = np.argsort(~there, axis=1, kind="stable")[here, turn[here]]
+            turn = turn - there.sum(axis=1)
+            self.table[bucket[here], slot] = 0
+            turn[here] = -1
+        if len(self.stash):
+            lost = Counter((low << 16 | prints)[turn >= 0].tolist())
+            pair = dict(zip((high << 16 | prints)[turn >= 0].tolist(), (low << 16 | prints)[turn >= 0].tolist()))
+            kept = []
+            for item in self.stash.tolist():
+                name = pair.get(item, item)
+                if lost[name] > 0:
+                    lost[name] -= 1
+                else:
+                    kept.append(item)
+            self.stash = np.array(kept, np.int64)
+
+    @property
+    def room(self) -> int:
+        """Keys that fit before the filter should be built anew."""
+        return int(self.table.size * LOAD)
 
     def to_bytes(self) -> bytes:
         return self.table.tobytes()
