@@ -13,7 +13,8 @@ similarity with the concentration of sampling without replacement.
    becomes components.
 3. Only buckets that still hold several components are looked at further:
    where the sketches of different components agree in ``FLOOR`` of the bins
-   or more, their documents form a cluster. Clusters are compared on the full
+   or more, their documents form a cluster (members of a bucket's largest
+   component meet the others only, not each other). Clusters are compared on the full
    sets, two blocks of documents at a time, and what is linked joins its
    components. Both steps return a row per document and meeting of blocks,
    not a row per pair.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from logloom.llm.components import components
 from logloom.llm.cuckoo import spread
 from logloom.llm.frames import batched, doc_table, ranges, stored
-from logloom.llm.meetings import each_meeting, local_least, met_in_blocks
+from logloom.llm.meetings import each_meeting, local_least, met_in_blocks, strangers_in_blocks
 
 COORDS = 120
 ROWS = 4
@@ -185,7 +186,7 @@ def agreeing(mixed: DataFrame, reps: DataFrame, block: int = BUCKET_BLOCK) -> Da
                 v.append(local_least(nodes, *np.nonzero(mask))[seen])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)} if u else {"u": [], "v": []}, dtype="int64")
 
-    return met_in_blocks(mixed, "key", block).join(reps, "node").groupBy("meeting").applyInPandas(compare, "u long, v long").distinct()
+    return strangers_in_blocks(mixed, "key", "component", block).join(reps, "node").groupBy("meeting").applyInPandas(compare, "u long, v long").distinct()
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:

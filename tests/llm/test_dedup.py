@@ -74,6 +74,63 @@ def test_line_index_is_reversible(spark, unique_docs, unique):
     assert sorted(again.counts.collect()) == sorted(whole.counts.collect())
 
 
+def stored_bytes(spark, paths, name):
+    rows = [spark.read.format("binaryFile").load(f"{p}/{name}").agg({"length": "sum"}).first()[0] or 0 for p in paths]
+    return sum(rows)
+
+
+def test_line_index_writes_what_changed(spark):
+    """One document in a hundred more or less writes about that much."""
+    say = lambda i: "\n".join(f"line number {i * 13 + k} of the corpus" for k in range(20)) + f"\nshared line of group {i % 40}"
+    docs = spark.createDataFrame([(i, say(i)) for i in range(3000)], "doc_id long, text string")
+    most, few = docs.where("doc_id % 100 > 0"), docs.where("doc_id % 100 = 0")
+    first = ld.LineIndex.build(most)
+    both = first.insert(few)
+    back = both.delete(few.select("doc_id"))
+    for name, changed in (("refs", both.paths[1:]), ("counts", both.paths[1:]), ("counts", back.paths[2:])):
+        assert stored_bytes(spark, changed, name) < 0.1 * stored_bytes(spark, first.paths, name)
+    whole = ld.LineIndex.build(docs)
+    assert sorted(both.counts.collect()) == sorted(whole.counts.collect()) and sorted(both.drops().collect()) == sorted(whole.drops().collect())
+    assert sorted(back.counts.collect()) == sorted(first.counts.collect()) and sorted(back.drops().collect()) == sorted(first.drops().collect())
+    one = back.compacted()
+    assert len(one.paths) == 1 and sorted(one.counts.collect()) == sorted(first.counts.collect()) and sorted(one.refs.collect()) == sorted(first.refs.collect())
+
+
+def test_line_filters_grow_with_their_keys(spark):
+    """Thirty times the keys: filters are built anew, nothing is stashed."""
+    some = lambda a, b: spark.createDataFrame([(d, "\n".join(f"a line of number {k}" for k in range(i, i + 50))) for i in range(a, b, 50) for d in (2 * i, 2 * i + 1)], "doc_id long, text string")
+    index = ld.LineIndex.build(some(0, 1000), shard_keys=400)
+    small = sum(len(r.table) for r in index.filters.collect())
+    for a in (1000, 11_000, 21_000):
+        index = index.insert(some(a, a + 10_000))
+    filters = index.filters.collect()
+    assert all(not r.stash for r in filters) and sum(r.held for r in filters) == 31_000
+    assert sum(len(r.table) for r in filters) > 10 * small
+    back = index.delete(spark.range(2000, 62_000).selectExpr("id AS doc_id"))
+    assert sum(r.held for r in back.filters.collect()) == 1000
+    assert sorted(back.drops().collect()) == sorted(ld.LineIndex.build(some(0, 1000)).drops().collect())
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"shared line number {i % 7}\nown line of row {i}") for i in range(200)] + [(5, "SHARED line number 3 \nshared line number 9"), (6, "shared line number 9")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_lines int")
+    got = ld.dedup_lines(docs, counts=True)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert by_text((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == by_text(kept_lines([(*r, None) for r in rows]))
+
+
+def test_deleting_many_keys_at_once():
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 60_000)
+    made = CuckooFilter(1000)
+    made.insert(keys[:5000])  # far too many: most are in the stash
+    made.delete(keys[:4000])
+    assert made.contains(keys[4000:5000]).all() and (made.table > 0).sum() + len(made.stash) == 1000
+    made = CuckooFilter(len(keys))
+    made.insert(np.concatenate([keys, keys[:10], keys[:10]]))
+    made.delete(np.concatenate([keys[5000:], keys[:10]]))
+    assert made.contains(keys[:5000]).all() and (made.table > 0).sum() == 5010
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500, 20_000])
 def test_cuckoo_filter(n):
     keys = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n)
@@ -261,3 +318,20 @@ def test_vectors_planted_at_the_threshold(spark):
     got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
     lost = [x.vec_id for x in got if (x.n_links, x.component_id) != (1, x.vec_id - x.vec_id % 2)]
     assert len(got) == len(rows) and lost == []
+
+
+def test_members_of_the_largest_label_do_not_meet(spark):
+    from logloom.llm.meetings import each_meeting, strangers_in_blocks
+
+    r = np.random.default_rng(8)
+    rows = [(1, n, 0 if n < 400 else 1 + n % 5) for n in range(430)] + [(2, n, n % 3) for n in range(100)] + [(3, n, int(r.integers(0, 9))) for n in range(12)]
+    placed = strangers_in_blocks(spark.createDataFrame(rows, "key long, node long, component long"), "key", "component", 16).toPandas()
+    seen = collections.Counter()
+    for _, group in placed.groupby("meeting"):
+        for key, part, mask in each_meeting(group, "key"):
+            nodes, label = part["node"].to_numpy(), part["component"].to_numpy()
+            seen.update((key, *sorted((nodes[a], nodes[b]))) for a, b in zip(*np.nonzero(mask & (label[:, None] != label[None, :]))))
+            assert len(part) <= 80
+    want = {(k, a, b) for k, a, x in rows for j, b, y in rows if k == j and a < b and x != y}
+    assert set(seen) == want and set(seen.values()) == {1}
+    assert (placed["key"] == 1).sum() <= 400 * 2 + 30 * 29
