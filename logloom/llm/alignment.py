@@ -15,8 +15,8 @@ An id pair counts the documents that hold it linked.
 
 Both tokenizers treat the text between single spaces alone: A starts a token
 at a space between two other characters, B has no piece with a space after
-another letter. So a worker aligns a stretch of text between such spaces once
-and remembers it, up to a bound.
+another letter. So a batch aligns each distinct stretch of text between such spaces
+once.
 
 Rules: texts that are null or empty, or whose joined token bytes of A or B are
 not the space and the text, have no tokens: zeros and an empty digest.
@@ -26,7 +26,6 @@ empty input gives no rows. Columns other than those named are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import re
@@ -40,13 +39,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.frames import as_bytes, batched, blocks, doc_table, stored
-from logloom.llm.word_tokens import Memory, byte_letters, tokenizer_path
+from logloom.llm.word_tokens import byte_letters, tokenizer_path
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-# Stretches of text that a worker remembers and their longest, bytes of text of a batch.
-MEMORY_STRETCHES = 100_000
-MEMORY_CHARS = 64
+# Bytes of text of a batch.
 BATCH_BYTES = 4 << 20
+# Stretches that are aligned as one text, the longest of them, and their most links.
+TOGETHER = 4096
+SHORT = 64
+MOST_LINKS = 1 << 20
+NONE = np.zeros(0, np.int64)
 SPACE = "▁"
 # A space beside white space (or at an end) is not a cut.
 BESIDE = re.compile(r"\s | \s|^ | $")
@@ -76,12 +78,32 @@ def groups_of(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
+class Aligned:
+    """Distinct stretches of text aligned. Per stretch ``held`` (whether the
+    tokens' bytes are the text), ``sums`` (A tokens, B tokens, groups, links),
+    ``texts`` (its groups, with a ``;`` after each), and the ``sizes`` links
+    from ``starts`` on in ``codes``, as A << 32 | B; ``many`` has the distinct
+    links and their numbers of stretches that were aligned alone."""
+
+    def __init__(self, n: int) -> None:
+        self.held, self.sums, self.texts = np.zeros(n, bool), np.zeros((n, 4), np.int64), [""] * n
+        self.starts, self.sizes, self.codes, self.end = np.zeros(n, np.int64), np.zeros(n, np.int64), [NONE], 0
+        self.many: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def put(self, at: np.ndarray, sums: np.ndarray, texts: list[str], sizes: np.ndarray, codes: np.ndarray) -> None:
+        self.held[at], self.sums[at], self.sizes[at] = True, sums, sizes
+        self.starts[at] = self.end + np.cumsum(sizes) - sizes
+        for i, text in zip(at.tolist(), texts):
+            self.texts[i] = text
+        self.codes.append(codes)
+        self.end += len(codes)
+
+
 class Aligner:
-    """Aligns stretches of text: (A tokens, B tokens, groups, links, text of
-    the groups, distinct pairs as A << 32 | B, their number of links), or None
-    where the tokens' bytes differ from the text."""
+    """Aligns stretches of text: short ones many at once, for token ends of
+    their concatenation are those of the parts; others one by one."""
 
-    def __init__(self, byte_bpe: str, piece_bpe: str, memory: int = MEMORY_STRETCHES) -> None:
+    def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -89,54 +111,87 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(byte_bpe), sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         byte = {c: bytes([i]) for i, c in enumerate(byte_letters())}
-        self.a_bytes = {i: b"".join(map(byte.__getitem__, piece)) if set(piece) <= set(byte) else piece.encode() for piece, i in self.a.get_vocab().items()}
+        pieces = {i: b"".join(map(byte.__getitem__, piece)) if set(piece) <= set(byte) else piece.encode() for piece, i in self.a.get_vocab().items()}
+        self.a_bytes = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
-        self.known = Memory(memory, self.aligned)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, v)), np.int64) for v in (self.a_bytes, self.b_bytes))
+        # each id as it stands before a comma and at the end of its side of a group
+        self.shown = [f"{i}{mark}" for v, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(v))]
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(BYTE_PIECE.fullmatch(piece)[1], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def __call__(self, stretches: list[str]) -> list[tuple | None]:
-        """Distinct stretches aligned; only short ones are remembered."""
-        gc.disable()  # many small tuples stay; walking through them finds nothing
-        try:
-            return self.found(stretches)
-        finally:
-            gc.enable()
-
-    def found(self, stretches: list[str]) -> list[tuple | None]:
-        short = [s for s in stretches if len(s) <= MEMORY_CHARS]
-        long = [s for s in stretches if len(s) > MEMORY_CHARS]
-        found = dict(zip(short, self.known(short))) | dict(zip(long, self.aligned(long)))
-        return list(map(found.__getitem__, stretches))
-
-    def aligned(self, fresh: list[str]) -> list[tuple | None]:
-        ours = self.a.encode_batch_fast([" " + s for s in fresh], add_special_tokens=False)
-        return [self.one(s, x.ids, y) for s, x, y in zip(fresh, ours, self.b.encode(fresh, num_threads=1))]
-
-    def one(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        whole = (" " + stretch).encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not stretch or b"".join(x) != whole or b"".join(y) != whole:
-            return None
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """A and B tokens of a space and each text."""
+        ours = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [(x.ids, y) for x, y in zip(ours, self.b.encode(texts, num_threads=1))]
+
+    def same(self, text: str, a: list[int], b: list[int]) -> bool:
+        whole = (" " + text).encode()
+        return b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
+
+    def __call__(self, stretches: list[str]) -> Aligned:
+        out = Aligned(len(stretches))
+        short = np.array([0 < len(s) <= SHORT and not (s[0].isspace() or s[-1].isspace()) for s in stretches], bool)
+        alone = np.flatnonzero(~short).tolist()
+        at = np.flatnonzero(short)
+        for i in range(0, len(at), TOGETHER):
+            part = at[i : i + TOGETHER]
+            if not self.together(out, part, [stretches[k] for k in part.tolist()]):
+                alone += part.tolist()
+        for i, (a, b) in zip(alone, self.encoded([stretches[k] for k in alone])):
+            if stretches[i] and self.same(stretches[i], a, b):
+                self.one(out, i, a, b)
+        return out
+
+    def together(self, out: Aligned, at: np.ndarray, stretches: list[str]) -> bool:
+        text = " ".join(stretches)
+        ((a, b),) = self.encoded([text])
+        if not self.same(text, a, b):
+            return False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        last = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        owner = np.searchsorted(last, shared)  # stretch of each group
+        ends = np.searchsorted(shared, last)
+        if (shared[np.minimum(ends, len(shared) - 1)] != last).any():
+            return False
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        n, m = np.bincount(a_group), np.bincount(b_group)
+        links = n * m
+        if links.sum() > MOST_LINKS:
+            return False
+        # A tokens of a group, then its B tokens
+        both = np.empty(len(a) + len(b), np.int64)
+        a_last, b_last = (np.concatenate([g[1:] != g[:-1], [True]]) for g in (a_group, b_group))
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        both[np.arange(len(a)) + (np.cumsum(m) - m)[a_group]] = a + a_last * n_a
+        both[np.arange(len(b)) + np.cumsum(n)[b_group]] = 2 * n_a + b + b_last * n_b
+        pieces = list(map(self.shown.__getitem__, both.tolist()))
+        cuts = [0, *(np.cumsum(n + m)[ends]).tolist()]
+        texts = ["".join(pieces[x:y]) for x, y in zip(cuts, cuts[1:])]
+        group = np.repeat(np.arange(len(shared)), links)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
+        codes = a[(np.cumsum(n) - n)[group] + k // m[group]] << 32 | b[(np.cumsum(m) - m)[group] + k % m[group]]
+        sums = np.stack([np.bincount(owner, v, len(at)) for v in (n, m, np.ones_like(n), links)], axis=1).astype(np.int64)
+        out.put(at, sums, texts, sums[:, 3], codes)
+        return True
+
+    def one(self, out: Aligned, i: int, a: list[int], b: list[int]) -> None:
         text, pairs, n_links = [], {}, 0
-        groups = groups_of([len(v) for v in x], [len(v) for v in y])
-        for i, j, k, m in groups:
-            if j - i == m - k == 1:
-                text.append(f"{a[i]}|{b[k]}")
-                pair = a[i] << 32 | b[k]
-                pairs[pair] = pairs.get(pair, 0) + 1
-                n_links += 1
-                continue
-            text.append(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])))
-            n_links += (j - i) * (m - k)
+        groups = groups_of(self.a_sizes[a].tolist(), self.b_sizes[b].tolist())
+        for x, y, k, m in groups:
+            text.append(",".join(map(str, a[x:y])) + "|" + ",".join(map(str, b[k:m])) + ";")
+            n_links += (y - x) * (m - k)
             # within a group only distinct ids meet, with the product of their numbers
             there = Counter(b[k:m]).items()
-            for p, n in Counter(a[i:j]).items():
+            for p, n in Counter(a[x:y]).items():
                 for q, o in there:
                     pairs[p << 32 | q] = pairs.get(p << 32 | q, 0) + n * o
-        return len(a), len(b), len(groups), n_links, ";".join(text), tuple(pairs), tuple(pairs.values())
+        out.held[i], out.sums[i], out.texts[i] = True, (len(a), len(b), len(groups), n_links), "".join(text)
+        out.many[i] = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,32 +213,32 @@ class Batch:
 
     def __init__(self, texts: list[str], align: Aligner) -> None:
         cut = [stretches(t) if t else [] for t in texts]
-        number: dict[str, int] = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
+        number: dict[str, int] = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
         found = align(list(number))
-        held = np.array([f is not None for f in found], bool)
         self.measures: list[tuple[int, int, int, int, str]] = []
-        owners, parts = [], []
-        # summed per stretch first: tokens, groups and links of a text are sums over its stretches
-        sums = np.array([f[:4] if f else (0, 0, 0, 0) for f in found], np.int64).reshape(-1, 4)
+        owners, parts = [NONE], [NONE]
         for i, c in enumerate(cut):
             at = np.fromiter(map(number.__getitem__, c), np.int64, len(c))
-            if not len(at) or not held[at].all():
+            if not len(at) or not found.held[at].all():
                 self.measures.append((0, 0, 0, 0, ""))
                 continue
-            digest = hashlib.sha256(";".join([found[k][4] for k in at.tolist()]).encode()).hexdigest()
-            self.measures.append((*sums[at].sum(axis=0).tolist(), digest))
+            groups = "".join(map(found.texts.__getitem__, at.tolist()))[:-1]
+            self.measures.append((*found.sums[at].sum(axis=0).tolist(), hashlib.sha256(groups.encode()).hexdigest()))
             owners.append(np.full(len(at), i, np.int64))
             parts.append(at)
-        none = np.zeros(0, np.int64)
-        key, uses = summed(np.concatenate([none, *((o << 32) | p for o, p in zip(owners, parts))]), np.ones(sum(map(len, parts)), np.int64))
+        key, uses = summed(np.concatenate(owners) << 32 | np.concatenate(parts), np.ones(sum(map(len, parts)), np.int64))
         text, stretch = key >> 32, key & 0xFFFFFFFF
-        sizes = np.array([len(f[5]) if f else 0 for f in found], np.int64)
-        codes, times = (np.fromiter(chain.from_iterable(f[k] for f in found if f), np.int64, sizes.sum()) for k in (5, 6))
-        self.pairs, place = np.unique(codes, return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[stretch]
-        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[stretch], n)
-        links, self.times = summed((np.repeat(text, n) << 32) | place[each], times[each] * np.repeat(uses, n))
+        n = found.sizes[stretch]
+        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(found.starts[stretch], n)
+        codes, which, times = [np.concatenate(found.codes)[each]], [np.repeat(text, n)], [np.repeat(uses, n)]
+        for t, k, u in zip(text.tolist(), stretch.tolist(), uses.tolist()) if found.many else ():
+            if k in found.many:
+                pairs, o = found.many[k]
+                codes.append(pairs)
+                which.append(np.full(len(pairs), t))
+                times.append(o * u)
+        self.pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
+        links, self.times = summed(np.concatenate(which) << 32 | place, np.concatenate(times))
         self.which, self.place = links >> 32, (links & 0xFFFFFFFF).astype(np.int32)
 
 

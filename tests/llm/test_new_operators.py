@@ -96,9 +96,11 @@ def test_alignment(spark, docs, corpus, nothing):
     assert alignment.cross_aligned(nothing).collect() == []
 
 
-@pytest.mark.parametrize(("memory", "batch"), [(3, 64), (100_000, 4 << 20)])
-def test_alignment_of_odd_texts(spark, monkeypatch, memory, batch):
-    known = alignment.Aligner(*(tokenizer_path(n) for n in (alignment.BYTE_BPE, alignment.PIECE_BPE)), memory=memory)
+@pytest.mark.parametrize(("together", "most", "batch"), [(2, 5, 64), (3, 1 << 20, 1000), (4096, 1 << 20, 4 << 20)])
+def test_alignment_of_odd_texts(spark, monkeypatch, together, most, batch):
+    monkeypatch.setattr(alignment, "TOGETHER", together)
+    monkeypatch.setattr(alignment, "MOST_LINKS", most)
+    known = alignment.aligner(alignment.BYTE_BPE, alignment.PIECE_BPE)
     plain = Plain()
     for part in [ODD, *([t] for t in ODD)]:
         got = alignment.Batch(part, known)
