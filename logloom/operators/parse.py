@@ -127,7 +127,12 @@ def group_multiline(
 
     Lines before the first header of a source become INFO rows of their own.
     """
-    folded = fold_lines(lines, header_regex, lines_per_chunk)
+    return parse_folded(fold_lines(lines, header_regex, lines_per_chunk))
+
+
+def parse_folded(folded: DataFrame) -> DataFrame:
+    """Spring Boot rows from (source, line_number, line, _lines): a header and
+    the lines that follow it."""
     return _finish(_parse(folded, [fm.SPRING_FOLDED], None).withColumn("parser", F.lit(fm.SPRING.name)))
 
 

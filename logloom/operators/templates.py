@@ -115,13 +115,13 @@ def match_templates(signatures: DataFrame, templates: DataFrame) -> DataFrame:
     keyed = settle(keyed.withColumn("_row", F.monotonically_increasing_id()))
     plain = keyed.where("not _wild").drop("tokens", "_wild", "_row")
     exact = signatures.withColumn("_text", F.array_join("tokens", " ")).drop("tokens")
-    exact = exact.join(broadcast_if_small(settle(plain)), ["n_tokens", "_text"]).drop("_text")
+    exact = exact.join(broadcast_if_small(plain), ["n_tokens", "_text"]).drop("_text")
     words = keyed.where("_wild").select("_row", "n_tokens", F.posexplode("tokens").alias("_at", "_word")).where(F.col("_word") != fv.WILDCARD)
     common = words.groupBy("n_tokens", "_at", "_word").agg(F.count("*").alias("_n"))
     rarest = words.join(common, ["n_tokens", "_at", "_word"]).groupBy("_row").agg(F.min(F.struct("_n", "_at", "_word")).alias("_key"))
     filed = keyed.where("_wild").join(rarest, "_row", "left").drop("_row", "_wild", "_text").withColumnRenamed("tokens", "_tokens")
     filed = settle(filed.withColumn("_at", F.coalesce("_key._at", F.lit(-1))).withColumn("_word", F.coalesce("_key._word", F.lit(""))).drop("_key"))
-    places = settle(filed.groupBy("n_tokens").agg(F.collect_set("_at").alias("_places")))  # no more than words in a message
+    places = filed.groupBy("n_tokens").agg(F.collect_set("_at").alias("_places"))  # no more than words in a message
     asked = signatures.join(broadcast_if_small(places), "n_tokens").withColumn("_at", F.explode("_places")).drop("_places")
     asked = asked.withColumn("_word", F.coalesce(F.get("tokens", F.when(F.col("_at") >= 0, F.col("_at"))), F.lit("")))
     met = asked.join(broadcast_if_small(filed), ["n_tokens", "_at", "_word"])
@@ -136,12 +136,15 @@ def match_templates(signatures: DataFrame, templates: DataFrame) -> DataFrame:
 class MinedTemplates:
     """``versions``: every state of every template, with the place it came up.
     ``clusters``: the number of each template. ``signatures``: the distinct
-    masked messages of the last run."""
+    masked messages of the last run; ``new_versions`` and ``new_clusters``:
+    what that run added."""
 
     versions: DataFrame
     clusters: DataFrame
     signatures: DataFrame | None = None
     order: tuple[str, ...] = field(default=ORDER)
+    new_versions: DataFrame | None = None
+    new_clusters: DataFrame | None = None
 
     def numbered(self) -> DataFrame:
         return self.versions.join(self.clusters, ["n_tokens", "cluster"]).drop("cluster")
@@ -383,40 +386,41 @@ def mine_templates(
     remaining = signatures if known is None else settle(_uncovered(signatures, _latest(versions)))
     added_schema = T.StructType([*schema.fields, T.StructField("at", T.LongType()), T.StructField("catches", T.BooleanType())])
     state = None if known is None else _latest(versions)
-    while True:
-        wilds = lambda t: F.size(F.filter(t, lambda x: x == fv.WILDCARD))
+    new = None
+    wilds = lambda t: F.size(F.filter(t, lambda x: x == fv.WILDCARD))
+    while not remaining.isEmpty():
         if state is not None:
             state = settle(state.withColumn("need", _need(threshold)).withColumn("catches", wilds(F.col("tokens")) >= F.col("need")))
         catching = spark.createDataFrame([], "n_tokens int") if state is None else state.where("catches").select("n_tokens").distinct()
+        # ``ends`` and ``cuts`` have a row per word count at most.
         ends = settle(_next_batch(remaining, catching, batch_rows, batch_words, stride))
-        if ends.isEmpty():
-            break
-        batch = remaining.join(broadcast_if_small(ends), "n_tokens").where("sig_id < upto")
+        batch = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id < upto")
         batch = batch.withColumn("need", _need(threshold)).withColumn("cluster", F.col("sig_id") + base)
         parts = _grouped(state, batch, order)
         replayed = parts.groupBy("n_tokens", "part").applyInArrow(_replay(order, to_arrow_schema(added_schema)), added_schema)
         added = stored(replayed, "added")
         # What comes after the first catch-all of one part of several waits.
-        cuts = settle(added.where("catches").groupBy("n_tokens").agg(F.min("at").alias("cut")))
-        added = added.join(broadcast_if_small(cuts), "n_tokens", "left").where("cut IS NULL OR at <= cut")
-        versions = settle(versions.unionByName(added.select(*schema.fieldNames())))
-        ends = ends.join(broadcast_if_small(cuts), "n_tokens", "left")
-        ends = settle(ends.select("n_tokens", F.least("upto", F.col("cut") - base + 1).alias("done")))
-        left = remaining.join(broadcast_if_small(ends), "n_tokens").where("sig_id >= done").drop("done")
-        state = _latest(versions)
-        remaining = settle(left)
-        if remaining.isEmpty():
+        cuts = added.where("catches").groupBy("n_tokens").agg(F.min("at").alias("cut")).collect()
+        if cuts:
+            cuts = F.broadcast(spark.createDataFrame(cuts, "n_tokens int, cut long"))
+            added = added.join(cuts, "n_tokens", "left").where("cut IS NULL OR at <= cut")
+            ends = ends.join(cuts, "n_tokens", "left").withColumn("upto", F.least("upto", F.col("cut") - base + 1)).drop("cut")
+        new = added.select(*schema.fieldNames()) if new is None else settle(new.unionByName(added.select(*schema.fieldNames())))
+        versions = new if known is None else known.versions.unionByName(new)
+        left = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id >= upto").drop("upto")
+        if left.isEmpty():
             break
-        remaining = settle(_uncovered(remaining, state))
-    born = versions.where(F.col("version") == 0)
+        state = _latest(versions)
+        remaining = settle(_uncovered(left, state))
+    new = spark.createDataFrame([], schema) if new is None else new
+    born = new.where(F.col("version") == 0)
     first, clusters = 0, None
     if known is not None:
         clusters = known.clusters
         first = clusters.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("m")).first().m
-        born = born.join(clusters, ["n_tokens", "cluster"], "left_anti")
     ranked = rank_by_order(born, order, "template_id", first).select("n_tokens", "cluster", "template_id")
     clusters = ranked if clusters is None else clusters.unionByName(ranked)
-    return MinedTemplates(versions, clusters, signatures, order)
+    return MinedTemplates(versions, clusters, signatures, order, new, ranked)
 
 
 def assign_templates(logs: DataFrame, mined: MinedTemplates, same_logs: bool = False) -> DataFrame:

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from logloom import fixed_values as fv
 from logloom.functions import normalize as nz
 from logloom.operators import anomalies as an
 from logloom.operators import templates as tm
 from logloom.operators.metrics import count_levels, error_rate
-from logloom.operators.parse import group_multiline
+from logloom.operators.parse import group_multiline, parse_folded
 from logloom.schema import LOG_SCHEMA, ORDER
 from logloom.sources.text import number_lines
 from logloom.sources.workspace import settle
@@ -124,6 +125,37 @@ def _read(spark: SparkSession, folder: str | None, schema) -> DataFrame | None:
     return spark.read.schema(schema).parquet(folder) if folder else None
 
 
+# Batches after which what they added is gathered in one folder.
+GATHER = 64
+
+
+def _added(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """All rows that batches before ``before`` added below ``path``.
+
+    Every batch writes what it adds, so a batch costs what it adds. Each
+    ``GATHER`` batches the rows of all are gathered under ``all``, so a reader
+    opens that folder and at most ``GATHER`` others, whose names follow from
+    their numbers: nothing is listed. Micro-batches are numbered without gaps.
+    """
+    base = max(0, before - 1) // GATHER * GATHER
+    folders = [f"{path}/all/batch={base}"] if base else []
+    folders += [f"{path}/new/batch={b}" for b in range(base, before)]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def _add(df: DataFrame, path: str, batch_id: int) -> None:
+    """Add a batch's rows; running the batch again replaces them."""
+    if batch_id and batch_id % GATHER == 0:
+        _put(_added(df.sparkSession, path, batch_id), f"{path}/all", batch_id)
+    _put(df, f"{path}/new", batch_id)
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    """The number after that of the newest finished batch."""
+    last = _last(spark, f"{path}/new")
+    return int(last.rpartition("=")[2]) + 1 if last else 0
+
+
 def keep_rows(path: str) -> Step:
     """Keep the rows of each batch in a folder of its own."""
 
@@ -160,8 +192,8 @@ _BUCKETS = "bucket bigint, total bigint, errors bigint"
 def watch_bursts(counts: str, alerts: str, width_seconds: int = 3600) -> Step:
     """Add up errors per time bucket, then judge all buckets after each batch.
 
-    ``counts`` gets the sums of all buckets so far (rows per bucket, not
-    logs); ``alerts`` the bursts known so far.
+    ``counts`` gets the sums of each batch (rows per bucket, not logs);
+    ``alerts`` the bursts known so far.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -169,12 +201,10 @@ def watch_bursts(counts: str, alerts: str, width_seconds: int = 3600) -> Step:
         dated = batch.where(F.col("ts").isNotNull())
         bucket = F.floor(F.unix_seconds("ts") / width_seconds).alias("bucket")
         errors = F.count_if(F.col("level").isin(fv.ERROR_LEVELS)).alias("errors")
-        new = dated.groupBy(bucket).agg(F.count("*").alias("total"), errors)
-        held = _read(spark, _last(spark, counts, batch_id), _BUCKETS)
-        both = new if held is None else new.unionByName(held)
-        _put(both.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors")), counts, batch_id)
+        _add(dated.groupBy(bucket).agg(F.count("*").alias("total"), errors), counts, batch_id)
+        sums = [F.sum(c).alias(c) for c in ("total", "errors")]
         start = F.timestamp_seconds(F.col("bucket") * width_seconds).alias("start_ts")
-        buckets = spark.read.schema(_BUCKETS).parquet(f"{counts}/batch={batch_id}")
+        buckets = _added(spark, counts, batch_id + 1).groupBy("bucket").agg(*sums)
         _put(an.error_bursts(dated, buckets.select("*", start)), alerts, batch_id)
 
     return step
@@ -183,23 +213,17 @@ def watch_bursts(counts: str, alerts: str, width_seconds: int = 3600) -> Step:
 # --- live templates -------------------------------------------------------------------
 
 STREAM_ORDER = ("batch_id", *ORDER)
-_CLUSTERS = "n_tokens int, cluster bigint, template_id bigint"
 
 
-def _known(spark: SparkSession, path: str, batch_id: int) -> tm.MinedTemplates | None:
-    versions = _last(spark, f"{path}/versions", batch_id)
-    if versions is None:
-        return None
-    # The format of the stored tables is the one of the miner.
-    table = spark.read.parquet(versions)
-    clusters = _read(spark, _last(spark, f"{path}/clusters", batch_id), _CLUSTERS)
-    return tm.MinedTemplates(table, clusters, order=STREAM_ORDER)
+def _known(spark: SparkSession, path: str, before: int) -> tm.MinedTemplates | None:
+    versions, clusters = (_added(spark, f"{path}/{name}", before) for name in ("versions", "clusters"))
+    return None if versions is None else tm.MinedTemplates(versions.drop("batch"), clusters.drop("batch"), order=STREAM_ORDER)
 
 
 def keep_templates(path: str, threshold: float = 0.5) -> Step:
     """Give arriving rows template numbers, as one run over all rows would.
 
-    Below ``path``: the newest folder of versions and clusters holds all
+    Below ``path``: versions and clusters hold what each batch added to the
     templates, rows the numbered logs of each batch.
     """
 
@@ -209,14 +233,14 @@ def keep_templates(path: str, threshold: float = 0.5) -> Step:
         known = _known(spark, path, batch_id)
         mined = tm.mine_templates(batch, threshold, known, STREAM_ORDER)
         _put(tm.assign_templates(batch, mined, same_logs=True), f"{path}/rows", batch_id)
-        _put(mined.clusters, f"{path}/clusters", batch_id)
-        _put(mined.versions, f"{path}/versions", batch_id)
+        _add(mined.new_clusters, f"{path}/clusters", batch_id)
+        _add(mined.new_versions, f"{path}/versions", batch_id)
 
     return step
 
 
 def stored_templates(spark: SparkSession, path: str) -> tm.MinedTemplates:
-    return _known(spark, path, 2**62)
+    return _known(spark, path, _next(spark, f"{path}/versions"))
 
 
 # --- live multi-line rows ---------------------------------------------------------------
@@ -271,3 +295,77 @@ def flush_multiline(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def multiline_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(*[f"{path}/rows/batch={b}" for b in _folders(spark, f"{path}/rows")])
+
+
+_ENTRY = "source string, line_number bigint, line string, _lines array<string>"
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _OpenEntries(StatefulProcessor):
+    """Per source the lines of its last entry, in the state store, until a
+    header follows or no line has come for ``idle_ms``."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "line_number bigint, line string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh = pd.concat(list(rows)).sort_values("line_number")
+        entry = [(n, text) for n, text in self.open.get()] if self.open.exists() else []
+        closed = []
+        for number, line, is_header in zip(fresh["line_number"].tolist(), fresh["line"].tolist(), fresh["is_header"].tolist()):
+            if is_header or not entry:
+                closed.append(entry)
+                entry = [(number, line)]
+            else:
+                entry.append((number, line))
+            if not is_header and len(entry) == 1:  # no header yet: a row of its own
+                closed.append(entry)
+                entry = []
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if entry:
+            self.open.put(entry)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        else:
+            self.open.clear()
+        yield self._entries(key[0], closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        entry = [(n, text) for n, text in self.open.get()] if self.open.exists() else []
+        self.open.clear()
+        yield self._entries(key[0], [entry])
+
+    def _entries(self, source: str, entries: list) -> pd.DataFrame:
+        rows = [(source, e[0][0], e[0][1], [text for _, text in e[1:]]) for e in entries if e]
+        return pd.DataFrame(rows, columns=["source", "line_number", "line", "_lines"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_multiline(lines: DataFrame, header_regex: str = fv.SPRING_HEADER_PATTERN, idle_seconds: float = 300) -> DataFrame:
+    """Fold stack traces of a stream of (source, line_number, line), as a
+    stream of Spring Boot rows.
+
+    The last entry of each source is kept in the state store, so a batch costs
+    what it brings, and is given out when a header of its source follows or no
+    line of it has come for ``idle_seconds``. Lines of a source come in order,
+    over batches too; those that follow an entry given out for idleness are
+    rows of their own. Sources are spread over tasks; one source is one task,
+    so give a busy one a source per file.
+
+    Sets the session's state store to RocksDB, which such state needs, unless
+    the session has chosen one.
+    """
+    spark = lines.sparkSession
+    if spark.conf.get(_STATE_STORE).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(_STATE_STORE, _ROCKSDB)
+    body = nz.strip(F.col("line"))
+    rows = lines.where(body != "").select(*ORDER, "line", body.rlike(header_regex).alias("is_header"))
+    folded = rows.groupBy("source").transformWithStateInPandas(_OpenEntries(int(idle_seconds * 1000)), _ENTRY, "Append", "ProcessingTime")
+    return parse_folded(folded)

@@ -1,5 +1,7 @@
 """Streams give what the batch jobs give on the same files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,36 @@ def test_stream_multiline_equals_batch(spark):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
 
 
+@pytest.mark.parametrize("idle", [300, 0.001])
+def test_multiline_in_the_state_store(spark, idle):
+    text, rows = ["early", "too early"], []
+    for i in range(24):
+        text += [SPRING.format(i, i), *[f"\tat f{j}" for j in range(i % 4)], " "][: 2 + i % 5]
+    rows += [("s", i, t) for i, t in enumerate(text, 1)]
+    lines = spark.createDataFrame([*rows, ("a", 1, SPRING.format(1, 1)), ("a", 2, "\tat x"), ("n", 5, "no header")], "source string, line_number long, line string")
+    path, out = new_dir(spark, "lines"), new_dir(spark, "ml")
+    cuts = (1, 200) if idle < 1 else (1, 20, 22, 23, 200)
+    for lo, hi in zip(cuts, cuts[1:]):
+        lines.where((F.col("line_number") >= lo) & (F.col("line_number") < hi)).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([("late", 1, SPRING.format(9, 9))], lines.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = live.stream_multiline(stream, idle_seconds=idle).writeStream.foreachBatch(live.keep_rows(out))
+    # Timers keep such a query going, so it is stopped here once its folders are there.
+    q = q.option("checkpointLocation", new_dir(spark, "cp")).trigger(processingTime="1 second").start()
+    want_batches, end = len(cuts) + 3, time.time() + 90
+    while time.time() < end and q.exception() is None and len(live._folders(spark, out)) < want_batches:
+        time.sleep(0.5)
+    q.stop()
+    assert q.exception() is None
+    key = ["source", "line_number", "level", "message", "raw", "id"]
+    got = sorted(map(tuple, spark.read.parquet(out).where("source <> 'late'").select(key).collect()))
+    want = P.group_multiline(lines)
+    held = {"s": max(i for i, t in enumerate(text, 1) if "ERROR" in t), "a": 1}
+    if idle > 1:  # the last entry of each source is open yet
+        want = want.where(" AND ".join(f"NOT (source = '{s}' AND line_number = {n})" for s, n in held.items()))
+    assert got == sorted(map(tuple, want.select(key).collect())) and len(got) > 20
+
+
 SPRING = "2026-10-02 00:30:{:02d}.000 ERROR 1 --- [x] a.B : m{}"
 
 
@@ -96,18 +128,23 @@ def test_stream_ids_are_those_of_the_batch_job(spark):
     assert P.parse_json(lines.withColumn("line_number", F.lit(None).cast("bigint"))).select("id").distinct().collect()[0].id is None
 
 
-def test_a_batch_reads_one_folder_of_what_is_known(spark, monkeypatch):
+def test_a_batch_writes_what_it_adds(spark, monkeypatch):
     text = [f'{{"ts":"2024-01-01T{i:02d}:00:00Z","level":"error","msg":"m {i}"}}' for i in range(20)]
     stream, _ = line_stream(spark, {f"f{k}": text[5 * k : 5 * k + 5] for k in range(4)})
     counts, alerts = new_dir(spark, "counts"), new_dir(spark, "alerts")
-    read, seen = live._read, []
-    monkeypatch.setattr(live, "_read", lambda spark, folder, schema: (seen.append(folder), read(spark, folder, schema))[1])
+    monkeypatch.setattr(live, "GATHER", 2)
     play(live.stream_parse(stream, P.parse_json), live.watch_bursts(counts, alerts), "cp")
-    assert seen == [None, *[f"{counts}/batch={b}" for b in range(3)]]
-    assert live.last_folder(spark, counts).agg(F.sum("total")).first()[0] == 20
+    assert [spark.read.parquet(f"{counts}/new/batch={b}").count() for b in range(4)] == [5] * 4
+    assert live._added(spark, counts, 4).agg(F.sum("total")).first()[0] == 20
+    assert spark.read.parquet(f"{counts}/all/batch=2").count() == 10
+    # a batch that runs again replaces what it added
+    live._add(spark.range(7).selectExpr("id AS bucket", "id AS total", "id AS errors"), counts, 3)
+    assert live._added(spark, counts, 4).count() == 22 and live._next(spark, counts) == 4
 
 
-def test_stream_templates_equal_one_run(spark):
+@pytest.mark.parametrize("gather", [64, 2])
+def test_stream_templates_equal_one_run(spark, monkeypatch, gather):
+    monkeypatch.setattr(live, "GATHER", gather)
     data = random_rows(11, 240, 4, 5)
     ids, texts, _ = greedy(data)
     rows = [("z" if i < 100 else "a", i, " ".join(t), "INFO") for i, t in enumerate(data)]  # later files sort first
@@ -120,6 +157,13 @@ def test_stream_templates_equal_one_run(spark):
     got = {r.line_number: r.template_id for r in spark.read.parquet(f"{out}/rows").collect()}
     assert got == dict(enumerate(ids))
     assert {r.template_id: r.template for r in live.stored_templates(spark, out).latest().collect()} == dict(enumerate(texts, 1))
+    # each batch wrote its own versions only, and the last one again writes the same
+    added = [spark.read.parquet(f"{out}/versions/new/batch={b}") for b in range(3)]
+    assert all({r.batch_id for r in df.select("batch_id").collect()} <= {b} for b, df in enumerate(added))
+    before = sorted(map(str, added[2].collect()))
+    live.keep_templates(out)(df.where("line_number >= 150"), 2)
+    assert sorted(map(str, spark.read.parquet(f"{out}/versions/new/batch=2").collect())) == before
+    assert {r.template_id: r.template for r in live.stored_templates(spark, out).latest().collect()} == dict(enumerate(texts, 1))
 
 
 def test_stream_bursts(spark):
