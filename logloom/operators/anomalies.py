@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logloom import fixed_values as fv
 from logloom.functions.normalize import is_error, text_or_null, timestamp_text, truncate
 from logloom.schema import ORDER, count_with_first
-from logloom.sources.workspace import settle, stored
+from logloom.sources.workspace import settle
 
 ANOMALY_COLUMNS = [
     "section",
@@ -262,7 +262,7 @@ def all_anomalies(logs: DataFrame, templates: DataFrame | None = None) -> DataFr
     bounds = logs.agg(*_bounds(F.count("*").alias("total"), first)).withColumn("width", _width()).first()
     first_row = F.lit(bounds["first"]).cast("string")
     index = F.floor((F.col("epoch") - F.lit(bounds["lo"])) / F.lit(bounds["width"])).cast("bigint")
-    facts = stored(_facts(logs, index, bounds["n"] >= fv.MIN_DATED_ROWS), "facts")
+    facts = settle(_facts(logs, index, bounds["n"] >= fv.MIN_DATED_ROWS))
     of = lambda kind, *names: facts.where(F.col("kind") == kind).select(*names, "source", "n", "errors", "warnings", "ts", "line_number")
     number = lambda name: F.col("number").alias(name)
     bursts = settle(error_bursts(logs, _bucket_sums(of(_BUCKET, number("bucket")).withColumnRenamed("n", "total"))))

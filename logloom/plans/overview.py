@@ -49,8 +49,8 @@ def overview(logs: DataFrame, templates: DataFrame, limit: int = 50, offset: int
     findings of the whole table.
 
     Give it a dataset and the templates stored with it: every part is a query
-    of its own over them. Only the findings leave something behind, a small
-    table of counts in the scratch folder.
+    of its own over them. Nothing is stored; the findings checkpoint a small
+    table of counts.
     """
     matched = fl.filter_logs(logs, **filters)
     return {

@@ -194,6 +194,26 @@ def test_rare_templates_need_more_than_fifty_rows(logs_of):
             assert found[0].title == "Rare Error Signature (Seen only 1 time)" and found[0].metric_value == 1
 
 
+def test_findings_take_three_scans_and_the_report_three_more(spark, logs_of):
+    data = [(60.0 * i, "INFO", "a", "ok") for i in range(100)] + [(3000.0 + i, "ERROR", "b", "Connection refused by db", 503) for i in range(20)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = logs_of(data)
+    logs = plain.mapInArrow(counted, plain.schema)
+    found = an.all_anomalies(logs)
+    assert {r.section for r in found.collect()} == {1, 2} and seen.value == 3 * len(data)
+    report = dg.incident_report(logs, found)
+    sections = {r.section for r in report.collect()}
+    assert {"overview", "summary", "issues", "snippets", "remediation", "anomalies"} == sections and seen.value <= 7 * len(data)
+    shown = dg.issues_with_snippets(plain).where("rank = 1").first()
+    assert shown.snippets == ["Connection refused by db"] * 3
+
+
 # --- diagnosis --------------------------------------------------------------------
 
 
