@@ -311,10 +311,14 @@ def _uncovered(signatures: DataFrame, latest: DataFrame) -> DataFrame:
     return signatures.join(covered.select("sig_id").distinct(), "sig_id", "left_anti")
 
 
-def _latest(versions: DataFrame) -> DataFrame:
-    return versions.groupBy("n_tokens", "cluster").agg(
+def _state(versions: DataFrame, messages: DataFrame, threshold: float) -> DataFrame:
+    """The present templates of the word counts that ``messages`` have, settled."""
+    widths = F.broadcast(messages.select("n_tokens").distinct())  # a row per word count
+    latest = versions.join(widths, "n_tokens", "left_semi").groupBy("n_tokens", "cluster").agg(
         F.max_by("tokens", "version").alias("tokens"), F.max("version").alias("version")
     )
+    wilds = F.size(F.filter("tokens", lambda x: x == fv.WILDCARD))
+    return settle(latest.withColumn("need", _need(threshold)).withColumn("catches", wilds >= F.col("need")))
 
 
 def _distinct_signatures(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -383,14 +387,11 @@ def mine_templates(
     versions = spark.createDataFrame([], schema) if known is None else known.versions
     # Numbers of founding messages go on after those of earlier runs.
     base = 0 if known is None else versions.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("m")).first().m
-    remaining = signatures if known is None else settle(_uncovered(signatures, _latest(versions)))
+    state = None if known is None else _state(versions, signatures, threshold)
+    remaining = signatures if known is None else settle(_uncovered(signatures, state))
     added_schema = T.StructType([*schema.fields, T.StructField("at", T.LongType()), T.StructField("catches", T.BooleanType())])
-    state = None if known is None else _latest(versions)
     new = None
-    wilds = lambda t: F.size(F.filter(t, lambda x: x == fv.WILDCARD))
     while not remaining.isEmpty():
-        if state is not None:
-            state = settle(state.withColumn("need", _need(threshold)).withColumn("catches", wilds(F.col("tokens")) >= F.col("need")))
         catching = spark.createDataFrame([], "n_tokens int") if state is None else state.where("catches").select("n_tokens").distinct()
         # ``ends`` and ``cuts`` have a row per word count at most.
         ends = settle(_next_batch(remaining, catching, batch_rows, batch_words, stride))
@@ -410,7 +411,8 @@ def mine_templates(
         left = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id >= upto").drop("upto")
         if left.isEmpty():
             break
-        state = _latest(versions)
+        # Word counts of which nothing is left need no look-up any more.
+        state = _state(versions, left, threshold)
         remaining = settle(_uncovered(left, state))
     new = spark.createDataFrame([], schema) if new is None else new
     born = new.where(F.col("version") == 0)
