@@ -42,7 +42,7 @@ from logloom.functions import templates as tf
 from logloom.functions.capture import evaluate_once
 from logloom.functions.normalize import is_error, text_or_null, timestamp_text
 from logloom.schema import ORDER
-from logloom.sources.workspace import broadcast_if_small, settle, stored
+from logloom.sources.workspace import broadcast_if_small, drop_dir, settle, store, stored, temporary
 
 # Most messages and words of one word count that a batch takes, and most
 # messages where a catch-all keeps them in one group.
@@ -87,7 +87,7 @@ def signature_counts(logs: DataFrame) -> DataFrame:
 def rank_by_order(df: DataFrame, order: tuple[str, ...], name: str, base: int = 0) -> DataFrame:
     """Number rows ``base + 1, ..`` in order, by range partitions instead of one task."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = settle(placed.withColumn("_id", F.monotonically_increasing_id()))
+    placed = stored(placed.withColumn("_id", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_id", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -111,16 +111,17 @@ def match_templates(signatures: DataFrame, templates: DataFrame) -> DataFrame:
     under, and meets only templates that share a word with it. Templates of
     wildcards alone are filed under their length.
     """
-    keyed = templates.withColumn("_text", F.array_join("tokens", " ")).withColumn("_wild", F.array_contains("tokens", fv.WILDCARD))
-    keyed = settle(keyed.withColumn("_row", F.monotonically_increasing_id()))
-    plain = keyed.where("not _wild").drop("tokens", "_wild", "_row")
+    keyed = templates.withColumn("_wild", F.array_contains("tokens", fv.WILDCARD))
+    keyed = stored(keyed.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    plain = keyed.where("not _wild").withColumn("_text", F.array_join("tokens", " ")).drop("tokens", "_wild", "_row")
     exact = signatures.withColumn("_text", F.array_join("tokens", " ")).drop("tokens")
     exact = exact.join(broadcast_if_small(plain), ["n_tokens", "_text"]).drop("_text")
     words = keyed.where("_wild").select("_row", "n_tokens", F.posexplode("tokens").alias("_at", "_word")).where(F.col("_word") != fv.WILDCARD)
     common = words.groupBy("n_tokens", "_at", "_word").agg(F.count("*").alias("_n"))
     rarest = words.join(common, ["n_tokens", "_at", "_word"]).groupBy("_row").agg(F.min(F.struct("_n", "_at", "_word")).alias("_key"))
-    filed = keyed.where("_wild").join(rarest, "_row", "left").drop("_row", "_wild", "_text").withColumnRenamed("tokens", "_tokens")
-    filed = settle(filed.withColumn("_at", F.coalesce("_key._at", F.lit(-1))).withColumn("_word", F.coalesce("_key._word", F.lit(""))).drop("_key"))
+    filed = keyed.where("_wild").join(rarest, "_row", "left").drop("_row", "_wild").withColumnRenamed("tokens", "_tokens")
+    filed = filed.withColumn("_at", F.coalesce("_key._at", F.lit(-1))).withColumn("_word", F.coalesce("_key._word", F.lit(""))).drop("_key")
+    filed = stored(filed, "filed")
     places = filed.groupBy("n_tokens").agg(F.collect_set("_at").alias("_places"))  # no more than words in a message
     asked = signatures.join(broadcast_if_small(places), "n_tokens").withColumn("_at", F.explode("_places")).drop("_places")
     asked = asked.withColumn("_word", F.coalesce(F.get("tokens", F.when(F.col("_at") >= 0, F.col("_at"))), F.lit("")))
@@ -312,13 +313,13 @@ def _uncovered(signatures: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def _state(versions: DataFrame, messages: DataFrame, threshold: float) -> DataFrame:
-    """The present templates of the word counts that ``messages`` have, settled."""
+    """The present templates of the word counts that ``messages`` have."""
     widths = F.broadcast(messages.select("n_tokens").distinct())  # a row per word count
     latest = versions.join(widths, "n_tokens", "left_semi").groupBy("n_tokens", "cluster").agg(
         F.max_by("tokens", "version").alias("tokens"), F.max("version").alias("version")
     )
     wilds = F.size(F.filter("tokens", lambda x: x == fv.WILDCARD))
-    return settle(latest.withColumn("need", _need(threshold)).withColumn("catches", wilds >= F.col("need")))
+    return latest.withColumn("need", _need(threshold)).withColumn("catches", wilds >= F.col("need"))
 
 
 def _distinct_signatures(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -327,8 +328,10 @@ def _distinct_signatures(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
     *outer, inner = order
     per_file = rows.groupBy("signature", *outer).agg(F.min(inner).alias(inner))
     first = per_file.groupBy("signature").agg(F.min(F.struct(*order)).alias("o")).select("signature", "o.*")
-    first = stored(first.withColumn("n_tokens", tf.n_tokens(F.col("signature")).cast("int")), "first_seen")
-    ranked = rank_by_order(first, ("n_tokens", *order), "sig_id")
+    first = first.withColumn("n_tokens", tf.n_tokens(F.col("signature")).cast("int"))
+    unranked = store(first, "first_seen")
+    ranked = rank_by_order(rows.sparkSession.read.schema(first.schema).parquet(unranked), ("n_tokens", *order), "sig_id")
+    drop_dir(rows.sparkSession, unranked)
     return ranked.select("sig_id", "n_tokens", tf.tokens_of(F.col("signature")).alias("tokens"), *order)
 
 
@@ -387,40 +390,71 @@ def mine_templates(
     versions = spark.createDataFrame([], schema) if known is None else known.versions
     # Numbers of founding messages go on after those of earlier runs.
     base = 0 if known is None else versions.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("m")).first().m
-    state = None if known is None else _state(versions, signatures, threshold)
-    remaining = signatures if known is None else settle(_uncovered(signatures, state))
+    # Paths of the tables that rounds hand on; all else that a round stores is
+    # deleted at its end, so scratch space does not grow with the rounds.
+    left_at, state_at, added_at = None, None, []
+
+    def read(path: str, like: DataFrame) -> DataFrame:
+        return spark.read.schema(like.schema).parquet(path)
+
+    state, remaining = None, signatures
+    if known is not None:
+        with temporary(spark) as keep:
+            state = _state(versions, signatures, threshold)
+            state_at = keep(store(state, "state"))
+            state = read(state_at, state)
+            remaining = _uncovered(signatures, state)
+            left_at = keep(store(remaining, "left"))
+            remaining = read(left_at, remaining)
     added_schema = T.StructType([*schema.fields, T.StructField("at", T.LongType()), T.StructField("catches", T.BooleanType())])
     new = None
     while not remaining.isEmpty():
-        catching = spark.createDataFrame([], "n_tokens int") if state is None else state.where("catches").select("n_tokens").distinct()
-        # ``ends`` and ``cuts`` have a row per word count at most.
-        ends = settle(_next_batch(remaining, catching, batch_rows, batch_words, stride))
-        batch = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id < upto")
-        batch = batch.withColumn("need", _need(threshold)).withColumn("cluster", F.col("sig_id") + base)
-        parts = _grouped(state, batch, order)
-        replayed = parts.groupBy("n_tokens", "part").applyInArrow(_replay(order, to_arrow_schema(added_schema)), added_schema)
-        added = stored(replayed, "added")
-        # What comes after the first catch-all of one part of several waits.
-        cuts = added.where("catches").groupBy("n_tokens").agg(F.min("at").alias("cut")).collect()
-        if cuts:
-            cuts = F.broadcast(spark.createDataFrame(cuts, "n_tokens int, cut long"))
-            added = added.join(cuts, "n_tokens", "left").where("cut IS NULL OR at <= cut")
-            ends = ends.join(cuts, "n_tokens", "left").withColumn("upto", F.least("upto", F.col("cut") - base + 1)).drop("cut")
-        new = added.select(*schema.fieldNames()) if new is None else settle(new.unionByName(added.select(*schema.fieldNames())))
-        versions = new if known is None else known.versions.unionByName(new)
-        left = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id >= upto").drop("upto")
-        if left.isEmpty():
+        with temporary(spark) as keep:
+            catching = spark.createDataFrame([], "n_tokens int") if state is None else state.where("catches").select("n_tokens").distinct()
+            # ``ends`` and ``cuts`` have a row per word count at most.
+            ends = settle(_next_batch(remaining, catching, batch_rows, batch_words, stride))
+            batch = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id < upto")
+            batch = batch.withColumn("need", _need(threshold)).withColumn("cluster", F.col("sig_id") + base)
+            parts = _grouped(state, batch, order)
+            replayed = parts.groupBy("n_tokens", "part").applyInArrow(_replay(order, to_arrow_schema(added_schema)), added_schema)
+            round_at = store(replayed, "added")
+            added = read(round_at, replayed)
+            # What comes after the first catch-all of one part of several waits.
+            cuts = added.where("catches").groupBy("n_tokens").agg(F.min("at").alias("cut")).collect()
+            if cuts:
+                cuts = F.broadcast(spark.createDataFrame(cuts, "n_tokens int, cut long"))
+                added = added.join(cuts, "n_tokens", "left").where("cut IS NULL OR at <= cut")
+                round_at = store(added.select(*added_schema.fieldNames()), "added")
+                ends = ends.join(cuts, "n_tokens", "left").withColumn("upto", F.least("upto", F.col("cut") - base + 1)).drop("cut")
+            added_at.append(keep(round_at))
+            new = spark.read.schema(added_schema).parquet(*added_at).select(*schema.fieldNames())
+            versions = new if known is None else known.versions.unionByName(new)
+            left = remaining.join(F.broadcast(ends), "n_tokens").where("sig_id >= upto").drop("upto")
+            done, used = left.isEmpty(), [path for path in (left_at, state_at) if path]
+            if not done:
+                # Word counts of which nothing is left need no look-up any more.
+                state = _state(versions, left, threshold)
+                state_at = keep(store(state, "state"))
+                state = read(state_at, state)
+                remaining = _uncovered(left, state)
+                left_at = keep(store(remaining, "left"))
+                remaining = read(left_at, remaining)
+        for path in used:
+            drop_dir(spark, path)
+        if done:
             break
-        # Word counts of which nothing is left need no look-up any more.
-        state = _state(versions, left, threshold)
-        remaining = settle(_uncovered(left, state))
+    else:
+        for path in (left_at, state_at):
+            if path:
+                drop_dir(spark, path)
     new = spark.createDataFrame([], schema) if new is None else new
     born = new.where(F.col("version") == 0)
     first, clusters = 0, None
     if known is not None:
         clusters = known.clusters
         first = clusters.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("m")).first().m
-    ranked = rank_by_order(born, order, "template_id", first).select("n_tokens", "cluster", "template_id")
+    # Without the words: the order needs none of them.
+    ranked = rank_by_order(born.select("n_tokens", "cluster", *order), order, "template_id", first).select("n_tokens", "cluster", "template_id")
     clusters = ranked if clusters is None else clusters.unionByName(ranked)
     return MinedTemplates(versions, clusters, signatures, order, new, ranked)
 
@@ -433,21 +467,23 @@ def assign_templates(logs: DataFrame, mined: MinedTemplates, same_logs: bool = F
     """
     order = mined.order
     rows = with_signature(logs)
-    if same_logs:
-        signatures = mined.signatures
-    else:
-        signatures = _distinct_signatures(rows.select("signature", *order), order)
-    numbered = mined.numbered().select("n_tokens", "tokens", "template_id", F.struct(*order).alias("since"))
-    pairs = match_templates(signatures.select("sig_id", "n_tokens", "tokens"), numbered)
-    per_template = pairs.groupBy("sig_id", "template_id").agg(F.min("since").alias("since"))
-    # Of a later and a higher template, neither can ever be the earliest.
-    sooner = W.partitionBy("sig_id").orderBy("since", "template_id").rowsBetween(W.unboundedPreceding, -1)
-    lower = F.min("template_id").over(sooner)
-    steps = per_template.withColumn("lower", lower).where("lower is null or template_id < lower")
-    steps = steps.groupBy("sig_id").agg(F.sort_array(F.collect_list(F.struct("since", "template_id"))).alias("steps"))
-    table = stored(
-        signatures.join(steps, "sig_id").select(F.array_join("tokens", " ").alias("signature"), "steps"), "assignments"
-    )
+    spark = logs.sparkSession
+    with temporary(spark) as keep:
+        if same_logs:
+            signatures = mined.signatures
+        else:
+            signatures = _distinct_signatures(rows.select("signature", *order), order)
+        numbered = mined.numbered().select("n_tokens", "tokens", "template_id", F.struct(*order).alias("since"))
+        pairs = match_templates(signatures.select("sig_id", "n_tokens", "tokens"), numbered)
+        per_template = pairs.groupBy("sig_id", "template_id").agg(F.min("since").alias("since"))
+        # Of a later and a higher template, neither can ever be the earliest.
+        sooner = W.partitionBy("sig_id").orderBy("since", "template_id").rowsBetween(W.unboundedPreceding, -1)
+        lower = F.min("template_id").over(sooner)
+        steps = per_template.withColumn("lower", lower).where("lower is null or template_id < lower")
+        steps = steps.groupBy("sig_id").agg(F.sort_array(F.collect_list(F.struct("since", "template_id"))).alias("steps"))
+        table = signatures.join(steps, "sig_id").select(F.array_join("tokens", " ").alias("signature"), "steps")
+        table_at = keep(store(table, "assignments"))
+    table = spark.read.schema(table.schema).parquet(table_at)
     reached = F.filter("steps", lambda s: s["since"] <= F.struct(*order))
     chosen = F.when(F.size("steps") == 1, F.get(F.col("steps"), F.lit(0))).otherwise(F.element_at(reached, -1))
     joined = rows.join(broadcast_if_small(table), "signature")

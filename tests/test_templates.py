@@ -1,5 +1,6 @@
 """Template mining against a plain loop over all rows."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import templates as tf
 from logloom.operators import templates as tm
+from logloom.sources.workspace import shared_dir
 
 WILD = "<*>"
 
@@ -152,3 +154,16 @@ def test_mining_of_the_events_table(spark):
     assert {row.template_id: row.template for row in mined.latest().collect()} == dict(enumerate(texts, 1))
     got = {row.line_number: row.template_id for row in tm.assign_templates(logs, mined).collect()}
     assert got == {row.line_number: i for row, i in zip(rows, ids)}
+
+
+@pytest.mark.parametrize("batch_rows", [10_000, 8])
+def test_rounds_leave_nothing_but_their_templates(spark, batch_rows):
+    rows = [("s", i, f"{chr(97 + i % 20)}q {chr(97 + i // 20)}w x{i:b}y") for i in range(120)]
+    logs = spark.createDataFrame(rows, "source string, line_number long, message string")
+    before = set(os.listdir(shared_dir(spark)))
+    mined = tm.mine_templates(logs, batch_rows=batch_rows, stride=1)
+    mined = tm.assign_templates(logs, mined, same_logs=True)
+    left = set(os.listdir(shared_dir(spark))) - before
+    names = [name for folder in left if folder.startswith("logloom-") for name in os.listdir(f"{shared_dir(spark)}/{folder}")]
+    assert mined.count() == len(rows)
+    assert set(names) == {"placed", "added", "assignments"} and names.count("placed") == 2
