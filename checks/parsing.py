@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from checks import render as r
 from checks.registry import query
 from logloom.functions import normalize as nz
+from logloom.functions.capture import evaluate_once
 from logloom.operators import parse as P
 from logloom.schema import LOG_SCHEMA
 from logloom.sources import datasets as ds
@@ -51,20 +52,19 @@ def _(spark, sf):
  CASE WHEN event_id % 8 = 7 THEN 'at ' || CAST(event_id AS VARCHAR) END AS ts_raw FROM logs""",
 )
 def _(spark, sf):
-    text = F.element_at(
-        F.array(
-            r.iso_text(),
-            F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("]")),
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"),
-            F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss' +0200'"),
-            F.concat(F.lit(" "), F.date_format("ts", "MMM d HH:mm:ss")),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:30'"),
-            F.concat(F.lit("at "), F.col("event_id").cast("string")),
-        ),
-        (F.col("event_id") % 8 + 1).cast("int"),
-    )
-    parsed = r.events(spark, sf).select("line_number", nz.parse_timestamp(text, 2024).alias("t"))
+    forms = [
+        r.iso_text(),
+        F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("]")),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"),
+        F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss' +0200'"),
+        F.concat(F.lit(" "), F.date_format("ts", "MMM d HH:mm:ss")),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:30'"),
+        F.concat(F.lit("at "), F.col("event_id").cast("string")),
+    ]
+    text = F.coalesce(*[F.when(F.col("event_id") % 8 == i, form) for i, form in enumerate(forms)])
+    lines = evaluate_once(r.events(spark, sf), "text", text).select("line_number", "text")
+    parsed = evaluate_once(lines, "t", nz.parse_timestamp(F.col("text"), 2024))
     return parsed.select("line_number", "t.epoch", "t.ts_raw")
 
 

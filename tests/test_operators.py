@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import render as r
+from checks.catalog import QUERIES
 from logloom import fixed_values as fv
 from logloom.functions import normalize as nz
 from logloom.operators import anomalies as an
@@ -324,3 +325,12 @@ def test_plans(spark):
         text = plan(df)
         assert "partial_count" in text and "Python" not in text and "CartesianProduct" not in text
     assert "NestedLoop" not in plan(mt.volume_histogram(logs))
+
+
+def _plan(spark, name):
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_times_are_written_once(spark):
+    """Each step stands once in the plan; as one expression its code went beyond 64 KB."""
+    assert _plan(spark, "parse_timestamp").count("HH:mm:ss,SSS") == 1
