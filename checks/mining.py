@@ -95,9 +95,9 @@ def _(spark, sf):
 
 def _by_length(spark, sf, masked: bool = True) -> DataFrame:
     """Rows with their tokens, grouped by word count as if each were a template."""
-    logs = r.log_table(spark, sf)
-    text = tf.signature(F.col("message")) if masked else F.col("message")
-    rows = logs.select("source", "line_number", tf.tokenize(text).alias("tokens"))
+    logs = r.log_table(spark, sf).select("source", "line_number", "message")
+    texts = tm.with_signature(logs) if masked else logs.withColumn("signature", F.col("message"))
+    rows = texts.select("source", "line_number", tf.tokenize(F.col("signature")).alias("tokens"))
     return rows.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 

@@ -19,8 +19,7 @@ def mask(message: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Words between white space; an empty text has none."""
-    words = F.split(strip(text), SPACES)
-    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(words)
+    return F.array_remove(F.split(strip(text), SPACES), "")
 
 
 def signature(message: Column) -> Column:

@@ -334,3 +334,7 @@ def _plan(spark, name):
 def test_times_are_written_once(spark):
     """Each step stands once in the plan; as one expression its code went beyond 64 KB."""
     assert _plan(spark, "parse_timestamp").count("HH:mm:ss,SSS") == 1
+
+
+def test_messages_are_masked_once(spark):
+    assert _plan(spark, "template_text").count("<UUID>") == 1
