@@ -22,14 +22,23 @@ def _log_stream(spark: SparkSession, sf: str, level: str = r.LEVEL, message: str
     return _in_parts(r.log_table(spark, sf, level, message))
 
 
-def _in_parts(rows: DataFrame) -> DataFrame:
-    """A stream that gets the rows in four micro-batches, in line order."""
+# Rows that a file of a stream has at least, where there is more than one per batch.
+FILE_ROWS = 100_000
+
+
+def _in_parts(rows: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A stream that gets the rows in four micro-batches, in line order.
+
+    A batch is as many files as its rows need, the same number in each, so that
+    it is written and read by many tasks.
+    """
     path = new_dir(rows.sparkSession, "stream")
     cuts = rows.agg(F.max("line_number")).first()[0] or 0
-    for i in range(4):
-        part = rows.where((F.col("line_number") > cuts * i // 4) & (F.col("line_number") <= cuts * (i + 1) // 4))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    parts = [(F.col("line_number") > cuts * i // 4) & (F.col("line_number") <= cuts * (i + 1) // 4) for i in range(4)]
+    files = max(1, min(rows.agg(*[F.count_if(part) for part in parts]).first()) // file_rows)
+    for part in parts:
+        rows.where(part).repartition(files).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _table(stream: DataFrame, mode: str = "append") -> DataFrame:

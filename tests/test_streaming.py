@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from checks.live import _in_parts as in_parts
 from logloom.operators import parse as P
 from logloom.operators import templates as tm
 from logloom.plans.overview import ingest
@@ -227,3 +228,12 @@ def test_text_may_vanish_once_it_is_read(spark):
     for f in spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:", "")).collect():
         open(f[0], "w").close()
     assert sorted(r.line_number for r in lines.collect()) == list(range(1, 51))
+
+
+def test_parts_are_four_batches_of_many_files(spark):
+    rows = spark.range(1, 1001).select(F.col("id").alias("line_number"))
+    stream, out = in_parts(rows, file_rows=50).withColumn("file", F.input_file_name()), new_dir(spark, "rows")
+    play(stream, live.keep_rows(out), "cp")
+    for i in range(4):
+        n, files, lo, hi = spark.read.parquet(f"{out}/batch={i}").agg(F.count("*"), F.count_distinct("file"), F.min("line_number"), F.max("line_number")).first()
+        assert (n, files, lo, hi) == (250, 5, 250 * i + 1, 250 * (i + 1))
