@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
         return {"doc_id": batch["doc_id"], "tie": batch["tie"], "n_tokens": lengths, "ids": pa.ListArray.from_arrays(pa.array(offsets), values)}
 
     (
-        batched(ordered, encode, SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP))
+        batched(ordered, encode, SCHEMA, uses=(encoder,)).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
     )
 

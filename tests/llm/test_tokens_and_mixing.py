@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from logloom.llm import mixing, packing, quality_model, quality_rules, token_counts, token_store, word_tokens
 from logloom.llm.doc_stats import DocStats
-from logloom.llm.frames import new_dir, stored
+from logloom.llm.frames import batched, new_dir, stored
 from tests.llm.test_dedup import kept_lines, near_groups
 
 
@@ -328,6 +328,25 @@ def test_pipeline(spark, docs, corpus, nothing, ids):
         assert stage(spark, nothing, "").collect() == []
 
 
+def test_workers_drop_what_other_steps_kept(spark, docs):
+    held = lambda batch: {"n": [word_tokens.encoder.cache_info().currsize] * batch.num_rows}
+    packing.pieces(docs, 2048).collect()
+    assert 1 in {r.n for r in batched(docs.select("doc_id"), held, "n int", uses=(word_tokens.encoder,)).collect()}
+    assert {r.n for r in batched(docs.select("doc_id"), held, "n int").collect()} == {0}
+
+
+def test_pipeline_steps_get_small_batches(spark, docs):
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows for b in batches]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    corpus_pipeline.quality_rules(spark, docs, "")
+    found = [r.n for r in spark.range(5000).coalesce(1).mapInArrow(sizes, "n long").collect()]
+    spark.conf.unset(key)
+    assert sum(found) == 5000 and max(found) <= corpus_pipeline.BATCH_ROWS
+
+
 def test_queries_equal_their_sql(spark):
     from logloom.llm import queries
 
