@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,31 @@ def number_lines(placed: DataFrame, decode: bool = False) -> DataFrame:
     return _as_latin1(lines, rows.where("NOT valid")) if decode else lines
 
 
+def number_batch(placed: DataFrame) -> DataFrame:
+    """As :func:`number_lines`, for a micro-batch of :func:`read_log_stream`.
+
+    Such a batch is cut into splits once for all its jobs. Where no file is
+    cut, each is read in order by one task, which numbers the lines as they
+    pass: one scan that looks for cuts, and nothing stored or shuffled.
+    """
+    if placed.agg(F.max("block")).first()[0]:
+        return number_lines(placed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in filter(len, batches):
+            path = batch["path"].dictionary_encode()
+            starts = np.flatnonzero(np.diff(path.indices.to_numpy(), prepend=-1))
+            ends = np.append(starts[1:], len(batch))
+            number = np.arange(1, len(batch) + 1, dtype=np.int64) - np.repeat(starts, ends - starts)
+            if batch["path"][0] == last:
+                number[: ends[0]] += n
+            last, n = batch["path"][-1], number[-1]
+            yield pa.RecordBatch.from_arrays([batch["source"], pa.array(number), batch["line"]], ["source", "line_number", "line"])
+
+    return placed.select("source", "path", "line").mapInArrow(count, "source string, line_number long, line string")
+
+
 def read_log_lines(
     spark: SparkSession, paths: str | list[str], source_as: str = "path", decode: bool = False
 ) -> DataFrame:
@@ -75,7 +104,7 @@ def require_lines(lines: DataFrame) -> DataFrame:
 def read_log_stream(spark: SparkSession, path: str, source_as: str = "path", max_files: int = 1000) -> DataFrame:
     """Stream of lines from files that arrive in a folder.
 
-    Gives (source, path, block, line); :func:`number_lines` numbers the lines
+    Gives (source, path, block, line); :func:`number_batch` numbers the lines
     of one micro-batch.
     """
     return _placed(spark.readStream.option("maxFilesPerTrigger", max_files).text(path), source_as)

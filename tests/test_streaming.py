@@ -9,6 +9,7 @@ from checks.live import _in_parts as in_parts
 from logloom.operators import parse as P
 from logloom.operators import templates as tm
 from logloom.plans.overview import ingest
+from logloom.sources import text
 from logloom.sources.text import number_lines, read_log_lines, read_log_stream
 from logloom.streaming import live
 from logloom.sources.workspace import new_dir, settle
@@ -129,6 +130,32 @@ def test_stream_ids_are_those_of_the_batch_job(spark):
     assert P.parse_json(lines.withColumn("line_number", F.lit(None).cast("bigint"))).select("id").distinct().collect()[0].id is None
 
 
+@pytest.mark.parametrize("split", [None, "300"])
+def test_lines_of_a_batch_are_numbered_as_they_pass(spark, monkeypatch, split):
+    """Nothing is stored for files that are whole; cut ones get their numbers as well."""
+    path, out = new_dir(spark, "in"), new_dir(spark, "rows")
+    for k in range(5):
+        lines = [f"{k} {i} " + "x" * (i % 30) if i % 4 else "" for i in range(10 + 37 * k)]
+        rows = [(bytearray(b"\xe9\xff") if i == 5 else bytearray(t.encode()),) for i, t in enumerate(lines)]
+        spark.createDataFrame(rows, "v binary").coalesce(1).selectExpr("cast(v AS string) AS v").write.text(f"{path}/f{k}")
+    key, arrow = "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want = sorted(map(tuple, read_log_lines(spark, f"{path}/*").selectExpr("source", "line_number", "cast(line AS binary)").collect()))
+    before, cut = spark.conf.get(key), []
+    monkeypatch.setattr(text, "stored", lambda df, name, f=text.stored: cut.append(name) or f(df, name))
+    spark.conf.set(arrow, "7")
+    if split:
+        spark.conf.set(key, split)
+    try:
+        stream = read_log_stream(spark, f"{path}/*", max_files=3)
+        play(stream, live.numbered(lambda df: df, live.keep_rows(out)), "cp")
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset(arrow)
+    got = sorted(map(tuple, spark.read.parquet(out).selectExpr("source", "line_number", "cast(line AS binary)").collect()))
+    assert got == want and len(got) == 420
+    assert bool(cut) == bool(split)
+
+
 def test_a_batch_writes_what_it_adds(spark, monkeypatch):
     text = [f'{{"ts":"2024-01-01T{i:02d}:00:00Z","level":"error","msg":"m {i}"}}' for i in range(20)]
     stream, _ = line_stream(spark, {f"f{k}": text[5 * k : 5 * k + 5] for k in range(4)})
