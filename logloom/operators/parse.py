@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,41 +29,55 @@ def _choose(formats: list[Format], value, otherwise: str | None = None) -> Colum
     return F.coalesce(*[F.when(F.col("parser") == name, v) for name, v in values])
 
 
-def _parse(lines: DataFrame, formats: list[Format], year: int | None) -> DataFrame:
-    """Parse lines by one scan. A line that its format refuses gives no row.
-
-    Each step is a projection of its own that later ones only refer to, so
-    that no step is computed more than once.
-    """
+# Columns of a scan name no frame, so one application builds them once. A stream
+# parses each of its micro-batches, and building them takes longer than one.
+@lru_cache(64)
+def _scan(app: str, formats: tuple[Format, ...], year: int | None, kept: tuple[str, ...]) -> dict:
+    """The columns of :func:`_parse`, step by step."""
     body, parts, pairs, usable = (F.col(c) for c in ("_body", "_parts", "_pairs", "_usable"))
-    cut = evaluate_once(lines, "_body", nz.strip(F.col("line"))).where(body != "")
-    cut = evaluate_once(cut, "_parts", _choose(formats, lambda f: f.extract(body)))
-    cut = cut.where(_choose(formats, lambda f: f.accept(parts)))
+    out: dict = {"body": nz.strip(F.col("line")), "full": body != ""}
+    out["parts"] = _choose(formats, lambda f: f.extract(body))
+    out["accepted"] = _choose(formats, lambda f: f.accept(parts))
+    out["sides"] = {}
     if any(f.keys for f in formats):
         sides = {"_keys": lambda f: f.keys, "_values": lambda f: f.values}
         for name, side in sides.items():
             of = _choose(formats, lambda f: side(f)(parts) if side(f) else None, "array<string>")
-            cut = cut.withColumn(name, of)
+            out["sides"][name] = of
         keys, values = F.col("_keys"), F.col("_values")
         plain = _choose(formats, lambda f: f.plain(parts, keys, values) if f.keys else None, "map<string,string>")
-        cut = cut.withColumn("_pairs", F.when(fm.has_twins(keys), fm.last_wins(keys, values)).otherwise(plain))
+        out["sides"]["_pairs"] = F.when(fm.has_twins(keys), fm.last_wins(keys, values)).otherwise(plain)
         used = _choose(formats, lambda f: f.usable(body, pairs) if f.keys else None, "map<string,string>")
-        cut = cut.withColumn("_usable", used)
+        out["sides"]["_usable"] = used
     filled = {f.name: f.fill(body, parts, pairs, usable) for f in formats}
-    kept = [c for c in ("source", "line_number", "parser", "line", "_lines") if c in cut.columns]
     texts = ("time", "level", "stated", "service", "message")
     columns = {c: _choose(formats, lambda f: filled[f.name].get(c), "string") for c in texts}
     columns["metadata"] = _choose(formats, lambda f: filled[f.name]["metadata"])
     columns["_time"] = nz.time_text(columns.pop("time"))
-    cut = cut.select(*kept, *[v.alias(c) for c, v in columns.items()])
+    out["filled"] = [*kept, *[v.alias(c) for c, v in columns.items()]]
     level = F.coalesce("level", nz.normalize_level(F.col("stated")))
-    return cut.withColumns({"level": level, "ts": nz.read_time(F.col("_time"), year)}).drop("stated")
+    out["last"] = {"level": level, "ts": nz.read_time(F.col("_time"), year)}
+    return out
 
 
-def _finish(cut: DataFrame) -> DataFrame:
-    """The log columns from the parsed parts and, for folded rows, their lines."""
+def _parse(lines: DataFrame, formats: list[Format], year: int | None) -> DataFrame:
+    """Parse lines by one scan. A line that its format refuses gives no row.
+
+    Each step is a projection of its own that later ones only refer to, so
+    that no step is computed more than once.
+    """
+    kept = tuple(c for c in ("source", "line_number", "parser", "line", "_lines") if c in lines.columns)
+    scan = _scan(lines.sparkSession.sparkContext.applicationId, tuple(formats), year, kept)
+    cut = evaluate_once(lines, "_body", scan["body"]).where(scan["full"])
+    cut = evaluate_once(cut, "_parts", scan["parts"]).where(scan["accepted"])
+    for name, side in scan["sides"].items():
+        cut = cut.withColumn(name, side)
+    return cut.select(*scan["filled"]).withColumns(scan["last"]).drop("stated")
+
+
+@lru_cache(8)
+def _log_columns(app: str, folded: bool) -> list[Column]:
     meta = F.col("metadata")
-    folded = "_lines" in cut.columns
     trace = F.col("_lines") if folded else F.lit(None).cast("array<string>")
     traced = F.size(trace) > 0
     stripped = F.transform(trace, nz.strip)
@@ -80,7 +96,12 @@ def _finish(cut: DataFrame) -> DataFrame:
         "client_ip": F.try_element_at(meta, F.lit("client_ip")),
         "host": F.try_element_at(meta, F.lit("host")),
     }
-    return cut.select(*[values.get(c, F.col(c)).alias(c) for c in LOG_COLUMNS])
+    return [values.get(c, F.col(c)).alias(c) for c in LOG_COLUMNS]
+
+
+def _finish(cut: DataFrame) -> DataFrame:
+    """The log columns from the parsed parts and, for folded rows, their lines."""
+    return cut.select(*_log_columns(cut.sparkSession.sparkContext.applicationId, "_lines" in cut.columns))
 
 
 def _one(lines: DataFrame, fmt: Format, year: int | None = None, parser: str | None = None) -> DataFrame:
