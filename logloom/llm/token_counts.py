@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.frames import as_bytes, batched, blocks, doc_table
+from logloom.llm.frames import as_bytes, batched, blocks, doc_table, keeps
 from logloom.llm.word_tokens import tokenizer_path
 
 PIECE_BPE = "piece_bpe_32k.model"
@@ -121,12 +120,12 @@ def _place(model: str) -> str:
     return model if os.path.isabs(model) else tokenizer_path(model)
 
 
-@lru_cache(2)
+@keeps
 def segment_counter(model: str) -> SegmentCounter:
     return SegmentCounter(_place(model))
 
 
-@lru_cache(2)
+@keeps
 def prefix_bpe(model: str) -> PrefixBpe:
     return PrefixBpe(_place(model))
 
@@ -141,7 +140,7 @@ def prefix_counts(docs: DataFrame, model: str = PIECE_BPE, budget: int = -1) ->
         over = pa.array([len(c) > 0 and int(c[-1]) > budget or budget < 0 for c in counts], pa.bool_())
         return {"doc_id": batch["doc_id"], "text": pc.if_else(over, batch["text"], None), "n_bytes": [len(t) for t in texts], "counts": counts}
 
-    return batched(doc_table(docs), work, "doc_id long, text string, n_bytes long, counts array<int>")
+    return batched(doc_table(docs), work, "doc_id long, text string, n_bytes long, counts array<int>", uses=(segment_counter,))
 
 
 def token_totals(docs: DataFrame, limit: int, model: str = PIECE_BPE) -> DataFrame:
@@ -152,7 +151,7 @@ def token_totals(docs: DataFrame, limit: int, model: str = PIECE_BPE) -> DataFra
         tables = segment_counter(model).prefix_counts(texts)
         return {"doc_id": batch["doc_id"], "n_bytes": [len(t) for t in texts], "n_tokens": [int(c[-1]) if len(c) else 0 for c in tables]}
 
-    return batched(doc_table(docs), work, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return batched(doc_table(docs), work, "doc_id long, n_bytes long, n_tokens long", uses=(segment_counter,)).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def inner_counts(segment: bytes, model: str = PIECE_BPE) -> list[int]:
@@ -184,7 +183,7 @@ def truncated(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFram
         pairs = zip(batch["text"].to_pylist(), batch["counts"].to_pylist())
         return {"doc_id": batch["doc_id"], "text": [None if t is None else longest_prefix(t, c, budget, model) for t, c in pairs]}
 
-    return batched(table.select("doc_id", "text", "counts"), work, "doc_id long, text string")
+    return batched(table.select("doc_id", "text", "counts"), work, "doc_id long, text string", uses=(prefix_bpe,))
 
 
 def budgeted(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFrame:
@@ -200,5 +199,5 @@ def budgeted(table: DataFrame, budget: int, model: str = PIECE_BPE) -> DataFrame
     tokens = F.coalesce(F.get("counts", F.size("counts") - 1), F.lit(0)).cast("long")
     over = tokens > budget
     chosen = table.select("doc_id", "n_bytes", tokens.alias("n_tokens"), F.when(over, F.col("text").cast("binary")).alias("text"), F.when(over, F.col("counts")).alias("counts"))
-    cut = batched(chosen, work, "doc_id long, n_bytes long, n_tokens long, prefix_bytes long")
+    cut = batched(chosen, work, "doc_id long, n_bytes long, n_tokens long, prefix_bytes long", uses=(prefix_bpe,))
     return cut.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "prefix_bytes")

@@ -357,3 +357,28 @@ def test_queries_equal_their_sql(spark):
         found = con.execute(sql)
         columns = [d[0] for d in found.description]
         assert sorted(found.fetchall()) == sorted(map(tuple, queries.QUERIES[name](spark, folder).select(*columns).collect())), name
+
+
+def test_token_query_gets_few_bytes_at_once(spark, docs):
+    from logloom.llm.frames import BATCH_BYTES
+    from logloom.llm.queries import QUERIES
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows for b in batches]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    folder = new_dir(spark, "tables")
+    docs.where("doc_id < 20").write.parquet(f"{folder}/documents.parquet")
+    long = spark.range(2000).selectExpr("id", "repeat('x', 10000) AS text").coalesce(1)
+    QUERIES["op5_token_counts"](spark, folder)
+    found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+    spark.conf.unset(key)
+    assert sum(found) == 2000 and max(found) * 10_000 <= 1.1 * BATCH_BYTES
+
+
+def test_prefix_lookup_drops_the_counter_of_the_table(spark, docs):
+    held = lambda batch: {"n": [token_counts.segment_counter.cache_info().currsize] * batch.num_rows}
+    some = docs.where("doc_id < 100").repartition(32)  # so that each worker has tasks
+    token_counts.token_totals(some, 50).collect()
+    assert 1 in {r.n for r in batched(some, held, "n int", uses=(token_counts.segment_counter,)).collect()}
+    assert {r.n for r in batched(some, held, "n int", uses=(token_counts.prefix_bpe,)).collect()} == {0}
