@@ -146,6 +146,10 @@ def _(spark, sf):
     return mt.top_errors(r.log_table(spark, sf))
 
 
+def _in_micros(found: DataFrame) -> DataFrame:
+    return found.withColumns({f"{k}_us": F.unix_micros(f"{k}_ts") for k in ("start", "end")}).drop("start_ts", "end_ts")
+
+
 @query(
     "time_range",
     f"""{UNDATED} SELECT min(epoch) AS start_epoch, max(epoch) AS end_epoch,
@@ -153,8 +157,7 @@ def _(spark, sf):
  round(max(epoch) - min(epoch), 1) AS duration_seconds FROM part""",
 )
 def _(spark, sf):
-    found = mt.time_range(_some_undated(spark, sf))
-    return found.withColumns({f"{k}_us": F.unix_micros(f"{k}_ts") for k in ("start", "end")}).drop("start_ts", "end_ts")
+    return _in_micros(mt.time_range(_some_undated(spark, sf)))
 
 
 @query(
@@ -179,10 +182,11 @@ def _(spark, sf):
     "kpi_summary",
     f"""{UNDATED} SELECT count(*) AS total_logs, count(*) FILTER ({ERR}) AS errors,
  round(count(*) FILTER ({ERR}) * 100e0 / count(*), 2) AS error_rate, count(DISTINCT {_NAMED}) AS services,
+ epoch_us(min(ts0) FILTER (epoch IS NOT NULL)) AS start_us, epoch_us(max(ts0) FILTER (epoch IS NOT NULL)) AS end_us,
  round(max(epoch) - min(epoch), 1) AS duration_seconds FROM part""",
 )
 def _(spark, sf):
-    return mt.kpi_summary(_some_undated(spark, sf))
+    return _in_micros(mt.kpi_summary(_some_undated(spark, sf), times=True))
 
 
 # --- anomalies --------------------------------------------------------------------

@@ -97,20 +97,24 @@ def affected_services(logs: DataFrame) -> DataFrame:
     return logs.where(is_error(F.col("level")) & named).select("service").distinct()
 
 
-def kpi_summary(logs: DataFrame) -> DataFrame:
-    """Headline numbers in one row."""
+def kpi_summary(logs: DataFrame, times: bool = False) -> DataFrame:
+    """Headline numbers in one row; with ``times``, also the first and last time."""
     per_service = logs.groupBy(F.coalesce(text_or_null(F.col("service")), F.lit("unspecified")).alias("service")).agg(
         F.count("*").alias("n"),
         F.count_if(is_error(F.col("level"))).alias("errors"),
         F.min("epoch").alias("lo"),
         F.max("epoch").alias("hi"),
+        F.min("ts").alias("ts_lo"),
+        F.max("ts").alias("ts_hi"),
     )
+    bounds = [F.min("ts_lo").alias("start_ts"), F.max("ts_hi").alias("end_ts")] if times else []
     total, errors = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("errors"), F.lit(0))
     return per_service.agg(
         total.alias("total_logs"),
         errors.alias("errors"),
         _rate(errors, total).alias("error_rate"),
         F.count("*").alias("services"),
+        *bounds,
         F.coalesce(F.round(F.max("hi") - F.min("lo"), 1), F.lit(0.0)).alias("duration_seconds"),
     )
 

@@ -145,6 +145,21 @@ def test_metrics_of_nothing(logs_of):
     assert tm.mine_templates(logs).latest().count() == 0
 
 
+def test_kpi_summary_tells_first_and_last_time(spark, logs_of):
+    logs = logs_of([(5.0, "INFO", "a", "m"), (2.0, "ERROR", "b", "m"), (None, "INFO", None, "m"), (9.5, "INFO", "a", "m")])
+    found = mt.kpi_summary(logs, times=True).first()
+    assert (found.start_ts.timestamp(), found.end_ts.timestamp()) == (2.0, 9.5)
+    assert (found.total_logs, found.errors, found.error_rate, found.services, found.duration_seconds) == (4, 1, 25.0, 3, 7.5)
+    folder = new_dir(spark, "tables")
+    rows = spark.range(20).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id AS user_id",
+        "'view' AS event_type", "1.0D AS value", "'{}' AS props",
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    found, start = QUERIES["kpi_summary"](spark, folder).first(), 1_704_067_200_000_000
+    assert (found.start_us, found.end_us) == (start + 60_000_000, start + 19 * 60_000_000)  # every ninth row has no time
+
+
 def test_histogram_levels_and_single_time(logs_of):
     logs = logs_of([(5.0, x, "a", "m") for x in ("CRITICAL", "TRACE", "ERROR", "INFO", "WARN", "DEBUG")])
     hist = mt.volume_histogram(logs).orderBy("bucket").collect()
