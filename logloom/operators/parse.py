@@ -141,6 +141,10 @@ def parse_springboot(lines: DataFrame) -> DataFrame:
     return _one(lines, fm.SPRING)
 
 
+# Parse jobs that look at one line at a time.
+BY_LINE = frozenset({parse_json, parse_access_log, parse_syslog_5424, parse_syslog_3164, parse_syslog, parse_logfmt, parse_generic, parse_springboot})
+
+
 def group_multiline(
     lines: DataFrame, header_regex: str = fv.SPRING_HEADER_PATTERN, lines_per_chunk: int = 100_000
 ) -> DataFrame:

@@ -43,15 +43,9 @@ def number_lines(placed: DataFrame, decode: bool = False) -> DataFrame:
     return _as_latin1(lines, rows.where("NOT valid")) if decode else lines
 
 
-def number_batch(placed: DataFrame) -> DataFrame:
-    """As :func:`number_lines`, for a micro-batch of :func:`read_log_stream`.
-
-    Such a batch is cut into splits once for all its jobs. Where no file is
-    cut, each is read in order by one task, which numbers the lines as they
-    pass: one scan that looks for cuts, and nothing stored or shuffled.
-    """
-    if placed.agg(F.max("block")).first()[0]:
-        return number_lines(placed)
+def number_whole(placed: DataFrame) -> DataFrame:
+    """As :func:`number_lines`, for files that are not cut: each is read in
+    order by one task, which numbers the lines as they pass."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, n = None, 0
@@ -68,6 +62,28 @@ def number_batch(placed: DataFrame) -> DataFrame:
     return placed.select("source", "path", "line").mapInArrow(count, "source string, line_number long, line string")
 
 
+def splits_of(batch: DataFrame) -> list[tuple[str, int]] | None:
+    """(path, start) of each file split of a micro-batch, which is cut once for
+    all its jobs; None if the frame is no micro-batch of files."""
+    found = batch._jdf.queryExecution()
+    if found.analyzed().getClass().getSimpleName() != "LogicalRDD":
+        return None
+    partitions = list(found.toRdd().partitions())
+    if not all(p.getClass().getSimpleName() == "FilePartition" for p in partitions):
+        return None
+    return [(f.toPath().toString(), f.start()) for p in partitions for f in p.files()]
+
+
+def number_batch(placed: DataFrame) -> DataFrame:
+    """As :func:`number_lines`, for a micro-batch of :func:`read_log_stream`.
+
+    Where no file is cut, nothing is stored or shuffled.
+    """
+    splits = splits_of(placed)
+    cut = placed.agg(F.max("block")).first()[0] if splits is None else any(start for _, start in splits)
+    return number_lines(placed) if cut else number_whole(placed)
+
+
 def read_log_lines(
     spark: SparkSession, paths: str | list[str], source_as: str = "path", decode: bool = False
 ) -> DataFrame:
@@ -107,4 +123,7 @@ def read_log_stream(spark: SparkSession, path: str, source_as: str = "path", max
     Gives (source, path, block, line); :func:`number_batch` numbers the lines
     of one micro-batch.
     """
-    return _placed(spark.readStream.option("maxFilesPerTrigger", max_files).text(path), source_as)
+    lines = _placed(spark.readStream.option("maxFilesPerTrigger", max_files).text(path), source_as)
+    # Reads given files again as they are: the names are no patterns.
+    lines.read_again = lambda files: _placed(spark.read.option("__globPaths__", "false").text(files), source_as)
+    return lines

@@ -156,6 +156,29 @@ def test_lines_of_a_batch_are_numbered_as_they_pass(spark, monkeypatch, split):
     assert bool(cut) == bool(split)
 
 
+@pytest.mark.parametrize("split, planned", [(None, 1), ("300", 6)])
+def test_lines_are_parsed_on_their_way(spark, monkeypatch, split, planned):
+    """A stream is planned once, not per batch; batches with cut files by themselves."""
+    path, out, text = new_dir(spark, "in"), new_dir(spark, "rows"), '{{"level":"warn","msg":"m {} {}"}}'
+    for k in range(5):
+        lines = [text.format(k, i) if i % 4 else "" for i in range(30)]
+        spark.createDataFrame([(t,) for t in lines], "v string").coalesce(1).write.text(f"{path}/f[{k}]")
+    key, calls = "spark.sql.files.maxPartitionBytes", []
+    want = P.parse_json(read_log_lines(spark, f"{path}/*")).select("id", "source", "line_number", "message")
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(P, "_parse", lambda *args, f=P._parse: calls.append(1) or f(*args))
+    before = spark.conf.get(key)
+    if split:
+        spark.conf.set(key, split)
+    try:
+        play(read_log_stream(spark, f"{path}/*", max_files=1), live.numbered(P.parse_json, live.keep_rows(out)), "cp")
+    finally:
+        spark.conf.set(key, before)
+    got = sorted(map(tuple, spark.read.parquet(out).select("id", "source", "line_number", "message").collect()))
+    assert got == want and len(got) == 110
+    assert len(calls) == planned
+
+
 def test_a_batch_writes_what_it_adds(spark, monkeypatch):
     text = [f'{{"ts":"2024-01-01T{i:02d}:00:00Z","level":"error","msg":"m {i}"}}' for i in range(20)]
     stream, _ = line_stream(spark, {f"f{k}": text[5 * k : 5 * k + 5] for k in range(4)})
