@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ CATCH_ALL_ROWS = 1_000
 STRIDE = 256
 # Templates that one task compares with a batch.
 CHUNK_TEMPLATES = 16_000
+# Comparisons of a word that take as long as listing and looking up one.
+LISTED_COST = 2_500
 
 
 # --- exact signatures -----------------------------------------------------------
@@ -170,30 +173,35 @@ def _versions_schema(order_fields: list[T.StructField]) -> T.StructType:
 
 
 class _Grid:
-    """Templates of one word count as rows of word codes, with an index.
+    """Templates of one word count as rows of word codes.
 
-    A template that agrees with a line on ``need`` of its words agrees on at
-    least one of any ``width - need + 1`` positions. So only the templates
-    listed at the positions with the shortest lists are compared.
+    A line is compared with all rows at once. Where those are many (``indexed``),
+    rows are listed by position and word instead: one that agrees with a line on
+    ``need`` of its words agrees on at least one of any ``width - need + 1``
+    positions, so only those listed at the positions with the shortest lists
+    are compared.
     """
 
-    def __init__(self, width: int, need: int, room: int, wild: int):
+    def __init__(self, width: int, need: int, room: int, wild: int, indexed: bool):
         self.width, self.need, self.wild = width, need, wild
-        self.cells = np.zeros((room, width), dtype=np.int64)
+        self.cells = np.zeros((room, width), dtype=np.int32)
+        self.open = np.zeros((room, width), dtype=bool)
         self.version = np.zeros(room, dtype=np.int64)
         self.used = 0
-        self.listed: list[dict[int, list[int]]] = [{} for _ in range(width)]
+        self.listed: list[dict[int, list[int]]] | None = [{} for _ in range(width)] if indexed and width and need else None
 
     def put(self, row: int, line: np.ndarray, version: int) -> None:
-        for at in np.flatnonzero(self.cells[row] != line) if row < self.used else range(self.width):
-            self.listed[at].setdefault(int(line[at]), []).append(row)
-        self.cells[row], self.version[row] = line, version
+        if self.listed is not None:
+            for at in np.flatnonzero(self.cells[row] != line) if row < self.used else range(self.width):
+                self.listed[at].setdefault(int(line[at]), []).append(row)
+        self.cells[row], self.open[row], self.version[row] = line, line == self.wild, version
         self.used = max(self.used, row + 1)
 
     def alike(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that agree with a line on ``need`` words at least, and on how many."""
-        if self.width == 0 or self.need == 0:
+        if self.listed is None:
             rows = np.arange(self.used)
+            agreeing = (self.cells[: self.used] == line) | self.open[: self.used]
         else:
             lists = [
                 held.get(code, []) + (held.get(self.wild, []) if code != self.wild else [])
@@ -201,8 +209,8 @@ class _Grid:
             ]
             lists = sorted(lists, key=len)[: self.width - self.need + 1]
             rows = np.unique(np.array([row for some in lists for row in some], dtype=np.int64))
-        cells = self.cells[rows]
-        agree = ((cells == line) | (cells == self.wild)).sum(axis=1)
+            agreeing = (self.cells[rows] == line) | self.open[rows]
+        agree = np.bitwise_count(np.packbits(agreeing, axis=1)).sum(axis=1, dtype=np.int64)
         enough = agree >= self.need
         return rows[enough], agree[enough]
 
@@ -212,20 +220,27 @@ class _Grid:
         return int(rows[agree.argmax()]) if len(rows) else -1
 
 
+def _many(rows: int, lines: int) -> bool:
+    """Whether so many rows meet so many lines that listing words takes less
+    time than comparing each with each."""
+    return rows * lines > LISTED_COST * (rows + lines)
+
+
 def _need(threshold: float) -> Column:
     """Words of a message that must agree with a template."""
     return F.ceil(F.lit(threshold) * F.col("n_tokens")).cast("int")
 
 
 def _coded(*tables: pa.Table) -> tuple[list[np.ndarray], pa.Array, int]:
-    """Tokens of tables as rows of numbers, the words they stand for, and the
+    """Words of tables as rows of numbers, the words they stand for, and the
     number of the wildcard (-1 if there is none)."""
-    lists = [t["tokens"].combine_chunks() for t in tables]
-    widths = {len(x) for x in pa.chunked_array(lists).slice(0, 1).to_pylist()} or {0}
-    numbered = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode()
-    codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(sum(map(len, lists)), widths.pop())
+    width = tables[0]["n_tokens"][0].as_py() if len(tables[0]) else 0
+    texts = pa.chunked_array([c for t in tables for c in t["text"].chunks], pa.string())
+    words = pc.list_flatten(pc.split_pattern(texts if width else texts.slice(0, 0), " "))
+    numbered = words.combine_chunks().dictionary_encode()
+    codes = numbered.indices.to_numpy(zero_copy_only=False).reshape(len(texts), width)
     wild = numbered.dictionary.index(fv.WILDCARD).as_py()
-    return np.split(codes, np.cumsum([len(x) for x in lists])[:-1]), numbered.dictionary, wild
+    return np.split(codes, np.cumsum([len(t) for t in tables])[:-1]), numbered.dictionary, wild
 
 
 def _near(known: pa.Table, batch: pa.Table) -> pa.Table:
@@ -234,7 +249,7 @@ def _near(known: pa.Table, batch: pa.Table) -> pa.Table:
     if not len(known) or not len(batch):
         return known.slice(0, 0)
     (cells, lines), _, wild = _coded(known, batch)
-    grid = _Grid(cells.shape[1], known["need"][0].as_py(), len(cells), wild)
+    grid = _Grid(cells.shape[1], known["need"][0].as_py(), len(cells), wild, _many(len(cells), len(lines)))
     for row, line in enumerate(cells):
         grid.put(row, line, 0)
     chosen = np.zeros(len(cells), bool)
@@ -252,7 +267,7 @@ def _groups(rows: pa.Table) -> pa.Table:
     if ((cells == wild).sum(axis=1) >= rows["need"][0].as_py()).any():
         part[:] = 0
     elif width:
-        _, key = np.unique(cells + np.arange(width) * (cells.max() + 1), return_inverse=True)
+        _, key = np.unique(cells + np.arange(width, dtype=np.int64) * (int(cells.max()) + 1), return_inverse=True)
         key, plain = key.reshape(n, width), cells != wild
         while True:
             least = np.full(key.max() + 1, n)
@@ -275,7 +290,7 @@ def _replay(order: tuple[str, ...], schema: pa.Schema):
         old, numbers, versions = (rows[c].to_pylist() for c in ("old", "cluster", "version"))
         if wild < 0:
             wild, words = len(words), pa.concat_arrays([words, pa.array([fv.WILDCARD], pa.string())])
-        grid, owner, out = _Grid(cells.shape[1], need, len(cells), wild), [], []
+        grid, owner, out = _Grid(cells.shape[1], need, len(cells), wild, _many(len(cells), len(cells) - sum(old))), [], []
         for row in sorted(range(len(old)), key=lambda i: (not old[i], numbers[i])):
             line, number, version = cells[row], numbers[row], versions[row]
             if not old[row]:
@@ -349,19 +364,22 @@ def _next_batch(remaining: DataFrame, catching: DataFrame, batch_rows: int, batc
 
 
 def _grouped(state: DataFrame | None, batch: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Messages of a batch and the templates that they may join, in parts."""
-    fields = ["n_tokens", "need", "cluster", "version", "tokens", *order, "old"]
-    rows = batch.withColumn("version", F.lit(0)).withColumn("old", F.lit(False))
-    rows = rows.select(*fields)
+    """Messages of a batch and the templates that they may join, in parts.
+
+    Words travel as one text, which costs far less than a list of them.
+    """
+    fields = ["n_tokens", "need", "cluster", "version", F.array_join("tokens", " ").alias("text")]
+    rows = batch.withColumn("version", F.lit(0)).select(*fields, *order, F.lit(False).alias("old"))
     if state is not None:
         known = state.join(F.broadcast(batch.select("n_tokens").distinct()), "n_tokens", "left_semi")
-        known = known.select(*fields[:5], *(F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in order), F.lit(True).alias("old"))
+        known = known.select(*fields, *(F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in order), F.lit(True).alias("old"))
         chunks = known.groupBy("n_tokens").agg(F.ceil(F.count("*") / CHUNK_TEMPLATES).cast("int").alias("chunks"))
         chunks = settle(chunks)
-        chunk = F.pmod(F.xxhash64("cluster"), F.col("chunks"))
+        # Of one type on both sides: equal numbers of two types hash apart.
+        chunk = F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int")
         known = known.join(broadcast_if_small(chunks), "n_tokens").withColumn("chunk", chunk).drop("chunks")
         asked = rows.join(broadcast_if_small(chunks), "n_tokens").select(
-            F.col("n_tokens").alias("width"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_of"), "tokens"
+            F.col("n_tokens").alias("width"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_of"), "text"
         )
         near = known.groupBy("n_tokens", "chunk").cogroup(asked.groupBy("width", "chunk_of")).applyInArrow(_near, known.schema)
         rows = rows.unionByName(near.drop("chunk"))

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,33 @@ def test_mining_equals_row_by_row(spark, seed, n, words, longest, options):
         check_summary(tm.template_summary(assigned, mined.latest()).collect(), data, ids, texts)
 
 
+def test_mining_in_many_shuffle_partitions(spark):
+    """Known templates meet their messages where partitions are not brought together."""
+    data = random_rows(6, 300, 12, 4)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = tm.mine_templates(as_logs(spark, data), batch_rows=30, stride=5).latest().collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.template_id: r.template for r in got} == dict(enumerate(greedy(data)[1], 1))
+
+
+def test_rows_compared_at_once_or_by_lists():
+    rng = np.random.default_rng(3)
+    for width, need in ((6, 3), (11, 7), (4, 1), (3, 0), (0, 0)):
+        grids = [tm._Grid(width, need, 80, 0, indexed) for indexed in (False, True)]
+        for row in (*range(80), 5, 17, 5):
+            line = rng.integers(0, 5, width, dtype=np.int32)  # 0 is the wildcard
+            for grid in grids:
+                grid.put(row, line, 1)
+        for line in rng.integers(0, 5, (50, width), dtype=np.int32):
+            (rows, agree), (listed, same) = (grid.alike(line) for grid in grids)
+            assert rows.tolist() == listed.tolist() and agree.tolist() == same.tolist()
+    assert tm._many(16_000, 16_000) and not tm._many(1_000, 1_000)
+
+
 def check_summary(rows, data, ids, texts):
     from datetime import datetime, timezone
 
